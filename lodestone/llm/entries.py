@@ -6,19 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import near_dedup
+from lodestone.llm import near_dedup, packing, wavelet
 from lodestone.llm.common import documents, pages
 
 #: Similarity, in per cent, from which op8 links two documents.
 OP8_PER_CENT = 85
 
 
+def op3_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir))
+
+
 def op8_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), OP8_PER_CENT)
 
 
+def op10_wavelet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.round_trip(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_minhash_forest": op8_minhash_forest}
+    return {
+        "op3_cost_packing": op3_cost_packing,
+        "op8_minhash_forest": op8_minhash_forest,
+        "op10_wavelet_files": op10_wavelet_files,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
