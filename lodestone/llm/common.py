@@ -56,3 +56,16 @@ def arrow_rows(batches: Iterator, *names: str) -> Iterator[tuple]:
 def partitions_for(df: DataFrame, floor: int = 1) -> int:
     """Shuffle width the session asks for; the cluster sizes it to its input."""
     return max(floor, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def hot_lookup(rows: DataFrame, table: DataFrame, key: str, count: str, value: str, total: int) -> DataFrame:
+    """Left join of ``table``'s ``value`` onto ``rows`` by ``key``, safe for hot keys.
+
+    ``count`` says how many of the ``total`` rows have the key. Keys of over a thousandth of the
+    rows, hence fewer than a thousand keys, are broadcast; only the other rows are shuffled.
+    """
+    hot = table.where(F.col(count) > max(1000, total // 1000)).select(F.col(key), F.col(value).alias("__hot"))
+    tried = rows.join(F.broadcast(hot), key, "left")
+    cold = table.where(F.col(count) <= max(1000, total // 1000)).select(key, value)
+    found = tried.where(F.col("__hot").isNull()).drop("__hot").join(cold, key, "left")
+    return found.unionByName(tried.where(F.col("__hot").isNotNull()).withColumnRenamed("__hot", value))

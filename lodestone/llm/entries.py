@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import near_dedup, packing, wavelet
+from lodestone.llm import near_dedup, packing, url_filter, warc, wavelet
 from lodestone.llm.common import documents, pages
 
 #: Similarity, in per cent, from which op8 links two documents.
@@ -17,6 +17,14 @@ def op3_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
 
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, sf_dir)
+
+
+def op7_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(pages(spark, sf_dir))
+
+
 def op8_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), OP8_PER_CENT)
 
@@ -28,10 +36,12 @@ def op10_wavelet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_cost_packing": op3_cost_packing,
+        "op4_warc_round_trip": op4_warc_round_trip,
+        "op7_url_trie": op7_url_trie,
         "op8_minhash_forest": op8_minhash_forest,
         "op10_wavelet_files": op10_wavelet_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc_round_trip": warc.ROUND_TRIP_SQL, "op7_url_trie": url_filter.FILTER_SQL}
