@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import near_dedup, packing, url_filter, warc, wavelet
+from lodestone.llm import crf, near_dedup, packing, url_filter, warc, wavelet
 from lodestone.llm.common import documents, pages
 
 #: Similarity, in per cent, from which op8 links two documents.
@@ -29,6 +29,10 @@ def op8_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), OP8_PER_CENT)
 
 
+def op9_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.extract(pages(spark, sf_dir))
+
+
 def op10_wavelet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(documents(spark, sf_dir))
 
@@ -39,6 +43,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_warc_round_trip": op4_warc_round_trip,
         "op7_url_trie": op7_url_trie,
         "op8_minhash_forest": op8_minhash_forest,
+        "op9_crf_main_text": op9_crf_main_text,
         "op10_wavelet_files": op10_wavelet_files,
     }
 
