@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import crf, near_dedup, packing, quality_rules, url_filter, warc, wavelet
+from lodestone.llm import crf, near_dedup, packing, preference, quality_rules, url_filter, warc, wavelet
 from lodestone.llm.common import documents, pages
 
 #: Similarity, in per cent, from which op8 links two documents.
@@ -21,6 +21,10 @@ def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, sf_dir)
 
 
+def op5_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(documents(spark, sf_dir), quality_rules.trusted_ids(spark, sf_dir))
 
@@ -45,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_cost_packing": op3_cost_packing,
         "op4_warc_round_trip": op4_warc_round_trip,
+        "op5_bradley_terry": op5_bradley_terry,
         "op6_ngram_ratio": op6_ngram_ratio,
         "op7_url_trie": op7_url_trie,
         "op8_minhash_forest": op8_minhash_forest,
