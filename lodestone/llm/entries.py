@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import crf, near_dedup, packing, preference, quality_rules, url_filter, warc, wavelet
+import corpus_pipeline
+from lodestone.llm import crf, imatch, near_dedup, packing, preference, quality_rules, url_filter, warc, wavelet
 from lodestone.llm.common import documents, pages
 
 #: Similarity, in per cent, from which op8 links two documents.
 OP8_PER_CENT = 85
 
 
+def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprint_documents(documents(spark, sf_dir))
+
+
 def op3_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
@@ -45,8 +50,13 @@ def op10_wavelet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_imatch": op2_imatch,
         "op3_cost_packing": op3_cost_packing,
         "op4_warc_round_trip": op4_warc_round_trip,
         "op5_bradley_terry": op5_bradley_terry,
@@ -54,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_url_trie": op7_url_trie,
         "op8_minhash_forest": op8_minhash_forest,
         "op9_crf_main_text": op9_crf_main_text,
+        "pipeline": pipeline,
         "op10_wavelet_files": op10_wavelet_files,
     }
 

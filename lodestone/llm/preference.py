@@ -126,3 +126,15 @@ def score(docs: DataFrame, model: PairwiseModel) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, learn(docs, labels))
+
+
+def keep_good(docs: DataFrame, model: PairwiseModel, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``, all columns, whose text scores CUT or more."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([features(t) for t in batch.column(at).to_pylist()]).reshape(-1, FEATURES)
+            yield batch.filter(pa.array(shared.value.score(x) >= CUT))
+
+    return docs.mapInArrow(run, docs.schema)
