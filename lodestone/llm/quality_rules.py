@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import WS_CLASS, let
 
-#: Buckets the word n-grams are hashed into, and the pseudo-count of each.
-BUCKETS, PSEUDO = 1 << 14, 1.0
+#: Buckets the word n-grams are hashed into, and the pseudo-count of each. A ratio learnt from n
+#: occurrences is weighted by n / (n + SHRINK), so that rare n-grams say little.
+BUCKETS, PSEUDO, SHRINK = 1 << 14, 1.0, 200.0
 #: A document is kept when its mean log-likelihood ratio per n-gram is at least this.
-LEAST_RATIO = -0.045
+LEAST_RATIO = -0.06
 SYMBOLS = "#*$%&|<>"
 WINDOW = 3
 
@@ -114,7 +115,8 @@ def fit_ratios(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
         target[b] += m
     if target.sum() == PSEUDO * buckets:
         return [0.0] * buckets
-    return (np.log(target / target.sum()) - np.log(raw / raw.sum())).tolist()
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    return (ratio * (raw - PSEUDO) / (raw - PSEUDO + SHRINK)).tolist()
 
 
 def mean_ratio(words: Column, ratios: list[float]) -> Column:

@@ -71,7 +71,7 @@ def test_ratios_against_plain_counts(spark, texts):
         if 12 <= i < 60:
             target.update(buckets(t, n))
     nr, nt = sum(raw.values()) + n, sum(target.values()) + n
-    want = [math.log((target[b] + 1) / nt) - math.log((raw[b] + 1) / nr) for b in range(n)]
+    want = [(math.log((target[b] + 1) / nt) - math.log((raw[b] + 1) / nr)) * raw[b] / (raw[b] + 200) for b in range(n)]
     assert ratios == pytest.approx(want)
     for r in q.judge(docs, ratios).collect():
         b = buckets(texts[r.doc_id], n)
