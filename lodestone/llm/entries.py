@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lodestone.llm import crf, imatch, near_dedup, packing, preference, quality_rules, url_filter, warc, wavelet
+from lodestone.llm import bpe, crf, imatch, near_dedup, packing, preference, quality_rules, url_filter, warc, wavelet
 from lodestone.llm.common import documents, pages
 
 #: Similarity, in per cent, from which op8 links two documents.
 OP8_PER_CENT = 85
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir))
+
+
 def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprint_documents(documents(spark, sf_dir))
 
@@ -56,6 +60,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_byte_bpe": op1_byte_bpe,
         "op2_imatch": op2_imatch,
         "op3_cost_packing": op3_cost_packing,
         "op4_warc_round_trip": op4_warc_round_trip,
