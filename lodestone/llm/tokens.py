@@ -12,8 +12,8 @@ from pathlib import Path
 
 import numpy as np
 
-#: Chunks kept per worker, and the longest that is kept.
-STORE, LONGEST = 400_000, 48
+#: Chunks in a generation of a worker's store (it keeps two), and the longest that is kept.
+STORE, LONGEST = 600_000, 48
 
 _rough = re.compile(r" (?=\s|$)")
 _cut = re.compile(r" (?=\S)")
@@ -32,22 +32,34 @@ class ChunkEncoder:
         for piece, i in vocab.items():
             self.spaced[i] = piece.startswith("Ġ")
         self.store: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn(self, parts: list[str]) -> None:
         if len(self.store) > STORE:
-            self.store.clear()
-        new = [p for p in set(parts) if p not in self.store]
+            self.store, self.older = {}, self.store
+        store, older = self.store, self.older
+        new = []
+        for p in set(parts):
+            if p not in store:
+                if p in older:
+                    store[p] = older[p]
+                else:
+                    new.append(p)
+        if not new:
+            return
         ids = self._ids(" " + " ".join(new))
         starts = np.flatnonzero(self.spaced[ids])
         if len(starts) == len(new):
-            for p, piece in zip(new, np.split(ids, starts[1:])):
-                self.store[p] = piece.tobytes()
+            raw, at = ids.tobytes(), (4 * starts).tolist()
+            at.append(len(raw))
+            for i, p in enumerate(new):
+                store[p] = raw[at[i] : at[i + 1]]
         else:
             for p in new:
-                self.store[p] = self._ids(" " + p).tobytes()
+                store[p] = self._ids(" " + p).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
