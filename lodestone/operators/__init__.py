@@ -1 +1 @@
-"""Operators of the engine."""
+"""Relational operators of the audit; each takes DataFrames and returns one."""
