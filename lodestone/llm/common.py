@@ -19,11 +19,12 @@ def scratch_dir(spark: SparkSession) -> str:
     Where it is unset (tests, a laptop) a local temporary folder is set once.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return base
+    if base:
+        return base
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
+    return context.getCheckpointDir()
 
 
 def persist_table(df: DataFrame, name: str) -> DataFrame:
