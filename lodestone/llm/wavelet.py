@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import partitions_for, persist_table
@@ -191,19 +191,26 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def read_files(files: DataFrame) -> DataFrame:
-    """Documents of the files: ``doc_id, start, n_tokens, ids``; start counts all ids before it."""
+def _places(files: DataFrame) -> DataFrame:
+    """``shard, file, before``: the ids of all files before each one."""
     sizes = files.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
-    sizes = sizes.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"))
+    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
+    sizes = sizes.select("shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shard_start"))
     within = Window.partitionBy("shard").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    places = files.select("shard", "file", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("file_start")).join(sizes, "shard")
+    own = F.coalesce(F.sum("n_tokens").over(within), F.lit(0))
+    return files.select("shard", "file", own.alias("own")).join(sizes, "shard").select("shard", "file", (F.col("shard_start") + F.col("own")).alias("before"))
+
+
+def read_files(files: DataFrame, ids: Column | None = None, name: str = "ids") -> DataFrame:
+    """Documents of the files: ``doc_id, start, n_tokens, ids``; start counts all ids before it.
+
+    ``ids`` may be an expression of the column ids, called ``name``; it is evaluated where a file is
+    read, so that only its result is moved.
+    """
     docs = files.select("shard", "file", "content").mapInArrow(_read, _DOCS)
-    return docs.join(places, ["shard", "file"]).select(
-        F.nullif("doc_id", F.lit(-(2**63))).alias("doc_id"), (F.col("shard_start") + F.col("file_start") + F.col("at")).alias("start"), "n_tokens", "ids"
-    )
+    docs = docs.select("shard", "file", F.nullif("doc_id", F.lit(-(2**63))).alias("doc_id"), "at", "n_tokens", (F.col("ids") if ids is None else ids).alias(name))
+    return docs.join(_places(files), ["shard", "file"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", name)
 
 
 def round_trip(df: DataFrame) -> DataFrame:
-    docs = read_files(write_files(df, tokenizer_file()))
-    return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_files(write_files(df, tokenizer_file()), F.crc32("ids"), "ids_crc32")
