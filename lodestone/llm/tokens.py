@@ -13,7 +13,9 @@ from pathlib import Path
 import numpy as np
 
 #: Chunks in a generation of a worker's store (it keeps two), and the longest that is kept.
-STORE, LONGEST = 600_000, 48
+STORE, LONGEST = 400_000, 48
+#: ASCII marks; after letters they are a match of the pattern by themselves.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _rough = re.compile(r" (?=\s|$)")
 _cut = re.compile(r" (?=\S)")
@@ -33,6 +35,7 @@ class ChunkEncoder:
             self.spaced[i] = piece.startswith("Ġ")
         self.store: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -41,15 +44,36 @@ class ChunkEncoder:
         if len(self.store) > STORE:
             self.store, self.older = {}, self.store
         store, older = self.store, self.older
-        new = []
+        new, compound = set(), []
         for p in set(parts):
-            if p not in store:
-                if p in older:
-                    store[p] = older[p]
-                else:
-                    new.append(p)
+            if p in store:
+                continue
+            if p in older:
+                store[p] = older[p]
+                continue
+            base = p.rstrip(MARKS)
+            if base != p and base.isalpha():  # letters, then marks: two matches
+                compound.append((p, base))
+                if base in store:
+                    continue
+                if base in older:
+                    store[base] = older[base]
+                    continue
+                p = base
+            new.add(p)
+        self._encode_new(list(new))
+        for p, base in compound:
+            tail = p[len(base) :]
+            if tail not in self.marks:
+                if len(self.marks) > STORE:
+                    self.marks.clear()
+                self.marks[tail] = self._ids(tail).tobytes()
+            store[p] = store[base] + self.marks[tail]
+
+    def _encode_new(self, new: list[str]) -> None:
         if not new:
             return
+        store = self.store
         ids = self._ids(" " + " ".join(new))
         starts = np.flatnonzero(self.spaced[ids])
         if len(starts) == len(new):
