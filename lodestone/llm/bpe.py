@@ -18,6 +18,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,38 +51,63 @@ def pattern() -> str:
 # --- the fold -------------------------------------------------------------------------------------
 
 
-def _hash(piece: Column) -> Column:
-    return F.pmod(F.crc32(piece.cast("binary")), F.lit(BUCKETS)).cast("int")
+class RankTables:
+    """Literals of the ranks: of single bytes and of byte pairs by index, of longer pieces by small maps.
 
+    Pieces are Latin-1 strings. The optimizer folds each parsed table into one literal.
+    """
 
-def rank_table(ranks: dict[bytes, int]) -> Column:
-    """An array of maps from pieces (Latin-1 strings) to ranks, which the optimizer makes one literal."""
-    import zlib
+    def __init__(self, ranks: dict[bytes, int]):
+        self.single = F.from_json(F.lit(json.dumps([ranks[bytes([i])] for i in range(256)])), "array<int>")
+        self.double = F.from_json(F.lit(json.dumps([ranks.get(bytes([i >> 8, i & 255])) for i in range(65536)])), "array<int>")
+        buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+        for piece, rank in ranks.items():
+            key = piece.decode("latin-1")
+            h = xxhash.xxh64_intdigest(key.encode("utf-8"), seed=42)  # as Spark's xxhash64
+            buckets[h % BUCKETS][key] = rank
+        self.maps = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
 
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for piece, rank in ranks.items():
-        key = piece.decode("latin-1")
-        buckets[zlib.crc32(key.encode("utf-8")) % BUCKETS][key] = rank
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+    def rank(self, piece: Column) -> Column:
+        bucket = F.get(self.maps, F.xxhash64(piece).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+        return F.try_element_at(bucket, piece)
 
 
-def fold_word(word: Column, table: Column) -> Column:
-    """Ids of one word: from its bytes, ever the leftmost pair of least rank is merged."""
+def fold_word(word: Column, tables: RankTables) -> Column:
+    """Ids of one word: from its bytes, ever the leftmost pair of least rank is merged.
 
-    def rank(piece: Column) -> Column:
-        return F.try_element_at(F.get(table, _hash(piece)), piece)
+    The state has, for each piece, its text, its id and the rank of its pair with the next one (null:
+    none); a merge looks up the two pairs it makes anew, and its rank is the merged piece's id.
+    """
 
-    def merge(p: Column, _: Column) -> Column:
-        ranks = F.zip_with(p, F.slice(p, 2, F.size(p)), lambda a, b: rank(F.concat(a, b)))
-        at = let(ranks, lambda r: F.coalesce(F.array_position(r, F.array_min(r)), F.lit(0)).cast("int"))
-        joined = lambda i: F.concat(
-            F.slice(p, 1, i - 1), F.array(F.concat(F.get(p, i - 1), F.get(p, i))), F.slice(p, i + 2, F.size(p))
+    def merge(state: Column, _: Column) -> Column:
+        def at(least: Column) -> Column:
+            def joined(i: Column) -> Column:  # place of the pair's left piece, from 1
+                def put(q: Column) -> Column:
+                    right = F.concat(q, F.get(state, i + 1)["p"])
+                    changed = F.transform(
+                        state,
+                        lambda x, k: F.when((k > i) | (k < i - 2), x)
+                        .when(k == i - 1, F.struct(q.alias("p"), least.alias("id"), tables.rank(right).alias("r")))
+                        .when(k == i - 2, F.struct(x["p"].alias("p"), x["id"].alias("id"), tables.rank(F.concat(x["p"], q)).alias("r"))),
+                    )
+                    return F.filter(changed, lambda x: x.isNotNull())
+
+                return let(F.concat(F.get(state, i - 1)["p"], F.get(state, i)["p"]), put)
+
+            return F.when(least.isNull(), state).otherwise(let(F.array_position(state["r"], least).cast("int"), joined))
+
+        return let(F.array_min(state["r"]), at)
+
+    def fold(chars: Column) -> Column:
+        pairs = F.zip_with(
+            chars,
+            F.slice(chars, 2, F.size(chars)),
+            lambda a, b: F.struct(a.alias("p"), F.get(tables.single, F.ascii(a)).alias("id"), F.get(tables.double, F.ascii(a) * 256 + F.ascii(b)).alias("r")),
         )
-        return let(at, lambda i: F.when(i > 0, joined(i)).otherwise(p))
+        steps = F.sequence(F.lit(1), F.greatest(F.size(chars) - 1, F.lit(1)))
+        return F.aggregate(steps, pairs, merge, lambda state: state["id"])
 
-    steps = F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1)))
-    pieces = F.aggregate(steps, F.split(word, ""), merge)
-    return let(rank(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(pieces, rank)))
+    return let(tables.rank(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(let(F.split(word, ""), fold)))
 
 
 def fold_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -217,11 +243,11 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern_: str, id_col: str =
     Null and empty texts give no ids; strings of special tokens are ordinary text; repeated rows and
     ids stay rows of their own; extra columns are ignored. ``ranks`` must hold all single bytes.
     """
-    table = rank_table(ranks)
+    tables = RankTables(ranks)
     long_ranks = df.sparkSession.sparkContext.broadcast(ranks)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     gathered = rows.mapInArrow(_gatherer(pattern_), _GATHERED)
-    folded = F.transform("words", lambda w: F.when(F.length(w) <= LONG_WORD, fold_word(w, table)))
+    folded = F.transform("words", lambda w: F.when(F.length(w) <= LONG_WORD, fold_word(w, tables)))
     return gathered.withColumn("ids", folded).mapInArrow(_with_long(long_ranks), "doc_id long, ids binary")
 
 
