@@ -34,9 +34,8 @@ def write_matrix(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> b
     a = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     zeros, planes = [], []
     for b in range(bits - 1, -1, -1):
-        bit = (a >> b) & 1
-        planes.append(np.packbits(bit.view(np.uint8)[:: bit.itemsize]).tobytes())
-        one = bit.astype(bool)
+        one = (a & a.dtype.type(1 << b)) != 0
+        planes.append(np.packbits(one).tobytes())
         low = a[~one]
         zeros.append(len(low))
         a = np.concatenate([low, a[one]])
