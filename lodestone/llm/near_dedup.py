@@ -4,7 +4,9 @@ Equal sets are one class. Each class has a MinHash signature; every tree of the
 classes by its own order of the signature's positions, and neighbours with a common prefix are
 candidates. A region (run of equal prefixes) that is crowded is read one position deeper, and so
 on, until it is small; ordinary regions stay shallow and so keep their recall. Signatures thin the
-candidates, exact Jaccard on whole sets confirms, and star contraction gives the components.
+candidates, exact Jaccard on whole sets confirms, and contraction gives the components. Rows of
+crowded regions then form crowds, in which every pair of rows that are not yet in one component is
+tested on whole sets, a pair of blocks of rows at a time.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import partitions_for, persist_table
@@ -25,6 +27,8 @@ from lodestone.llm.shingles import MinHasher, jaccard_counts, shingle_set
 POSITIONS, TREES, DEPTH, LEAST_DEPTH, REGION = 256, 32, 10, 4, 96
 #: How far below the threshold an estimate may lie (three deviations at 256 positions).
 SLACK = 0.067
+#: Rows and shingles a block of a crowd has about, and distinct shingles counted at a time.
+BLOCK, BLOCK_SHINGLES, STRIP = 1000, 1_000_000, 4096
 
 _SIG = "doc_id long, n_shingles long, set_key binary, sig binary"
 
@@ -100,7 +104,55 @@ def regions_of(tree: np.ndarray, labels: np.ndarray, limit: int = REGION) -> Ite
                     yield at, min(y, at + limit), depth
 
 
+def crowds_of(tree: np.ndarray, labels: np.ndarray, limit: int = REGION) -> Iterator[tuple[int, int, bool]]:
+    """``(first, end, at_edge)`` of the runs of LEAST_DEPTH equal positions that are crowded or may go on elsewhere.
+
+    The first and the last run of the sorted rows may have been cut, so they are given whatever their size.
+    """
+    n = len(tree)
+    if not n:
+        return
+    same = (labels[1:, :LEAST_DEPTH] == labels[:-1, :LEAST_DEPTH]).all(axis=1) & (tree[1:] == tree[:-1])
+    edges = np.concatenate([[0], np.flatnonzero(~same) + 1, [n]])
+    for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        at_edge = x == 0 or y == n
+        if at_edge or y - x > limit:
+            yield x, y, at_edge
+
+
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of candidate regions (hub null), and rows of crowds, each with a row (hub) of its crowd.
+
+    A row of a crowd has a region only where it stands for a run that may go on in other tasks.
+    """
+
+    def emit_crowds(tree: np.ndarray, labels: np.ndarray, ids: np.ndarray, raw: list[bytes]):
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        keys, reps = [], []
+        for x, y, at_edge in crowds_of(tree, labels):
+            hub = find(int(ids[x]))
+            for i in ids[x + 1 : y].tolist():
+                root[find(i)] = hub
+            if at_edge:
+                keys.append(xxhash.xxh128_digest(b"crowd" + int(tree[x]).to_bytes(2, "big") + raw[x][: 2 * LEAST_DEPTH]))
+                reps.append(int(ids[x]))
+        nodes = list(root)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([None] * len(nodes) + keys, pa.binary()),
+                pa.array(nodes + reps, pa.int64()),
+                pa.array([find(i) for i in nodes] + reps, pa.int64()),
+            ],
+            names=["region", "rep", "hub"],
+        )
+
     def emit(parts: list[pa.RecordBatch]):
         table = pa.Table.from_batches(parts)
         tree = table.column(0).to_numpy()
@@ -113,13 +165,17 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys += [key] * (b - a)
             members.append(ids[a:b])
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.concatenate(members))], names=["region", "rep"])
+            found = np.concatenate(members)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.binary()), pa.array(found), pa.nulls(len(found), pa.int64())], names=["region", "rep", "hub"]
+            )
+        yield emit_crowds(tree, labels, ids, raw)
 
     held, rows = [], 0
     for batch in batches:
         held.append(batch)
         rows += batch.num_rows
-        if rows > 2_000_000:  # bounded memory; the other trees cover a region cut here
+        if rows > 2_000_000:  # bounded memory; a region cut here is a crowd
             yield from emit(held)
             held, rows = [], 0
     if rows:
@@ -186,6 +242,137 @@ def _confirm(per_cent: int):
     return run
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_set(t).tobytes() for t in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], names=["rep", "cluster", "comp", "members"])
+
+
+def linked(sets: list[np.ndarray], split: int, per_cent: int) -> np.ndarray:
+    """Which rows before ``split`` and from it on are alike, as a matrix; all with all if ``split`` is 0."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    rows = np.repeat(np.arange(len(sets)), sizes)
+    _, col = np.unique(np.concatenate(sets), return_inverse=True)
+    width = int(col.max()) + 1
+    if split:
+        seen = (np.bincount(col[rows < split], minlength=width) > 0) & (np.bincount(col[rows >= split], minlength=width) > 0)
+    else:
+        seen = np.bincount(col, minlength=width) > 1
+    kept = seen[col]
+    rows, col = rows[kept], (np.cumsum(seen) - 1)[col[kept]]
+    order = np.argsort(col, kind="stable")
+    rows, col = rows[order], col[order]
+    left, right = (slice(0, split), slice(split, None)) if split else (slice(None), slice(None))
+    both = np.zeros((len(sizes[left]), len(sizes[right])))
+    for at in range(0, int(seen.sum()), STRIP):
+        x, y = np.searchsorted(col, [at, at + STRIP])
+        strip = np.zeros((len(sets), min(STRIP, int(seen.sum()) - at)), np.float32)
+        strip[rows[x:y], col[x:y] - at] = 1
+        both += strip[left] @ strip[right].T
+    union = sizes[left][:, None] + sizes[right] - both
+    return 100 * both >= per_cent * union
+
+
+def _forest(near: np.ndarray, split: int, comp: np.ndarray) -> list[tuple[int, int]]:
+    """Links between components that span what ``near`` connects, at most one a row."""
+    if split:
+        whole = np.zeros((len(comp), len(comp)), bool)
+        whole[:split, split:], whole[split:, :split] = near, near.T
+        near = whole
+    left = np.ones(len(comp), bool)
+    out = []
+    for first in range(len(comp)):
+        todo = [first] if left[first] else []
+        left[first] = False
+        while todo:
+            i = todo.pop()
+            new = np.flatnonzero(near[i] & left)
+            left[new] = False
+            todo += new.tolist()
+            out += [(int(comp[i]), int(comp[j])) for j in new if comp[i] != comp[j]]
+    return list(dict.fromkeys(out))
+
+
+def _test_blocks(per_cent: int):
+    """Rows sorted by pair and side: components linked between the two blocks (or inside one)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def test(rows: list[tuple]):
+            sides = [r[1] for r in rows]
+            split = sides.index(1) if 1 in sides and sides[0] == 0 else 0
+            if len(rows) > 1 and (split or sides[0] == 2):
+                near = linked([np.frombuffer(r[3], np.uint64) for r in rows], split, per_cent)
+                return _forest(near, split, np.array([r[2] for r in rows]))
+            return []
+
+        def out(links):
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        key, rows = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if row[0] != key:
+                    if rows:
+                        yield out(test(rows))
+                    key, rows = row[0], []
+                rows.append(row)
+        if rows:
+            yield out(test(rows))
+
+    return run
+
+
+def _crowd_links(docs: DataFrame, crowds: DataFrame, found: DataFrame, per_cent: int, width: int) -> DataFrame:
+    """``a, b``: components of ``found`` that exact tests link within crowds.
+
+    Rows connected over crowded regions are one cluster; those that share a crowded region with a
+    row are all in its cluster. A cluster's rows are dealt by hash into blocks: components larger
+    than a block get blocks of their own, the others share blocks. Every pair of blocks is one test,
+    but for blocks of the same one component, so a group found whole costs nothing more.
+    """
+    cut = crowds.where("region is not null")
+    joined = cut.select("rep", F.min("rep").over(Window.partitionBy("region")).alias("hub"))
+    clusters = connected_components(crowds.where("region is null").select("rep", "hub").unionByName(joined).toDF("a", "b"))
+    rows = clusters.join(found, "node", "left").select(
+        F.col("node").alias("rep"), F.col("component").alias("cluster"), F.coalesce("first", "node").alias("comp")
+    )
+    open_ = rows.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("cluster")
+    rows = persist_table(rows.join(open_, "cluster").select("rep", "cluster", "comp"), "crowds")
+    texts = docs.join(rows.withColumnRenamed("rep", "doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "cluster", "comp", "text")
+    sets = texts.mapInArrow(_sets, "rep long, cluster long, comp long, members binary").where(F.length("members") > 0)
+    sets = persist_table(sets.dropDuplicates(["rep", "members"]), "crowd-sets")
+    parts = sets.groupBy("cluster", "comp").agg(F.count("*").alias("n"), F.sum(F.length("members") / 8).alias("m"))
+    size = lambda n, m: F.ceil(F.greatest(n / BLOCK, m / BLOCK_SHINGLES))
+    parts = parts.withColumn("own", size(F.col("n"), F.col("m")))
+    shared = parts.where("own = 1").groupBy("cluster").agg(size(F.sum("n"), F.sum("m")).alias("shared"))
+    parts = persist_table(parts.join(shared, "cluster", "left"), "crowd-parts")
+    # a block is (pure component or null, number)
+    pure = F.when(F.col("own") > 1, F.col("comp"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    blocks = parts.where("own > 1").select("cluster", pure.alias("pure"), numbers(F.col("own")).alias("no"))
+    blocks = blocks.unionByName(
+        parts.where("own = 1").select("cluster", "shared").distinct().select("cluster", F.lit(None).cast("long").alias("pure"), numbers(F.col("shared")).alias("no"))
+    )
+    blocks = blocks.withColumn("block", F.xxhash64("cluster", F.coalesce("pure", F.lit(-1)), F.col("pure").isNull(), "no"))
+    blocks = persist_table(blocks.select("cluster", "pure", "block"), "crowd-blocks")
+    other = blocks.select("cluster", F.col("pure").alias("pure2"), F.col("block").alias("block2"))
+    apart = F.col("pure").isNull() | F.col("pure2").isNull() | (F.col("pure") != F.col("pure2"))
+    pairs = blocks.join(other, "cluster").where(apart & (F.col("block") <= F.col("block2")))
+    pairs = pairs.withColumn("pair", F.xxhash64("block", "block2"))
+    alone = F.col("block") == F.col("block2")
+    sides = pairs.select("block", "pair", F.when(alone, 2).otherwise(0).alias("side"))
+    sides = persist_table(sides.unionByName(pairs.where(~alone).select(F.col("block2").alias("block"), "pair", F.lit(1).alias("side"))), "crowd-pairs")
+    placed = sets.join(parts.select("cluster", "comp", "own", "shared"), ["cluster", "comp"]).select(
+        F.xxhash64(
+            "cluster", F.coalesce(pure, F.lit(-1)), pure.isNull(), F.when(F.col("own") > 1, F.pmod(F.xxhash64("rep"), "own")).otherwise(F.pmod(F.xxhash64("comp"), "shared"))
+        ).alias("block"),
+        "comp",
+        "members",
+    )
+    tests = placed.join(sides, "block").select("pair", "side", "comp", "members")
+    return tests.repartition(width, "pair").sortWithinPartitions("pair", "side").mapInArrow(_test_blocks(per_cent), "a long, b long")
+
+
 def near_duplicates(df: DataFrame, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: ``doc_id, n_shingles, component_id, kept``.
 
@@ -194,8 +381,9 @@ def near_duplicates(df: DataFrame, per_cent: int = 80, id_col: str = "doc_id", t
     (null, empty, white space) have n_shingles 0 and stand alone; equal texts and repeated rows
     fall into one class without being paired; a null id takes no part in links and is kept with a
     null component. Other columns of ``df`` are ignored. Work grows with rows, trees and confirmed
-    neighbours: no step lists all pairs of a group, and hot classes are looked up by broadcast of
-    at most a thousand rows.
+    neighbours, and in a crowd with the pairs of its rows that sorted neighbours did not connect;
+    these are counted block by block, not listed. Hot classes are looked up by broadcast of at most
+    a thousand rows.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = persist_table(docs.mapInArrow(_sign, _SIG), "signatures")
@@ -207,13 +395,14 @@ def near_duplicates(df: DataFrame, per_cent: int = 80, id_col: str = "doc_id", t
     )
     width = partitions_for(df)
     planted = classes.select("rep", "sig").mapInArrow(_plant, "tree int, label binary, rep long")
-    members = (
+    members = persist_table(
         planted.repartitionByRange(width, "tree", "label", "rep")
         .sortWithinPartitions("tree", "label", "rep")
-        .mapInArrow(_regions, "region binary, rep long")
+        .mapInArrow(_regions, "region binary, rep long, hub long"),
+        "regions",
     )
     candidates = persist_table(
-        members.join(classes.select("rep", "sig"), "rep")
+        members.where("hub is null").join(classes.select("rep", "sig"), "rep")
         .select("region", "rep", "sig")
         .repartition(width, "region")
         .sortWithinPartitions("region")
@@ -234,9 +423,12 @@ def near_duplicates(df: DataFrame, per_cent: int = 80, id_col: str = "doc_id", t
         .sortWithinPartitions("a", F.col("b").asc_nulls_first())
         .mapInArrow(_confirm(per_cent), "a long, b long")
     )
-    found = connected_components(links)
+    found = persist_table(connected_components(links).withColumnRenamed("component", "first"), "first")
+    more = _crowd_links(docs.where("doc_id is not null"), members.where("hub is not null"), found, per_cent, width)
+    merged = connected_components(more).withColumnsRenamed({"node": "first", "component": "last"})
     placed = classes.select("set_key", "rep", "n").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = persist_table(placed.select("set_key", "n", F.coalesce("component", "rep").alias("component_id")), "placed")
+    placed = placed.withColumn("first", F.coalesce("first", "rep")).join(merged, "first", "left")
+    placed = persist_table(placed.select("set_key", "n", F.coalesce("last", "first").alias("component_id")), "placed")
     return _look_up(signed.select("doc_id", "n_shingles", "set_key"), placed)
 
 

@@ -93,3 +93,22 @@ def test_components(spark):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     assert got == {v: find(v) for v in root}
+
+
+def test_star_of_copies(spark):
+    """Each copy is like the master alone, so sorted neighbours in crowded regions do not connect them."""
+    rng = random.Random(5)
+    base, n = words(rng, 300), 3000
+    texts = [" ".join(base)]
+    for i in range(n):
+        w = list(base)
+        for k in range(5):
+            w[rng.randrange(k * 60, k * 60 + 55)] = f"new{i}x{k}"
+        texts.append(" ".join(w))
+    sets = [shingle_set(t) for t in texts]
+    alike = [100 * b >= 80 * u for b, u in (jaccard_counts(sets[0], x) for x in sets[1:])]
+    assert all(alike) and 100 * jaccard_counts(sets[5], sets[9])[0] < 80 * jaccard_counts(sets[5], sets[9])[1]
+    df = spark.createDataFrame([(n - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = near_dedup.near_duplicates(df, 80)
+    assert [(r.component_id, r["count"]) for r in got.groupBy("component_id").count().collect()] == [(0, n + 1)]
+    assert [r.doc_id for r in got.where("kept").collect()] == [0]
