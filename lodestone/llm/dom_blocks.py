@@ -6,10 +6,9 @@ import html
 import re
 from dataclasses import dataclass
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:\"[^\"]{0,4096}+\"|'[^']{0,4096}+'|[^>\"'])*+>|[^>]*+(?:>|\Z))|<[!?/][^>]*+(?:>|\Z)",
-    re.S,
-)
+_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)|<[!?/][^>]*+(?:>|\Z)", re.S)
+#: One attribute of a tag: up to the end of its name, of its unquoted value, or to behind the quote that opens its value.
+_ATTRIBUTE = re.compile(r"[ \t\n\f\r/]*+=?[^ \t\n\f\r/>=]*+(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:(?P<quote>[\"'])|[^ \t\n\f\r>]*+))?")
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -35,6 +34,39 @@ def _end_of_raw(page: str, tag: str, at: int) -> int:
     return m.end() if m else len(page)
 
 
+class _Tags:
+    """Where the tags of a page end; a quote is looked for at most once from a place without one."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.none_from = {'"': len(page) + 1, "'": len(page) + 1}
+        #: Places between attributes from which a quoted value that never ends is met.
+        self.lost: set[int] = set()
+
+    def end(self, start: int) -> int:
+        """The end of the tag whose name ends at ``start``: behind its '>' outside quoted values, or the page's end.
+
+        A quote opens a value only after '='. A tag with a value that never ends is over at its first '>'.
+        """
+        page, at, seen = self.page, start, []
+        while at not in self.lost:
+            seen.append(at)
+            m = _ATTRIBUTE.match(page, at)
+            at = m.end()
+            if quote := m["quote"]:
+                close = page.find(quote, at) if at < self.none_from[quote] else -1
+                if close < 0:
+                    self.none_from[quote] = min(at, self.none_from[quote])
+                    break
+                at = close + 1
+            elif at == len(page):
+                return at
+            elif page[at] == ">":
+                return at + 1
+        self.lost.update(seen)
+        return page.find(">", start) + 1 or len(page)
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """Blocks in page order; texts have references decoded, white space folded, ends trimmed.
 
@@ -60,6 +92,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
         del stack[i:]
 
     page = page or ""
+    tags = _Tags(page)
     at = 0
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -72,6 +105,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
         at = m.end()
         if m["tag"] is None:
             continue
+        at = tags.end(m.end())
+        rest = page[m.end() : at]
         tag = m["tag"].lower()
         if tag not in INLINE:
             flush()
@@ -84,7 +119,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
                     break
             continue
         if tag in RAW:
-            if not m["rest"].endswith("/>"):
+            if not rest.endswith("/>"):
                 at = _end_of_raw(page, tag, at)
             continue
         if tag in CLOSES_P:
@@ -102,7 +137,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 if stack[i][0] in SCOPES:
                     break
         if tag not in VOID:
-            named = " ".join("".join(x) for x in _NAMED.findall(m["rest"])) if "=" in m["rest"] else ""
+            named = " ".join("".join(x) for x in _NAMED.findall(rest)) if "=" in rest else ""
             stack.append((tag, tuple(_WORD.findall(named.lower()))))
             links += tag == "a"
     flush()

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 
@@ -53,3 +54,17 @@ def test_extract(spark):
         want = "Title <\nOne two.\nThree." if r.page_id not in (2, 3) else ""
         assert (r.text, r.n_chars) == (want, len(want))
     assert crf.extract(df.limit(0)).count() == 0
+
+
+def test_long_and_unclosed_quoted_values():
+    for quote in "\"'":
+        for n in (10, 5000, 300_000):
+            value = "x" * n + "<p>leak</p>tail"
+            assert texts(f"<div data-x = {quote}{value}{quote} id=a>one</div><p>two") == ["one", "two"]
+    assert texts("<p title=it's>one</p><p>two</p><p>it's") == ["one", "two", "it's"]
+    assert texts('<p a="1"">one</p><p>a "b"') == ["one", 'a "b"']
+    assert texts("<p a='>one</p><p b=\">two") == ["one", "two"]
+    began = time.process_time()
+    leaf_blocks("<p a='>x" * 100_001 + '<p a=">x')
+    leaf_blocks("<a " + 'x="><a " ' * 100_000 + "y='")
+    assert time.process_time() - began < 20
