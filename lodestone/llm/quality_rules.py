@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.classic.column import Column as ClassicColumn
 
-from lodestone.llm.common import WS_CLASS, let
+from lodestone.llm.common import WS_CLASS, let, persist_table
 
-#: Buckets the word n-grams are hashed into, and the pseudo-count of each. A ratio learnt from n
-#: occurrences is weighted by n / (n + SHRINK), so that rare n-grams say little.
-BUCKETS, PSEUDO, SHRINK = 1 << 14, 1.0, 200.0
+#: Least number of buckets the word n-grams are hashed into, n-grams a bucket beyond it, and the pseudo-count
+#: of each. A ratio learnt from n occurrences is weighted by n / (n + SHRINK), so that rare n-grams say little.
+BUCKETS, PER_BUCKET, PSEUDO, SHRINK = 1 << 14, 61, 1.0, 200.0
+#: Up to so many buckets the ratios are one literal, up to so many one array that tasks hold; beyond, a joined table.
+LITERAL, HELD = 1 << 17, 1 << 23
+#: Trusted ids that are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: A document is kept when its mean log-likelihood ratio per n-gram is at least this.
 LEAST_RATIO = -0.06
 SYMBOLS = "#*$%&|<>"
@@ -93,24 +99,63 @@ def base_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def fit_ratios(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> list[float]:
+def bucket_count(df: DataFrame, text_col: str = "text") -> int:
+    """Buckets for the n-grams of ``df``: one for each PER_BUCKET, BUCKETS at least."""
+    words = F.size(words_of(F.col(text_col).cast("string"))).cast("long")
+    total = df.agg(F.sum(F.greatest(2 * words - 1, F.lit(0)))).first()[0] or 0
+    return max(BUCKETS, -(-total // PER_BUCKET))
+
+
+@dataclass
+class Ratios:
+    """Log ratios of ``buckets`` buckets as a table ``b, ratio``; a bucket without a row has ratio 0."""
+
+    table: DataFrame
+    buckets: int
+
+    def held(self) -> Column:
+        """All ratios as one array literal in Spark's own layout: eight bytes a bucket, none boxed or parsed."""
+        got = self.table.toArrow()
+        nulls = -(-self.buckets // 64)
+        dense = np.zeros(1 + nulls + self.buckets, "<f8")
+        dense[1 + nulls + got["b"].to_numpy()] = got["ratio"].to_numpy()
+        dense[:1].view("<i8")[0] = self.buckets
+        jvm = self.table.sparkSession._jvm
+        array = jvm.org.apache.spark.sql.catalyst.expressions.UnsafeArrayData()
+        array.pointTo(dense.tobytes(), jvm.org.apache.spark.unsafe.Platform.BYTE_ARRAY_OFFSET, dense.nbytes)
+        kind = jvm.org.apache.spark.sql.types.DataType.fromDDL("array<double>")
+        literal = jvm.org.apache.spark.sql.catalyst.expressions.Literal(array, kind)
+        return ClassicColumn(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(literal))
+
+
+def fit_ratios(
+    df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None
+) -> list[float] | Ratios:
     """Log ratio of each bucket's share in the trusted documents to its share in all documents.
 
-    Counts cover every row of ``df``; ``trusted`` has the ids of the trusted ones in id_col. Only
-    one row a bucket reaches the driver. Without trusted documents every ratio is 0.
+    Counts cover every row of ``df``; ``trusted`` has the ids of the trusted ones in id_col. The
+    buckets grow with the n-grams unless given. Up to LITERAL of them the ratios are a list; more
+    stay a table. Without trusted documents every ratio is 0.
     """
-    # both sides grow with the corpus, so neither is broadcast
+    buckets = buckets or bucket_count(df, text_col)
     marks = trusted.select(F.col(id_col).cast("long").alias("__id")).where("__id is not null").distinct().withColumn("__trusted", F.lit(1))
+    # both sides grow with the corpus: only few ids are broadcast, which spares a shuffle of the texts
+    how = "broadcast" if marks.count() <= BROADCAST_IDS else "merge"
     rows = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    marked = rows.join(marks.hint("merge"), "__id", "left")
+    marked = rows.join(marks.hint(how), "__id", "left")
     counted = (
         marked.select(F.explode(ngram_buckets(words_of(F.col("__text")), buckets)).alias("b"), "__trusted")
         .groupBy("b")
         .agg(F.count("*").alias("raw"), F.count("__trusted").alias("target"))
-        .collect()
     )
+    if buckets > LITERAL:
+        counted = persist_table(counted, "buckets")
+        n, m = (x or 0 for x in counted.agg(F.sum("raw"), F.sum("target")).first())
+        share = lambda c, total: F.log((F.col(c) + PSEUDO) / (total + PSEUDO * buckets))
+        ratio = (share("target", m) - share("raw", n)) * F.col("raw") / (F.col("raw") + SHRINK)
+        return Ratios(counted.select("b", (ratio if m else F.lit(0.0)).alias("ratio")), buckets)
     raw, target = np.full(buckets, PSEUDO), np.full(buckets, PSEUDO)
-    for b, n, m in counted:
+    for b, n, m in counted.collect():
         raw[b] += n
         target[b] += m
     if target.sum() == PSEUDO * buckets:
@@ -119,23 +164,42 @@ def fit_ratios(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     return (ratio * (raw - PSEUDO) / (raw - PSEUDO + SHRINK)).tolist()
 
 
-def mean_ratio(words: Column, ratios: list[float]) -> Column:
+def mean_ratio(words: Column, ratios: list[float] | Ratios) -> Column:
     """Mean log-likelihood ratio of a text's n-grams; 0 without any."""
-    table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")  # folded into one literal
-    buckets = ngram_buckets(words, len(ratios))
-    total = let(buckets, lambda b: F.aggregate(b, F.lit(0.0), lambda acc, x: acc + F.get(table, x)) / F.size(b))
+    if isinstance(ratios, Ratios):
+        table, n = ratios.held(), ratios.buckets
+    else:
+        table, n = F.from_json(F.lit(json.dumps(ratios)), "array<double>"), len(ratios)  # folded into one literal
+    total = let(ngram_buckets(words, n), lambda b: F.aggregate(b, F.lit(0.0), lambda acc, x: acc + F.get(table, x)) / F.size(b))
     return F.when(F.size(words) > 0, total).otherwise(F.lit(0.0))
 
 
-def judge(df: DataFrame, ratios: list[float], least: float = LEAST_RATIO, text_col: str = "text") -> DataFrame:
+def join_ratios(df: DataFrame, ratios: Ratios, text_col: str = "text") -> DataFrame:
+    """``df`` with ``ratio``, the mean ratio of each text's n-grams, by joining these with the table.
+
+    Equal texts are one key; hot buckets and texts are split by the skew join.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = df.withColumn("__key", F.unhex(F.md5(text)))
+    grams = keyed.select("__key", F.explode(ngram_buckets(words_of(text), ratios.buckets)).alias("b"))
+    means = grams.join(ratios.table.hint("merge"), "b", "left").groupBy("__key").agg(F.avg(F.coalesce("ratio", F.lit(0.0))).alias("__mean"))
+    found = keyed.join(means.hint("merge"), "__key", "left")
+    return found.withColumn("ratio", F.coalesce("__mean", F.lit(0.0))).drop("__key", "__mean")
+
+
+def judge(df: DataFrame, ratios: list[float] | Ratios, least: float = LEAST_RATIO, text_col: str = "text") -> DataFrame:
     """``df`` and ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio, kept``.
 
     A null text counts as empty: no words, base_failed. Columns of ``df`` with these names are
-    replaced. A text is one row throughout: no shuffle, and no work beyond n log n in its words.
+    replaced. A text is one row throughout: no shuffle, and no work beyond n log n in its words;
+    only for more than HELD buckets are its n-grams dealt out to look their ratios up.
     """
-    out = base_counts(df, text_col)
+    joined = isinstance(ratios, Ratios) and ratios.buckets > HELD
+    out = base_counts(join_ratios(df, ratios, text_col) if joined else df, text_col)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = out.withColumn("base_failed", failed).withColumn("ratio", mean_ratio(F.col("__words"), ratios))
+    out = out.withColumn("base_failed", failed)
+    if not joined:
+        out = out.withColumn("ratio", mean_ratio(F.col("__words"), ratios))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= least)).drop("__words")
 
 

@@ -88,3 +88,26 @@ def test_empty_tables(spark, texts):
 def test_plan_stays_in_the_jvm(spark, texts):
     plan = q.judge(frame(spark, texts), [0.0] * 16)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_buckets_grow_with_the_ngrams(spark):
+    docs = frame(spark, [" ".join(f"w{i}" for i in range(k, k + 5000)) for k in range(0, 600_000, 5000)])
+    n = 120 * (2 * 5000 - 1)
+    assert q.bucket_count(docs) == -(-n // q.PER_BUCKET) > q.BUCKETS
+    assert len(q.fit_ratios(docs, docs.select("doc_id").limit(1))) == q.bucket_count(docs)
+    assert q.bucket_count(docs.limit(1)) == q.bucket_count(docs.limit(0)) == q.BUCKETS
+
+
+@pytest.mark.parametrize("held", [64, 8])
+def test_tables_give_the_ratios_of_the_literal(spark, texts, monkeypatch, held):
+    docs, trusted = frame(spark, texts), spark.createDataFrame([(i,) for i in range(12, 60)], "doc_id long")
+    want = {r.doc_id: r for r in q.judge(docs, q.fit_ratios(docs, trusted, buckets=64)).collect()}
+    monkeypatch.setattr(q, "LITERAL", 8)
+    monkeypatch.setattr(q, "HELD", held)
+    ratios = q.fit_ratios(docs, trusted, buckets=64)
+    judged = q.judge(docs, ratios)
+    assert isinstance(ratios, q.Ratios) and not re.search("Python|Pandas|Arrow", judged._jdf.queryExecution().toString())
+    got = judged.collect()
+    assert len(got) == len(texts) and set(judged.columns) == set(want[0].asDict())
+    for r in got:
+        assert r.ratio == pytest.approx(want[r.doc_id].ratio, abs=1e-9) and r.kept == want[r.doc_id].kept
