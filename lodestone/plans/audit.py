@@ -186,7 +186,7 @@ def explore(tasks: DataFrame, index: DataFrame, lines: DataFrame, language: str,
     plain = [s for s in signals if not ("." in s or "\\" in s)]
     named = index.where(F.col("name").isin(plain)).select(F.try_element_at(order, F.col("name")).cast("long").alias("a"), F.lit(0).alias("b"), "file", "name", "line")
     hits = used.unionByName(named).withColumn("c", F.row_number().over(Window.partitionBy("a", "b").orderBy("file", "line")).cast("long"))
-    events = logic.join(F.broadcast(hits.limit(len(signals) * 2 * K.RESOURCE_LIMIT)), F.lit(True))
+    events = logic.join(F.broadcast(hits.where(F.col("c") <= K.RESOURCE_LIMIT)), F.lit(True))
     quota = R.resource_quota(
         events.select("task_id", F.col("a").alias("signal_ord"), F.col("b").alias("phase"), F.col("c").alias("ord"), "name", "file"), vector.select("task_id", "name").unionByName(symbol.select("task_id", "name"))
     )

@@ -174,3 +174,20 @@ def test_text_lines_are_kept(spark):
     rows = spark.createDataFrame([("f", "a\n\nb\n")], "file string, content string")
     assert [(r.line_no, r.line) for r in L.explode_lines(rows, ["file"]).orderBy("line_no").collect()] == [(1, "a"), (2, ""), (3, "b"), (4, "")]
     assert rows.select(F.size(F.split("content", "\n", -1))).first()[0] == 4
+
+
+def test_resource_events_are_bounded_by_signal_and_order(spark, tmp_path, monkeypatch):
+    """Many definitions of one signal do not crowd out the others' first ones."""
+    (tmp_path / "p").mkdir()
+    body = "def execute(x):\n    a = x + 1\n    b = a * 2\n    c = b - 3\n    return c\n\n\n"
+    for i in range(60):
+        (tmp_path / "p" / f"f{i}.py").write_text(body)
+    (tmp_path / "p" / "z.py").write_text(SOURCE)
+    (tmp_path / "c.xml").write_text(XML)
+    caught = []
+    quota = audit.R.resource_quota
+    monkeypatch.setattr(audit.R, "resource_quota", lambda events, known: caught.append(events) or quota(events, known))
+    audit.run_pipeline(spark, audit.AuditConfig(str(tmp_path / "p"), str(tmp_path / "c.xml"), str(tmp_path / "w")))
+    found = caught[0].groupBy("task_id", "signal_ord", "phase").agg(F.count("*").alias("n"), F.max("ord").alias("last")).collect()
+    assert found and max(r.n for r in found) == audit.K.RESOURCE_LIMIT
+    assert all(r.n == r.last for r in found)
