@@ -197,7 +197,7 @@ SELECT CASE WHEN n.doc_id IS NULL THEN 'deleted' WHEN o.doc_id IS NULL THEN 'new
 FROM o FULL JOIN n ON o.doc_id = n.doc_id GROUP BY 1
 """)
 def md5_changes(spark, d):
-    """The whole table, then again as it might be later: some texts edited, some rows gone, some added."""
+    """Two snapshots cut from the table as the SQL has it: some texts edited, some rows gone, some added; ids divisible by 77 are in neither."""
     docs = table(spark, d, "documents")
     later = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
     old = docs.where("doc_id % 7 <> 0").select(F.col("doc_id").alias("path"), F.md5("text").alias("md5"))
