@@ -25,8 +25,8 @@ from lodestone.llm.shingles import MinHasher, jaccard_counts, shingle_set
 
 #: Signature length, trees, label length, least depth and the size above which a region goes deeper.
 POSITIONS, TREES, DEPTH, LEAST_DEPTH, REGION = 256, 32, 10, 4, 96
-#: How far below the threshold an estimate may lie (three deviations at 256 positions).
-SLACK = 0.067
+#: How many deviations an estimate may lie below the threshold.
+DEVIATIONS = 5
 #: Rows and shingles a block of a crowd has about, and distinct shingles counted at a time.
 BLOCK, BLOCK_SHINGLES, STRIP = 1000, 1_000_000, 4096
 
@@ -182,6 +182,12 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from emit(held)
 
 
+def least_estimate(per_cent: int) -> float:
+    """Share of equal positions from which a pair is tested exactly."""
+    share = per_cent / 100
+    return share - DEVIATIONS * (share * (1 - share) / POSITIONS) ** 0.5
+
+
 def _meet(least: float):
     """Rows sorted by region: pairs whose signatures agree in a share of at least ``least``."""
 
@@ -406,7 +412,7 @@ def near_duplicates(df: DataFrame, per_cent: int = 80, id_col: str = "doc_id", t
         .select("region", "rep", "sig")
         .repartition(width, "region")
         .sortWithinPartitions("region")
-        .mapInArrow(_meet(per_cent / 100 - SLACK), "a long, bs array<long>")
+        .mapInArrow(_meet(least_estimate(per_cent)), "a long, bs array<long>")
         .groupBy("a")
         .agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs")),
         "candidates",

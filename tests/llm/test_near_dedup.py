@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import near_dedup
@@ -112,3 +113,14 @@ def test_star_of_copies(spark):
     got = near_dedup.near_duplicates(df, 80)
     assert [(r.component_id, r["count"]) for r in got.groupBy("component_id").count().collect()] == [(0, n + 1)]
     assert [r.doc_id for r in got.where("kept").collect()] == [0]
+
+
+@pytest.mark.parametrize("per_cent", [80, 85])
+def test_estimates_lose_no_pair_at_the_threshold(per_cent):
+    pairs = near_dedup._meet(near_dedup.least_estimate(per_cent))
+    for off, found in ((4.9, 1), (5.2, 0)):
+        share = per_cent / 100 - off * (per_cent / 100 * (1 - per_cent / 100) / near_dedup.POSITIONS) ** 0.5
+        sig = np.zeros((2, near_dedup.POSITIONS), ">u2")
+        sig[1, int(np.ceil(share * near_dedup.POSITIONS)) if found else int(share * near_dedup.POSITIONS) :] = 1
+        batch = pa.RecordBatch.from_arrays([pa.array([b"r"] * 2), pa.array([1, 2]), pa.array([x.tobytes() for x in sig])], names=["region", "rep", "sig"])
+        assert sum(b.num_rows for b in pairs(iter([batch]))) == found
