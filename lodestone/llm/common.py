@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.classic.column import Column as ClassicColumn
 
 #: ASCII white space, as the word rule ``[^\x20\x09-\x0D]+`` has it.
 WS_CLASS = r"[\x20\x09-\x0D]+"
@@ -48,10 +50,16 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
-def arrow_rows(batches: Iterator, *names: str) -> Iterator[tuple]:
-    """Yield, per Arrow batch, the named columns as Python lists."""
-    for batch in batches:
-        yield tuple(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)
+def array_literal(spark: SparkSession, values: np.ndarray, kind: str) -> Column:
+    """A literal array of fixed-width numbers in Spark's own layout: none boxed, none parsed."""
+    n, dtype = len(values), {"int": "<i4", "bigint": "<i8", "double": "<f8"}[kind]
+    raw = np.int64(n).tobytes() + bytes(8 * -(-n // 64)) + np.ascontiguousarray(values, dtype).tobytes()
+    raw += bytes(-len(raw) % 8)
+    jvm = spark._jvm
+    array = jvm.org.apache.spark.sql.catalyst.expressions.UnsafeArrayData()
+    array.pointTo(raw, jvm.org.apache.spark.unsafe.Platform.BYTE_ARRAY_OFFSET, len(raw))
+    literal = jvm.org.apache.spark.sql.catalyst.expressions.Literal(array, jvm.org.apache.spark.sql.types.DataType.fromDDL(f"array<{kind}>"))
+    return ClassicColumn(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(literal))
 
 
 def partitions_for(df: DataFrame, floor: int = 1) -> int:
