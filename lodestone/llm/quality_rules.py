@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.classic.column import Column as ClassicColumn
 
-from lodestone.llm.common import WS_CLASS, let, persist_table
+from lodestone.llm.common import WS_CLASS, array_literal, let, persist_table
 
-#: Least number of buckets the word n-grams are hashed into, n-grams a bucket beyond it, and the pseudo-count
-#: of each. A ratio learnt from n occurrences is weighted by n / (n + SHRINK), so that rare n-grams say little.
-BUCKETS, PER_BUCKET, PSEUDO, SHRINK = 1 << 14, 61, 1.0, 200.0
-#: Up to so many buckets the ratios are one literal, up to so many one array that tasks hold; beyond, a joined table.
-LITERAL, HELD = 1 << 17, 1 << 23
+#: Least number of buckets the word n-grams are hashed into, buckets for the square root of their count beyond
+#: it, and the pseudo-count of each. Vocabularies grow about as the root of a text (Heaps), and a table that grew
+#: in proportion would have 10**12 rows at 100 TB; so it has 4 * 10**8. A ratio learnt from n occurrences is
+#: weighted by n / (n + SHRINK), so that rare n-grams say little.
+BUCKETS, PER_ROOT, PSEUDO, SHRINK = 1 << 14, 46, 1.0, 200.0
+#: Up to so many buckets the ratios are one literal, up to so many one array that tasks hold (256 MB at most);
+#: beyond, a joined table.
+LITERAL, HELD = 1 << 17, 1 << 25
 #: Trusted ids that are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: A document is kept when its mean log-likelihood ratio per n-gram is at least this.
@@ -100,10 +103,10 @@ def base_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def bucket_count(df: DataFrame, text_col: str = "text") -> int:
-    """Buckets for the n-grams of ``df``: one for each PER_BUCKET, BUCKETS at least."""
+    """Buckets for the n-grams of ``df``: PER_ROOT times the square root of their count, BUCKETS at least."""
     words = F.size(words_of(F.col(text_col).cast("string"))).cast("long")
     total = df.agg(F.sum(F.greatest(2 * words - 1, F.lit(0)))).first()[0] or 0
-    return max(BUCKETS, -(-total // PER_BUCKET))
+    return max(BUCKETS, PER_ROOT * math.isqrt(total))
 
 
 @dataclass
@@ -115,17 +118,9 @@ class Ratios:
 
     def held(self) -> Column:
         """All ratios as one array literal in Spark's own layout: eight bytes a bucket, none boxed or parsed."""
-        got = self.table.toArrow()
-        nulls = -(-self.buckets // 64)
-        dense = np.zeros(1 + nulls + self.buckets, "<f8")
-        dense[1 + nulls + got["b"].to_numpy()] = got["ratio"].to_numpy()
-        dense[:1].view("<i8")[0] = self.buckets
-        jvm = self.table.sparkSession._jvm
-        array = jvm.org.apache.spark.sql.catalyst.expressions.UnsafeArrayData()
-        array.pointTo(dense.tobytes(), jvm.org.apache.spark.unsafe.Platform.BYTE_ARRAY_OFFSET, dense.nbytes)
-        kind = jvm.org.apache.spark.sql.types.DataType.fromDDL("array<double>")
-        literal = jvm.org.apache.spark.sql.catalyst.expressions.Literal(array, kind)
-        return ClassicColumn(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(literal))
+        got, dense = self.table.toArrow(), np.zeros(self.buckets)
+        dense[got["b"].to_numpy()] = got["ratio"].to_numpy()
+        return array_literal(self.table.sparkSession, dense, "double")
 
 
 def fit_ratios(

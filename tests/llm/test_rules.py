@@ -93,7 +93,7 @@ def test_plan_stays_in_the_jvm(spark, texts):
 def test_buckets_grow_with_the_ngrams(spark):
     docs = frame(spark, [" ".join(f"w{i}" for i in range(k, k + 5000)) for k in range(0, 600_000, 5000)])
     n = 120 * (2 * 5000 - 1)
-    assert q.bucket_count(docs) == -(-n // q.PER_BUCKET) > q.BUCKETS
+    assert q.bucket_count(docs) == q.PER_ROOT * math.isqrt(n) > q.BUCKETS
     assert len(q.fit_ratios(docs, docs.select("doc_id").limit(1))) == q.bucket_count(docs)
     assert q.bucket_count(docs.limit(1)) == q.bucket_count(docs.limit(0)) == q.BUCKETS
 
