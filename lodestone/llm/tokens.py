@@ -40,17 +40,15 @@ class ChunkEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, parts: list[str]) -> None:
-        if len(self.store) > STORE:
-            self.store, self.older = {}, self.store
+    def _learn(self, missing: set[str]) -> None:
+        """Store the ids of chunks that the store lacks."""
         store, older = self.store, self.older
-        new, compound = set(), []
-        for p in set(parts):
-            if p in store:
-                continue
-            if p in older:
-                store[p] = older[p]
-                continue
+        if older:
+            known = [p for p in missing if p in older]
+            store.update((p, older[p]) for p in known)
+            missing = missing.difference(known)
+        new, compound = [], []
+        for p in missing:
             base = p.rstrip(MARKS)
             if base != p and base.isalpha():  # letters, then marks: two matches
                 compound.append((p, base))
@@ -59,9 +57,11 @@ class ChunkEncoder:
                 if base in older:
                     store[base] = older[base]
                     continue
+                if base in missing:
+                    continue
                 p = base
-            new.add(p)
-        self._encode_new(list(new))
+            new.append(p)
+        self._encode_new(list(dict.fromkeys(new)))
         for p, base in compound:
             tail = p[len(base) :]
             if tail not in self.marks:
@@ -90,24 +90,17 @@ class ChunkEncoder:
             return b""
         parts = _cut.split(text) if _rough.search(text) else text.split(" ")
         head, rest = self._ids(parts[0]).tobytes(), parts[1:]
-        if not rest:
-            return head
-        try:
-            return head + b"".join(map(self.store.__getitem__, rest))
-        except KeyError:
-            pass
-        if max(map(len, rest)) > LONGEST:
-            return head + b"".join(self._long(p) if len(p) > LONGEST else self._short(p) for p in rest)
-        self._learn(rest)
-        return head + b"".join(map(self.store.__getitem__, rest))
-
-    def _long(self, part: str) -> bytes:
-        return self._ids(" " + part).tobytes()
-
-    def _short(self, part: str) -> bytes:
-        if part not in self.store:
-            self._learn([part])
-        return self.store[part]
+        if len(self.store) > STORE:
+            self.store, self.older = {}, self.store
+        missing = set(rest).difference(self.store)
+        get = self.store.__getitem__
+        if missing:
+            long = {p: self._ids(" " + p).tobytes() for p in missing if len(p) > LONGEST}
+            if long:
+                missing = missing.difference(long)
+                get = lambda p: long[p] if p in long else self.store[p]
+            self._learn(missing)
+        return head + b"".join(map(get, rest))
 
 
 _encoders: dict[int, ChunkEncoder] = {}

@@ -1,8 +1,12 @@
 """Token ids as wavelet matrices: one compressed file per shard, with access, rank and select.
 
-File: magic, four unsigned 32-bit counts (tokens, documents, bit planes, bytes of the zstd frame),
-crc32 of the frame, then the frame: document ids (int64), document lengths (uint32), the zeros in
-each plane (uint32) and the planes, most significant bit first, packed eight to a byte.
+File: magic, five unsigned 32-bit numbers (tokens, documents, bit planes, bytes of the documents'
+frame, crc32 of all that follows), then
+- the documents' zstd frame: their ids (int64) and lengths (uint32);
+- the rank directory, unsigned 32-bit: for each plane and block of BLOCK bytes the ones of the plane
+  before the block; then, for each plane, all its ones; then, for each block, where its frame ends;
+- one zstd frame for each block of each plane, most significant bit first, packed eight to a byte.
+A look-up inflates only the blocks that it touches.
 """
 
 from __future__ import annotations
@@ -21,7 +25,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import partitions_for, persist_table
 from lodestone.llm.tokens import encoder_for, tokenizer_file
 
-MAGIC, HEAD = b"LWM1", struct.Struct("<4sIIIII")
+MAGIC, HEAD = b"LWM2", struct.Struct("<4sIIIII")
+#: Bytes of a plane in one block.
+BLOCK = 8192
 #: Tokens in one file, apart from a document that is longer by itself.
 FILE_TOKENS, END_ID = 1_000_000, 0
 
@@ -32,50 +38,80 @@ _DOCS = "shard long, file long, doc_id long, at long, n_tokens long, ids binary"
 def write_matrix(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
     bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
     a = ids.astype(np.uint16 if bits <= 16 else np.uint32)
-    zeros, planes = [], []
+    pack = zstandard.ZstdCompressor(level=1).compress
+    docs = pack(doc_ids.astype("<i8").tobytes() + lengths.astype("<u4").tobytes())
+    starts = np.arange(0, -(-len(ids) // 8), BLOCK)
+    before, totals, frames = [], [], []
     for b in range(bits - 1, -1, -1):
         one = (a & a.dtype.type(1 << b)) != 0
-        planes.append(np.packbits(one).tobytes())
-        low = a[~one]
-        zeros.append(len(low))
-        a = np.concatenate([low, a[one]])
-    raw = doc_ids.astype("<i8").tobytes() + lengths.astype("<u4").tobytes() + np.array(zeros, "<u4").tobytes() + b"".join(planes)
-    frame = zstandard.ZstdCompressor(level=1).compress(raw)
-    return HEAD.pack(MAGIC, len(ids), len(doc_ids), bits, len(frame), zlib.crc32(frame)) + frame
+        plane = np.packbits(one)
+        ones = np.add.reduceat(np.bitwise_count(plane), starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
+        before.append(np.cumsum(ones) - ones)
+        totals.append(int(ones.sum()))
+        raw = plane.tobytes()
+        frames += [pack(raw[i : i + BLOCK]) for i in starts.tolist()]
+        a = np.concatenate([a[~one], a[one]])
+    ends = np.cumsum([len(f) for f in frames])
+    body = b"".join([docs, *(np.asarray(x, "<u4").tobytes() for x in (*before, totals, ends)), *frames])
+    return HEAD.pack(MAGIC, len(ids), len(doc_ids), bits, len(docs), zlib.crc32(body)) + body
 
 
 class WaveletMatrix:
-    """A shard read from its file."""
+    """A shard read from its file; blocks are inflated when they are looked into."""
 
     def __init__(self, content: bytes):
-        magic, self.n, docs, bits, size, crc = HEAD.unpack_from(content)
-        frame = content[HEAD.size : HEAD.size + size]
-        if magic != MAGIC or len(frame) != size or zlib.crc32(frame) != crc:
+        magic, self.n, docs, self.bits, size, crc = HEAD.unpack_from(content) if len(content) >= HEAD.size else (None,) * 6
+        if magic != MAGIC or zlib.crc32(memoryview(content)[HEAD.size :]) != crc:
             raise ValueError("not a whole wavelet matrix file")
-        raw = zstandard.ZstdDecompressor().decompress(frame)
-        self.doc_ids = np.frombuffer(raw, "<i8", docs)
-        self.lengths = np.frombuffer(raw, "<u4", docs, 8 * docs)
-        self.zeros = np.frombuffer(raw, "<u4", bits, 12 * docs)
-        width, at = -(-self.n // 8), 12 * docs + 4 * bits
-        self.planes = [np.frombuffer(raw, np.uint8, width, at + i * width) for i in range(bits)]
-        self._ones = None
+        self.unpack = zstandard.ZstdDecompressor().decompress
+        named = self.unpack(content[HEAD.size : HEAD.size + size])
+        self.doc_ids = np.frombuffer(named, "<i8", docs)
+        self.lengths = np.frombuffer(named, "<u4", docs, 8 * docs)
+        self.width = -(-(-(-self.n // 8)) // BLOCK)  # blocks a plane
+        at = HEAD.size + size
+        self.before = np.frombuffer(content, "<u4", self.bits * self.width, at).reshape(self.bits, self.width)
+        at += 4 * self.bits * self.width
+        self.ones = np.frombuffer(content, "<u4", self.bits, at)
+        self.zeros = self.n - self.ones.astype(np.int64)
+        at += 4 * self.bits
+        self.ends = [0, *np.frombuffer(content, "<u4", self.bits * self.width, at).tolist()]
+        self.content, self.first = content, at + 4 * self.bits * self.width
+        self.inflated: dict[int, np.ndarray] = {}
+
+    def _frame(self, number: int) -> bytes:
+        return self.unpack(self.content[self.first + self.ends[number] : self.first + self.ends[number + 1]])
+
+    def _block(self, level: int, block: int) -> np.ndarray:
+        number = level * self.width + block
+        if number not in self.inflated:
+            self.inflated[number] = np.frombuffer(self._frame(number), np.uint8)
+        return self.inflated[number]
 
     def _rank1(self, level: int, i: int) -> int:
-        """Ones among the first ``i`` bits of a plane, from a directory of one count every 64 bytes."""
-        if self._ones is None:
-            self._ones = []
-            for p in self.planes:
-                padded = np.zeros(-(-len(p) // 64) * 64, np.uint8)
-                padded[: len(p)] = p
-                self._ones.append(np.concatenate([[0], np.cumsum(np.bitwise_count(padded).reshape(-1, 64).sum(axis=1, dtype=np.int64))]))
-        block, byte = i // 512, i // 8
-        count = int(self._ones[level][block]) + int(np.bitwise_count(self.planes[level][64 * block : byte]).sum())
-        if i % 8:
-            count += int(self.planes[level][byte] >> (8 - i % 8)).bit_count()
+        """Ones among the first ``i`` bits of a plane."""
+        block, byte = divmod(i // 8, BLOCK)
+        if block == self.width:
+            return int(self.ones[level])
+        count = int(self.before[level, block])
+        if byte or i % 8:
+            bits = self._block(level, block)
+            count += int(np.bitwise_count(bits[:byte]).sum())
+            if i % 8:
+                count += int(bits[byte] >> (8 - i % 8)).bit_count()
         return count
 
+    def _select(self, level: int, bit: int, k: int) -> int:
+        """Place of the ``k``-th (from 0) bit of that value in a plane."""
+        before = self.before[level].astype(np.int64)
+        if not bit:
+            before = np.arange(self.width) * (8 * BLOCK) - before
+        block = int(np.searchsorted(before, k, "right")) - 1
+        found = np.flatnonzero(np.unpackbits(self._block(level, block)) == bit)
+        return block * 8 * BLOCK + int(found[k - before[block]])
+
     def _bit(self, level: int, i: int) -> int:
-        return int(self.planes[level][i // 8]) >> (7 - i % 8) & 1
+        block, byte = divmod(i // 8, BLOCK)
+        return int(self._block(level, block)[byte]) >> (7 - i % 8) & 1
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
@@ -89,12 +125,12 @@ class WaveletMatrix:
         return value
 
     def _range(self, token: int, end: int) -> tuple[int, int]:
-        if token >> len(self.planes):
+        if token >> self.bits:
             return 0, 0
         a, b = 0, end
         for level, zeros in enumerate(self.zeros):
             x, y = self._rank1(level, a), self._rank1(level, b)
-            a, b = (int(zeros) + x, int(zeros) + y) if token >> (len(self.planes) - 1 - level) & 1 else (a - x, b - y)
+            a, b = (int(zeros) + x, int(zeros) + y) if token >> (self.bits - 1 - level) & 1 else (a - x, b - y)
         return a, b
 
     def count(self, token: int, end: int | None = None) -> int:
@@ -108,32 +144,32 @@ class WaveletMatrix:
         if not 0 <= k < b - a:
             raise IndexError(k)
         i = a + k
-        for level in range(len(self.planes) - 1, -1, -1):
+        for level in range(self.bits - 1, -1, -1):
             zeros = int(self.zeros[level])
-            one = i >= zeros
-            want = i - zeros if one else i
-            low, high = 0, self.n  # least place with want + 1 such bits before or at it
-            while low < high:
-                mid = (low + high) // 2
-                ones = self._rank1(level, mid + 1)
-                if (ones if one else mid + 1 - ones) > want:
-                    high = mid
-                else:
-                    low = mid + 1
-            i = low
+            i = self._select(level, 1, i - zeros) if i >= zeros else self._select(level, 0, i)
         return i
 
     def occurrences(self, token: int) -> list[int]:
-        return [self.select(token, k) for k in range(self.count(token))]
+        """Places of ``token``, ascending; what select gives for each, a plane at a time."""
+        a, b = self._range(token, self.n)
+        at = np.arange(a, b)
+        for level in range(self.bits - 1, -1, -1) if len(at) else ():
+            bit = token >> (self.bits - 1 - level) & 1
+            at = np.flatnonzero(self._plane(level) == bit)[at - (int(self.zeros[level]) if bit else 0)]
+        return at.tolist()
+
+    def _plane(self, level: int) -> np.ndarray:
+        packed = b"".join(self._frame(level * self.width + i) for i in range(self.width))
+        return np.unpackbits(np.frombuffer(packed, np.uint8), count=self.n)
 
     def tokens(self) -> np.ndarray:
         """All ids in their order, undoing the planes from the last to the first."""
-        a = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
-        for level in range(len(self.planes) - 1, -1, -1):
-            one = np.unpackbits(self.planes[level], count=self.n).view(bool)
+        a = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
+        for level in range(self.bits - 1, -1, -1):
+            one = self._plane(level).view(bool)
             up = np.empty_like(a)
             up[~one] = a[: self.zeros[level]]
-            up[one] = a[self.zeros[level] :] | a.dtype.type(1 << (len(self.planes) - 1 - level))
+            up[one] = a[self.zeros[level] :] | a.dtype.type(1 << (self.bits - 1 - level))
             a = up
         return a
 

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -66,21 +67,34 @@ def test_packing_query(spark, library):
         want = library(x) + [1]
         got = b"".join(r.ids for r in sorted(again[i, len(want)], key=lambda r: r.start))
         assert np.frombuffer(got, "<u4").tolist() == want
+    taken = {}
+    for r in out:
+        assert r.length * 4 == len(r.ids)
+        taken.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in taken.values():  # gapless from 0, at most 2048
+        ends = [0, *np.cumsum([n for _, n in sorted(parts)]).tolist()]
+        assert [at for at, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 2048
+    digest = lambda r: (r.doc_id or -1, r.doc_tokens, r.start, r.length)
+    want = sorted((*digest(r), zlib.crc32(r.ids)) for r in out)
+    assert sorted((*digest(r), r.ids_crc32) for r in packing.packed(df).collect()) == want
     assert packing.packed(df.limit(0)).count() == 0
 
 
 def test_wavelet_core():
     rng = np.random.default_rng(4)
-    for n, top in ((1, 1), (9, 2), (3000, 50000), (1500, 70000)):
+    for n, top in ((0, 1), (1, 1), (9, 2), (3000, 50000), (1500, 70000), (8 * wavelet.BLOCK, 9), (200_000, 700)):
         ids = rng.integers(0, top, n)
         m = wavelet.WaveletMatrix(wavelet.write_matrix(ids, np.array([5]), np.array([n])))
         assert (m.tokens() == ids).all()
-        for i in rng.integers(0, n, 20):
+        for i in rng.integers(0, max(n, 1), 20 if n else 0):
             t = int(ids[i])
             assert m.access(int(i)) == t
             assert m.count(t) == (ids == t).sum() and m.count(t, int(i)) == (ids[:i] == t).sum()
-            assert m.occurrences(t)[:5] == np.flatnonzero(ids == t)[:5].tolist()
+            places = np.flatnonzero(ids == t)
+            assert m.occurrences(t) == places.tolist() and m.select(t, len(places) // 2) == places[len(places) // 2]
         assert m.count(1 << 20) == 0
+    m = wavelet.WaveletMatrix(wavelet.write_matrix(ids, np.array([5]), np.array([n])))
+    assert m.access(123_456) == ids[123_456] and len(m.inflated) <= m.bits < m.bits * m.width
     broken = bytearray(wavelet.write_matrix(ids, np.array([5]), np.array([n])))
     broken[-1] ^= 1
     with pytest.raises(ValueError):
@@ -97,4 +111,6 @@ def test_wavelet_files(spark, library):
         r = next(r for r in got if r.doc_id == doc_id)
         assert (r.start, r.n_tokens, np.frombuffer(r.ids, "<u4").tolist()) == (at, len(want), want)
         at += len(want)
+    digests = {(r.doc_id, r.start): (r.n_tokens, r.ids_crc32) for r in wavelet.round_trip(df).collect()}
+    assert digests == {(r.doc_id, r.start): (r.n_tokens, zlib.crc32(r.ids)) for r in got}
     assert wavelet.round_trip(df.limit(0)).count() == 0
