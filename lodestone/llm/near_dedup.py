@@ -3,10 +3,12 @@
 Equal sets are one class. Each class has a MinHash signature; every tree of the forest sorts the
 classes by its own order of the signature's positions, and neighbours with a common prefix are
 candidates. A region (run of equal prefixes) that is crowded is read one position deeper, and so
-on, until it is small; ordinary regions stay shallow and so keep their recall. Signatures thin the
-candidates, exact Jaccard on whole sets confirms, and contraction gives the components. Rows of
-crowded regions then form crowds, in which every pair of rows that are not yet in one component is
-tested on whole sets, a pair of blocks of rows at a time.
+on, until it is small; ordinary regions stay shallow and so keep their recall. In each region a row
+is paired with one leader alone, whose signature is near; exact Jaccard on whole sets confirms, and
+contraction gives the components. Where near pairs without a leader remain between components, the
+region's rows are tested together on whole sets. Rows of crowded regions form crowds, in which every
+pair of rows that are not yet in one component is tested on whole sets, a pair of blocks of rows at
+a time. So rows and tests grow with the members of a group, not with its pairs.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ DEVIATIONS = 5
 #: Rows and shingles a block of a crowd has about, and distinct shingles counted at a time.
 BLOCK, BLOCK_SHINGLES, STRIP = 1000, 1_000_000, 4096
 
-_SIG = "doc_id long, n_shingles long, set_key binary, sig binary"
+_SIG = "doc_id long, text_key long, n_shingles long, set_key binary, sig binary"
 
 
 def _orders() -> np.ndarray:
@@ -44,14 +46,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = MinHasher(POSITIONS)
     for batch in batches:
         counts, keys, sigs = [], [], []
-        for text in batch.column(1):
+        for text in batch.column(2):
             s = shingle_set(text.as_py())
             counts.append(len(s))
             keys.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
             sigs.append(hasher.signature(s).tobytes() if len(s) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
-            names=["doc_id", "n_shingles", "set_key", "sig"],
+            [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
+            names=["doc_id", "text_key", "n_shingles", "set_key", "sig"],
         )
 
 
@@ -71,7 +73,7 @@ def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             labels = [label[i : i + 2 * DEPTH] for i in range(0, len(label), 2 * DEPTH)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(batch.num_rows, tree, np.int32)), pa.array(labels, pa.binary()), batch.column(0)],
-                names=["tree", "label", "rep"],
+                names=["tree", "label", "node"],
             )
 
 
@@ -123,7 +125,8 @@ def crowds_of(tree: np.ndarray, labels: np.ndarray, limit: int = REGION) -> Iter
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of candidate regions (hub null), and rows of crowds, each with a row (hub) of its crowd.
 
-    A row of a crowd has a region only where it stands for a run that may go on in other tasks.
+    A row of a crowd has a region only where it stands for a run that may go on in other tasks. The
+    regions of crowds are deep: the crowd's tests follow.
     """
 
     def emit_crowds(tree: np.ndarray, labels: np.ndarray, ids: np.ndarray, raw: list[bytes]):
@@ -149,8 +152,9 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([None] * len(nodes) + keys, pa.binary()),
                 pa.array(nodes + reps, pa.int64()),
                 pa.array([find(i) for i in nodes] + reps, pa.int64()),
+                pa.array([True] * (len(nodes) + len(keys))),
             ],
-            names=["region", "rep", "hub"],
+            names=["region", "node", "hub", "deep"],
         )
 
     def emit(parts: list[pa.RecordBatch]):
@@ -159,15 +163,16 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = table.column(1).to_pylist()
         labels = np.frombuffer(b"".join(raw), ">u2").reshape(-1, DEPTH)
         ids = table.column(2).to_numpy()
-        keys, members = [], []
+        keys, members, deep = [], [], []
         for a, b, depth in regions_of(tree, labels):
             key = xxhash.xxh128_digest(int(tree[a]).to_bytes(2, "big") + int(ids[a]).to_bytes(8, "big", signed=True) + raw[a][: 2 * depth])
             keys += [key] * (b - a)
+            deep += [depth > LEAST_DEPTH] * (b - a)
             members.append(ids[a:b])
         if keys:
             found = np.concatenate(members)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), pa.array(found), pa.nulls(len(found), pa.int64())], names=["region", "rep", "hub"]
+                [pa.array(keys, pa.binary()), pa.array(found), pa.nulls(len(found), pa.int64()), pa.array(deep)], names=["region", "node", "hub", "deep"]
             )
         yield emit_crowds(tree, labels, ids, raw)
 
@@ -188,55 +193,76 @@ def least_estimate(per_cent: int) -> float:
     return share - DEVIATIONS * (share * (1 - share) / POSITIONS) ** 0.5
 
 
-def _meet(least: float):
-    """Rows sorted by region: pairs whose signatures agree in a share of at least ``least``."""
+def leaders(sig: np.ndarray, least: float, sure: float) -> tuple[list[tuple[int, int]], list[int]]:
+    """Pairs (row, leader) of signatures, and rows with a near one that is not their leader or led by them.
+
+    A row's leader is the first row before it that agrees in ``sure`` of the positions, else the one
+    before it that agrees most, if in ``least``.
+    """
+    pairs, open_ = [], set()
+    for i in range(1, len(sig)):
+        alike = (sig[:i] == sig[i]).mean(axis=1)
+        near = np.flatnonzero(alike >= least)
+        if len(near):
+            certain = np.flatnonzero(alike >= sure)
+            leader = int(certain[0] if len(certain) else alike.argmax())
+            pairs.append((i, leader))
+            if len(near) > 1:
+                open_.update(near[near != leader].tolist())
+                open_.add(i)
+    return pairs, sorted(open_)
+
+
+def _meet(least: float, sure: float):
+    """Rows sorted by region: pairs ``a, b`` of a row and its leader, and rows ``a`` left open in a region."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(ids: np.ndarray, sig: np.ndarray, into: tuple[list, list]) -> None:
+        pairs: set[tuple[int, int]] = set()
+        opened: list[tuple[int, bytes]] = []
+
+        def meet(region: bytes, deep: bool, ids: np.ndarray, sig: np.ndarray) -> None:
             order = np.argsort(ids, kind="stable")
             ids, sig = ids[order], sig[order]
-            for i in range(len(ids) - 1):
-                near = np.flatnonzero((sig[i + 1 :] == sig[i]).mean(axis=1) >= least)
-                if len(near):
-                    into[0].append(int(ids[i]))
-                    into[1].append(ids[i + 1 :][near])
-
-        def out(into):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(into[0], pa.int64()), pa.array([x.tolist() for x in into[1]], pa.list_(pa.int64()))], names=["a", "bs"]
-            )
+            found, left = leaders(sig, least, sure)
+            pairs.update((int(ids[i]), int(ids[j])) for i, j in found)
+            if not deep:
+                opened.extend((int(ids[i]), region) for i in left)
+
+        def out():
+            cols = [[a for a, _ in pairs] + [a for a, _ in opened], [b for _, b in pairs] + [None] * len(opened), [None] * len(pairs) + [r for _, r in opened]]
+            pairs.clear(), opened.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()))], names=["a", "b", "region"])
 
-        key, ids, sigs, into = None, [], [], ([], [])
+        key, deep, ids, sigs = None, False, [], []
         for batch in batches:
-            regions = batch.column(0).to_pylist()
-            rep, sig = batch.column(1).to_numpy(), _matrix(batch.column(2), POSITIONS) if batch.num_rows else None
+            regions, marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            node, sig = batch.column(1).to_numpy(), _matrix(batch.column(3), POSITIONS) if batch.num_rows else None
             starts = [i for i in range(len(regions)) if i == 0 or regions[i] != regions[i - 1]]
             for x, y in zip(starts, [*starts[1:], len(regions)]):
                 if regions[x] != key:
                     if ids:
-                        pairs(np.concatenate(ids), np.concatenate(sigs), into)
-                    key, ids, sigs = regions[x], [], []
-                ids.append(rep[x:y])
+                        meet(key, deep, np.concatenate(ids), np.concatenate(sigs))
+                    key, deep, ids, sigs = regions[x], marks[x], [], []
+                ids.append(node[x:y])
                 sigs.append(sig[x:y])
-            if len(into[0]) > 2000:
-                yield out(into)
-                into = ([], [])
+            if len(pairs) + len(opened) > 20_000:
+                yield out()
         if ids:
-            pairs(np.concatenate(ids), np.concatenate(sigs), into)
-        yield out(into)
+            meet(key, deep, np.concatenate(ids), np.concatenate(sigs))
+        yield out()
 
     return run
 
 
 def _confirm(per_cent: int):
-    """Rows sorted by (a, first): a's own text, then its candidates' texts; exact test on whole sets."""
+    """Rows sorted by a, its own text first, then its candidates' texts; exact test on whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, None
         for batch in batches:
             left, right = [], []
             for a, b, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if b is None:
+                if a == b:
                     at, own = a, shingle_set(text)
                 elif a == at:
                     both, union = jaccard_counts(own, shingle_set(text))
@@ -249,9 +275,10 @@ def _confirm(per_cent: int):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column's texts as shingle sets."""
     for batch in batches:
-        sets = [shingle_set(t).tobytes() for t in batch.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], names=["rep", "cluster", "comp", "members"])
+        sets = [shingle_set(t).tobytes() for t in batch.column(batch.num_columns - 1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sets, pa.binary())], names=[*batch.schema.names[:-1], "members"])
 
 
 def linked(sets: list[np.ndarray], split: int, per_cent: int) -> np.ndarray:
@@ -328,7 +355,25 @@ def _test_blocks(per_cent: int):
     return run
 
 
-def _crowd_links(docs: DataFrame, crowds: DataFrame, found: DataFrame, per_cent: int, width: int) -> DataFrame:
+def _texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, text`` of the named nodes, one row each: a text of the class, found by its id and the text's hash."""
+    wanted = nodes.join(classes.select("node", F.col("rep").alias("doc_id"), "text_key"), "node")
+    return docs.join(wanted.hint("merge"), ["doc_id", "text_key"]).select("node", "text").dropDuplicates(["node"])
+
+
+def _open_links(docs: DataFrame, classes: DataFrame, opened: DataFrame, found: DataFrame, per_cent: int, width: int) -> DataFrame:
+    """``a, b``: components of ``found`` that exact tests link within regions with open rows of several components."""
+    rows = opened.join(found, "node", "left").select("region", "node", F.coalesce("first", "node").alias("comp"))
+    rows = persist_table(rows, "opened")
+    mixed = rows.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("region")
+    rows = persist_table(rows.join(mixed, "region"), "mixed")
+    texts = _texts(docs, classes, rows.select("node").distinct())
+    sets = rows.join(texts, "node").select("region", F.lit(2).alias("side"), "comp", "text")
+    sets = sets.repartition(width, "region").sortWithinPartitions("region")
+    return sets.mapInArrow(_sets, "region binary, side int, comp long, members binary").mapInArrow(_test_blocks(per_cent), "a long, b long")
+
+
+def _crowd_links(docs: DataFrame, classes: DataFrame, crowds: DataFrame, found: DataFrame, per_cent: int, width: int) -> DataFrame:
     """``a, b``: components of ``found`` that exact tests link within crowds.
 
     Rows connected over crowded regions are one cluster; those that share a crowded region with a
@@ -337,16 +382,13 @@ def _crowd_links(docs: DataFrame, crowds: DataFrame, found: DataFrame, per_cent:
     but for blocks of the same one component, so a group found whole costs nothing more.
     """
     cut = crowds.where("region is not null")
-    joined = cut.select("rep", F.min("rep").over(Window.partitionBy("region")).alias("hub"))
-    clusters = connected_components(crowds.where("region is null").select("rep", "hub").unionByName(joined).toDF("a", "b"))
-    rows = clusters.join(found, "node", "left").select(
-        F.col("node").alias("rep"), F.col("component").alias("cluster"), F.coalesce("first", "node").alias("comp")
-    )
+    joined = cut.select("node", F.min("node").over(Window.partitionBy("region")).alias("hub"))
+    clusters = connected_components(crowds.where("region is null").select("node", "hub").unionByName(joined).toDF("a", "b"))
+    rows = clusters.join(found, "node", "left").select("node", F.col("component").alias("cluster"), F.coalesce("first", "node").alias("comp"))
     open_ = rows.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("cluster")
-    rows = persist_table(rows.join(open_, "cluster").select("rep", "cluster", "comp"), "crowds")
-    texts = docs.join(rows.withColumnRenamed("rep", "doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "cluster", "comp", "text")
-    sets = texts.mapInArrow(_sets, "rep long, cluster long, comp long, members binary").where(F.length("members") > 0)
-    sets = persist_table(sets.dropDuplicates(["rep", "members"]), "crowd-sets")
+    rows = persist_table(rows.join(open_, "cluster").select("node", "cluster", "comp"), "crowds")
+    texts = rows.join(_texts(docs, classes, rows.select("node")), "node").select("node", "cluster", "comp", "text")
+    sets = persist_table(texts.mapInArrow(_sets, "node long, cluster long, comp long, members binary"), "crowd-sets")
     parts = sets.groupBy("cluster", "comp").agg(F.count("*").alias("n"), F.sum(F.length("members") / 8).alias("m"))
     size = lambda n, m: F.ceil(F.greatest(n / BLOCK, m / BLOCK_SHINGLES))
     parts = parts.withColumn("own", size(F.col("n"), F.col("m")))
@@ -370,7 +412,7 @@ def _crowd_links(docs: DataFrame, crowds: DataFrame, found: DataFrame, per_cent:
     sides = persist_table(sides.unionByName(pairs.where(~alone).select(F.col("block2").alias("block"), "pair", F.lit(1).alias("side"))), "crowd-pairs")
     placed = sets.join(parts.select("cluster", "comp", "own", "shared"), ["cluster", "comp"]).select(
         F.xxhash64(
-            "cluster", F.coalesce(pure, F.lit(-1)), pure.isNull(), F.when(F.col("own") > 1, F.pmod(F.xxhash64("rep"), "own")).otherwise(F.pmod(F.xxhash64("comp"), "shared"))
+            "cluster", F.coalesce(pure, F.lit(-1)), pure.isNull(), F.when(F.col("own") > 1, F.pmod(F.xxhash64("node"), "own")).otherwise(F.pmod(F.xxhash64("comp"), "shared"))
         ).alias("block"),
         "comp",
         "members",
@@ -385,57 +427,64 @@ def near_duplicates(df: DataFrame, per_cent: int = 80, id_col: str = "doc_id", t
     Two texts are linked when 100 * |A and B| >= per_cent * |A or B| for their sets of distinct
     five-word shingles; component_id is the smallest id reachable over links. Texts without words
     (null, empty, white space) have n_shingles 0 and stand alone; equal texts and repeated rows
-    fall into one class without being paired; a null id takes no part in links and is kept with a
-    null component. Other columns of ``df`` are ignored. Work grows with rows, trees and confirmed
-    neighbours, and in a crowd with the pairs of its rows that sorted neighbours did not connect;
-    these are counted block by block, not listed. Hot classes are looked up by broadcast of at most
-    a thousand rows.
+    fall into one class without being paired. The nodes of links are classes of equal sets, so rows
+    that share an id but not their text are linked each for itself. A null id takes no part in links
+    and is kept with a null component. Other columns of ``df`` are ignored. Work grows with rows,
+    trees and leaders; open pairs and crowds are tested region by region and block by block, not
+    listed. Hot classes are looked up by broadcast of at most a thousand rows.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.withColumn("text_key", F.xxhash64("text")).select("doc_id", "text_key", "text")
     signed = persist_table(docs.mapInArrow(_sign, _SIG), "signatures")
+    first = F.min(F.struct("doc_id", "text_key"))
     classes = persist_table(
         signed.where("set_key is not null and doc_id is not null")
         .groupBy("set_key")
-        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.any_value("sig").alias("sig")),
+        .agg(first.alias("first"), F.count("*").alias("n"), F.any_value("sig").alias("sig"))
+        .select(F.monotonically_increasing_id().alias("node"), F.col("first.doc_id").alias("rep"), F.col("first.text_key").alias("text_key"), "set_key", "n", "sig"),
         "classes",
     )
-    width = partitions_for(df)
-    planted = classes.select("rep", "sig").mapInArrow(_plant, "tree int, label binary, rep long")
+    docs, width, share = docs.where("doc_id is not null"), partitions_for(df), per_cent / 100
+    planted = classes.select("node", "sig").mapInArrow(_plant, "tree int, label binary, node long")
     members = persist_table(
-        planted.repartitionByRange(width, "tree", "label", "rep")
-        .sortWithinPartitions("tree", "label", "rep")
-        .mapInArrow(_regions, "region binary, rep long, hub long"),
+        planted.repartitionByRange(width, "tree", "label", "node")
+        .sortWithinPartitions("tree", "label", "node")
+        .mapInArrow(_regions, "region binary, node long, hub long, deep boolean"),
         "regions",
     )
-    candidates = persist_table(
-        members.where("hub is null").join(classes.select("rep", "sig"), "rep")
-        .select("region", "rep", "sig")
+    met = persist_table(
+        members.where("hub is null").join(classes.select("node", "sig"), "node")
+        .select("region", "node", "deep", "sig")
         .repartition(width, "region")
         .sortWithinPartitions("region")
-        .mapInArrow(_meet(least_estimate(per_cent)), "a long, bs array<long>")
-        .groupBy("a")
-        .agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs")),
-        "candidates",
-    )
-    pairs = candidates.select("a", F.explode("bs").alias("b"))
-    named = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "doc_id")
-    texts = persist_table(docs.where("doc_id is not null").join(named.hint("merge"), "doc_id", "left_semi"), "texts")
-    stream = texts.join(candidates.select(F.col("a").alias("doc_id")), "doc_id", "left_semi").select(
-        F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "text"
+        .mapInArrow(_meet(least_estimate(per_cent), share + (share * (1 - share) / POSITIONS) ** 0.5), "a long, b long, region binary"),
+        "met",
     )
-    stream = stream.unionByName(pairs.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "b", "text"))
+    pairs = persist_table(met.where("b is not null").select("a", "b").distinct(), "pairs")
+    stream = pairs.unionByName(pairs.select("a", F.col("a").alias("b")).distinct())
+    texts = _texts(docs, classes, stream.select(F.col("b").alias("node")).distinct())
     links = (
-        stream.repartition(width, "a")
-        .sortWithinPartitions("a", F.col("b").asc_nulls_first())
+        stream.join(texts.withColumnRenamed("node", "b"), "b")
+        .select("a", "b", "text")
+        .repartition(width, "a")
+        .sortWithinPartitions("a", F.col("a") != F.col("b"))
         .mapInArrow(_confirm(per_cent), "a long, b long")
     )
     found = persist_table(connected_components(links).withColumnRenamed("component", "first"), "first")
-    more = _crowd_links(docs.where("doc_id is not null"), members.where("hub is not null"), found, per_cent, width)
-    merged = connected_components(more).withColumnsRenamed({"node": "first", "component": "last"})
-    placed = classes.select("set_key", "rep", "n").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = placed.withColumn("first", F.coalesce("first", "rep")).join(merged, "first", "left")
-    placed = persist_table(placed.select("set_key", "n", F.coalesce("last", "first").alias("component_id")), "placed")
-    return _look_up(signed.select("doc_id", "n_shingles", "set_key"), placed)
+    for name, more in (
+        ("second", lambda: _open_links(docs, classes, met.where("b is null").select("region", F.col("a").alias("node")), found, per_cent, width)),
+        ("third", lambda: _crowd_links(docs, classes, members.where("hub is not null"), found, per_cent, width)),
+    ):
+        merged = persist_table(connected_components(more()), f"{name}-merged")
+        if not merged.isEmpty():  # names of components may be nodes that found does not list yet
+            named = found.unionByName(merged.join(found, "node", "left_anti").select("node", F.col("node").alias("first")))
+            step = named.join(merged.withColumnsRenamed({"node": "first", "component": "last"}), "first", "left")
+            found = persist_table(step.select("node", F.coalesce("last", "first").alias("first")), name)
+    linked_ = classes.join(found, "node").select("set_key", "rep", "n", "first")
+    least = linked_.groupBy("first").agg(F.min("rep").alias("component_id"))
+    placed = linked_.join(least, "first").select("set_key", "n", "component_id")
+    alone = classes.join(found, "node", "left_anti").select("set_key", "n", F.col("rep").alias("component_id"))
+    return _look_up(signed.select("doc_id", "n_shingles", "set_key"), persist_table(placed.unionByName(alone), "placed"))
 
 
 def _look_up(rows: DataFrame, placed: DataFrame) -> DataFrame:

@@ -117,10 +117,68 @@ def test_star_of_copies(spark):
 
 @pytest.mark.parametrize("per_cent", [80, 85])
 def test_estimates_lose_no_pair_at_the_threshold(per_cent):
-    pairs = near_dedup._meet(near_dedup.least_estimate(per_cent))
+    pairs = near_dedup._meet(near_dedup.least_estimate(per_cent), per_cent / 100)
     for off, found in ((4.9, 1), (5.2, 0)):
         share = per_cent / 100 - off * (per_cent / 100 * (1 - per_cent / 100) / near_dedup.POSITIONS) ** 0.5
         sig = np.zeros((2, near_dedup.POSITIONS), ">u2")
         sig[1, int(np.ceil(share * near_dedup.POSITIONS)) if found else int(share * near_dedup.POSITIONS) :] = 1
-        batch = pa.RecordBatch.from_arrays([pa.array([b"r"] * 2), pa.array([1, 2]), pa.array([x.tobytes() for x in sig])], names=["region", "rep", "sig"])
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array([b"r"] * 2), pa.array([1, 2]), pa.array([False] * 2), pa.array([x.tobytes() for x in sig])], names=["region", "node", "deep", "sig"]
+        )
         assert sum(b.num_rows for b in pairs(iter([batch]))) == found
+
+
+def test_leaders():
+    """One pair a row; near rows that no leader joins are open."""
+    sig = np.zeros((4, 10), int)
+    sig[1, :2], sig[2, 4:6], sig[3, 2:] = 1, 2, 3  # 1 and 2 are near 0 alone, 3 nobody
+    assert near_dedup.leaders(sig, 0.7, 0.8) == ([(1, 0), (2, 0)], [])
+    sig[3] = sig[1]
+    pairs, open_ = near_dedup.leaders(sig, 0.7, 0.9)
+    assert pairs == [(1, 0), (2, 0), (3, 1)] and open_ == [0, 3]
+
+
+def test_one_id_with_several_texts(spark):
+    """Rows that share an id are linked by their own texts; no link is lost, in either order."""
+    rng = random.Random(8)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    for first, second in ((a, b), (b, a)):
+        rows = [(2, first), (2, second), (5, b + ["more"]), (7, a + ["more"]), (9, c)]
+        df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+        got = near_dedup.near_duplicates(df, 85).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == [(2, 2), (2, 2), (5, 2), (7, 2), (9, 9)]
+
+
+def test_pairs_grow_with_the_rows(spark):
+    """A group of near copies gives pairs with leaders, not all pairs."""
+    rng = random.Random(9)
+    base, n = words(rng, 120), 3000
+    texts = []
+    for _ in range(n):
+        w = list(base)
+        w[rng.randrange(120)] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    written, persist = {}, near_dedup.persist_table
+
+    def count(table, name):
+        written[name] = persist(table, name)
+        return written[name]
+
+    near_dedup.persist_table = count
+    try:
+        got = near_dedup.near_duplicates(df, 80)
+    finally:
+        near_dedup.persist_table = persist
+    assert got.where("component_id = 0").count() == n and got.where("kept").count() == 1
+    assert written["pairs"].count() <= near_dedup.TREES * n
+
+
+def test_shingles_by_hand():
+    """Counts by a plain rule, apart from the operator's own shingle function."""
+    import re
+
+    for text in copies()[:60]:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        plain_set = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        assert len(shingle_set(text)) == len(plain_set)
