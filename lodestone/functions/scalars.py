@@ -35,8 +35,14 @@ def _of_language(language: Column, part: int, default: Iterable[str]) -> Column:
     return out.otherwise(_strings(default))
 
 
-def language_extensions(language: Column) -> Column:
-    return _of_language(language, 0, [])
+def markdown_tag(language: Column) -> Column:
+    """What follows a code fence; empty for an unknown language."""
+    return F.coalesce(_lookup(normalise_language(language), K.MARKDOWN_TAGS), F.lit(""))
+
+
+def source_extensions() -> list[str]:
+    """Extensions of all languages, each once."""
+    return list(dict.fromkeys(e for parts in K.LANGUAGES.values() for e in parts[0]))
 
 
 def catalog_aliases(language: Column) -> Column:
@@ -84,7 +90,7 @@ def ignored_dir(path: Column, coverage: bool = False) -> Column:
 
 
 def generated_file(path: Column) -> Column:
-    return path.rlike(r"(\.min\.js|\.min\.css|\.map|\.bundle\.js)$|\.min\.")
+    return F.lower(path).rlike(r"(\.min\.js|\.min\.css|\.map|\.bundle\.js)$|\.min\.")
 
 
 def extension_allowed(path: Column, extensions: Iterable[str]) -> Column:
@@ -96,9 +102,11 @@ def reachability(path: Column) -> Column:
     return F.when(has_segment(path, K.REACH_LOW), "low").when(has_segment(path, K.REACH_HIGH), "high").otherwise("medium")
 
 
-def file_url(path: Column) -> Column:
+def file_url(path: Column, root: str = "") -> Column:
+    """URL of a file; a relative path lies below ``root``, the project's absolute folder."""
     clean = F.replace(path, F.lit("\\"), F.lit("/"))
-    return F.concat(F.lit("file://"), F.when(F.startswith(clean, F.lit("/")), clean).otherwise(F.concat(F.lit("/"), clean)))
+    below = F.concat(F.lit(root.rstrip("/") + "/"), clean)
+    return F.concat(F.lit("file://"), F.when(F.startswith(clean, F.lit("/")), clean).otherwise(below))
 
 
 def extension_language(path: Column, coverage: bool = False, lower: bool = True) -> Column:
@@ -139,12 +147,19 @@ def boilerplate(path: Column, name: Column, code: Column, language: Column, exte
     return ~extension_allowed(path, extensions) | blacklisted(path) | test_name(name, language) | below_snippet_floor(code)
 
 
+_LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+
+
 def clean_code(block: Column) -> Column:
-    """Inside of the first fence (or the whole), without a language tag line and line-number prefixes."""
+    """Inside of the first fence, without a first line that is blank or a language tag, each line
+    without a number and the one white space after it; without a fence the text, trimmed. Null: empty."""
     parts = F.split(block, "```", -1)
-    body = F.when(F.size(parts) > 2, F.regexp_replace(F.get(parts, F.lit(1)), r"^[A-Za-z0-9_+#-]*\n", "")).otherwise(block)
-    lines = F.transform(F.split(body, "\n", -1), lambda x: F.regexp_replace(x, r"^\s*\d+(\t|: |\| ?)", ""))
-    return F.regexp_replace(F.array_join(lines, "\n"), r"^\n+|\n+$", "")
+    body = F.regexp_replace(F.get(parts, F.lit(1)), rf"({_LINE_END})\z", "")
+    lines = F.split(body, _LINE_END, -1)
+    first = F.regexp_replace(F.get(lines, F.lit(0)), r"(?U)^\s+|\s+\z", "")
+    kept = F.when((first == "") | first.isin(K.FENCE_TAGS), F.slice(lines, 2, F.size(lines))).otherwise(lines)
+    inside = F.array_join(F.transform(kept, lambda x: F.regexp_replace(x, r"(?U)^\d+\s", "")), "\n")
+    return F.when(F.coalesce(block, F.lit("")) == "", "").when(F.size(parts) < 3, F.regexp_replace(block, r"(?U)^\s+|\s+\z", "")).otherwise(inside)
 
 
 def embed_text(name: Column, code: Column, lines: int = K.EMBED_LINES) -> Column:
@@ -179,14 +194,21 @@ def header_name(line: Column, strict: bool = False) -> Column:
 
 
 def type_names(code: Column, language: Column) -> Column:
-    """Candidate type names of a snippet, without the ignored ones: the first eight in order."""
-    lang = normalise_language(language)
-    c_like = lang.isin("c", "cpp")
-    found = F.concat(
-        F.regexp_extract_all(code, F.lit(r"\b([A-Z][a-z0-9]+(?:[A-Z][A-Za-z0-9]*)+|[A-Z][a-z]{2,}[A-Za-z0-9]*)\b"), 1),
-        F.when(c_like, F.regexp_extract_all(code, F.lit(r"\b([a-z_][a-z0-9_]*_t)\b"), 1)).otherwise(_strings([])),
-        F.when(c_like | (lang == "go"), F.regexp_extract_all(code, F.lit(r"\b(?:struct|class|enum|union|interface|type)\s+([A-Za-z_][A-Za-z0-9_]*)"), 1)).otherwise(_strings([])),
-    )
+    """Candidate type names of a snippet, without the ignored ones: the first eight in order.
+
+    Capitalised names, in C and C++ also names that end in _t, and names after the language's own
+    kinds of types. An unknown language has none.
+    """
+    lang, found = normalise_language(language), F.when(F.lit(False), _strings([]))
+    names = lambda pattern, group: F.regexp_extract_all(code, F.lit("(?U)" + pattern), group)
+    for name, (_, _, kinds, _) in K.LANGUAGES.items():
+        parts = [names(r"\b[A-Z][a-zA-Z0-9_]+\b", 0)] if name in K.CAMEL_LANGUAGES else []
+        if name in ("c", "cpp"):
+            parts.append(names(r"\b[a-z0-9_]+_t\b", 0))
+        if kinds:
+            parts.append(names(rf"\b(?:{'|'.join(kinds)})\s+([A-Za-z_][A-Za-z0-9_]*)\b", 1))
+        found = found.when(lang == name, F.concat(*parts))
+    found = F.coalesce(found.otherwise(_strings([])), _strings([]))
     return F.slice(F.array_sort(F.array_except(F.array_distinct(found), _strings(K.IGNORED_TYPES))), 1, K.TYPE_LIMIT)
 
 

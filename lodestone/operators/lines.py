@@ -34,12 +34,13 @@ def first_symbols(symbols: DataFrame, order: list[Column]) -> DataFrame:
 
 def symbol_sources(symbols: DataFrame, lines: DataFrame, file: str = "file") -> DataFrame:
     """Each symbol with its source: the lines from its own to before the next symbol of the file."""
-    w = Window.partitionBy(file).orderBy("line")
-    spans = symbols.withColumn("__end", F.lead("line", 1, 2147483647).over(w))
+    starts = symbols.select(F.col(file), F.col("line").cast("long").alias("line_no"), F.col("name").alias("__name")).dropDuplicates([file, "line_no"])
+    marked = lines.select(file, "line_no", F.col("line").alias("__text")).join(starts, [file, "line_no"], "left")
+    w = Window.partitionBy(file).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    head = F.last(F.when(F.col("__name").isNotNull(), F.struct(F.col("__name").alias("name"), F.col("line_no").alias("line"))), ignorenulls=True).over(w)
     code = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.col("__text").alias("t")))), lambda x: x["t"]), "\n")
-    s = spans.select(file, "name", F.col("line").alias("start"), "__end")
-    joined = s.join(lines.withColumnRenamed("line", "__text"), file).where((F.col("line_no") >= F.col("start")) & (F.col("line_no") < F.col("__end")))
-    return joined.groupBy(file, "name", F.col("start").cast("int").alias("line")).agg(code.alias("code"))
+    owned = marked.withColumn("__head", head).where("__head is not null")
+    return owned.groupBy(file, F.col("__head.name").alias("name"), F.col("__head.line").cast("int").alias("line")).agg(code.alias("code"))
 
 
 def enclosing_header(lines: DataFrame, file: str = "file", exclude: str | None = None, strict: bool = False) -> DataFrame:

@@ -37,12 +37,14 @@ def dedup_candidates(candidates: DataFrame, keys: list[str], order: str, weaknes
     Of equally strong sources the earlier stays. ``cwe_id`` is the first class or MULTI without any.
     """
     payload = [c for c in candidates.columns if c not in (*keys, weakness, source)]
-    classes = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(weakness).alias("c")))), lambda x: x["c"]))
-    out = candidates.groupBy(*keys).agg(
-        F.min_by(F.struct(*payload), order).alias("first"),
-        F.array_compact(classes).alias("matched_cwes"),
-        F.max_by(source, F.struct(S.source_rank(F.col(source)), -F.col(order))).alias(source),
+    best = lambda c: F.max_by(c, "__strength")
+    # one row a key and class first, so that only a key's distinct classes are gathered
+    strength = F.struct(S.source_rank(F.col(source)), (-F.col(order)).alias("o"))
+    each = candidates.withColumn("__strength", strength).groupBy(*keys, F.col(weakness).alias("__class")).agg(
+        F.min_by(F.struct(*payload), order).alias("__first"), F.min(order).alias("__order"), best(source).alias("__source"), F.max("__strength").alias("__strength")
     )
+    classes = F.transform(F.array_sort(F.collect_list(F.struct(F.col("__order").alias("o"), F.col("__class").alias("c")))), lambda x: x["c"])
+    out = each.groupBy(*keys).agg(F.min_by("__first", "__order").alias("first"), F.array_compact(classes).alias("matched_cwes"), best("__source").alias(source))
     return out.select(*keys, *(F.col(f"first.{c}").alias(c) for c in payload), "matched_cwes", source, F.coalesce(F.get("matched_cwes", F.lit(0)), F.lit("MULTI")).alias("cwe_id"))
 
 
@@ -72,10 +74,27 @@ def tally_votes(votes: DataFrame, key: str = "candidate_id") -> DataFrame:
 
 
 def vote_explanation(votes: DataFrame, key: str = "candidate_id") -> DataFrame:
-    """``explanation``: true votes of three, then each lens with its reason."""
-    one = F.struct("lens", F.concat_ws(": ", "lens", F.coalesce("reason", F.lit("n/a"))).alias("t"))
-    texts = F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["t"]), "; ")
-    return votes.groupBy(key).agg(F.concat(F.count_if(F.coalesce("is_real", F.lit(False))).cast("string"), F.lit("/3 real; "), texts).alias("explanation"))
+    """``explanation``: what the verdict means, true votes of three, then each lens in its order with its reason.
+
+    A lens without a vote or reason has n/a; of several reasons of one lens the least is told.
+    """
+    tallied = tally_votes(votes, key).select(key, "verdict", "n_true")
+    reason = lambda lens: F.coalesce(F.min(F.when(F.col("lens") == lens, F.nullif("reason", F.lit("")))), F.lit("n/a"))
+    reasons = votes.groupBy(key).agg(*(reason(lens).alias(f"__{lens}") for lens in K.LENSES))
+    told = [F.concat(F.lit(f"\n{i}. {lens}: "), f"__{lens}") for i, lens in enumerate(K.LENSES, 1)]
+    return tallied.join(reasons, key).select(key, F.concat(_head(F.col("verdict")), F.lit(" (votes "), F.col("n_true").cast("string"), F.lit("/3)."), *told).alias("explanation"))
+
+
+def _head(verdict: Column) -> Column:
+    out = F.when(F.lit(False), "")
+    for name, head in K.VERDICT_HEADS.items():
+        out = out.when(verdict == name, head)
+    return out
+
+
+def truncated(candidates: DataFrame, limit: int = K.REVIEW_BUDGET, keys: tuple = ("file", "function", "cwe_id")) -> int:
+    """Distinct pending targets beyond the review budget."""
+    return max(0, candidates.where("verdict = 'pending'").select(*keys).distinct().count() - limit)
 
 
 def verify(candidates: DataFrame, severities: DataFrame, votes: DataFrame, threshold: int = K.SEVERITY_THRESHOLD, limit: int | None = None, strict: bool = False, keys: tuple = ("file", "function", "cwe_id")) -> DataFrame:
@@ -89,12 +108,15 @@ def verify(candidates: DataFrame, severities: DataFrame, votes: DataFrame, thres
     targets = first_per_key(pending, list(keys), ["ord"]).select("id", "ord", *keys)
     if limit is not None:
         targets = budget(targets, ["ord"], limit)
-    gated = severity_gate(targets.join(severities.select(F.col("candidate_id").alias("id"), "severity"), "id", "left"), threshold=threshold)
-    judged = gated.join(tally_votes(votes).withColumnRenamed("candidate_id", "id"), "id", "left").join(vote_explanation(votes).withColumnRenamed("candidate_id", "id"), "id", "left")
+    why = F.coalesce(F.nullif("reason", F.lit("")), F.lit("n/a")) if "reason" in severities.columns else F.lit("n/a")
+    given = severities.select(F.col("candidate_id").alias("id"), "severity", why.alias("__why"))
+    gated = severity_gate(targets.join(given, "id", "left"), threshold=threshold)
+    judged = gated.join(tally_votes(votes).select("candidate_id", "verdict").withColumnRenamed("candidate_id", "id"), "id", "left").join(vote_explanation(votes).withColumnRenamed("candidate_id", "id"), "id", "left")
     empty = "needs_review" if strict else "false_positive"
-    skipped = F.concat(F.lit("severity "), F.col("severity").cast("string"), F.lit(f"/10 below threshold {threshold}"))
+    skipped = F.concat(F.lit("Excluded — Security severity rated as "), F.col("severity").cast("string"), F.lit(f"/10 (below audit threshold {threshold}).\nReason: "), "__why")
     verdict = F.when(F.col("gate") == "skip", "false_positive").otherwise(F.coalesce("verdict", F.lit(empty)))
-    text = F.when(F.col("gate") == "skip", skipped).otherwise(F.coalesce("explanation", F.lit("0/3 real")))
+    silent = K.VERDICT_HEADS[empty] + " (votes 0/3)." + "".join(f"\n{i}. {lens}: n/a" for i, lens in enumerate(K.LENSES, 1))
+    text = F.when(F.col("gate") == "skip", skipped).otherwise(F.coalesce("explanation", F.lit(silent)))
     judged = judged.select(*keys, verdict.alias("new_verdict"), text.alias("explanation"))
     out = pending.select("id", *keys).join(judged, list(keys))
     return out.select(F.col("id").alias("candidate_id"), F.col("new_verdict").alias("verdict"), "explanation")

@@ -74,42 +74,50 @@ def compare_snapshots(old: DataFrame, new: DataFrame, key: str = "path", digest:
     return o.join(n, key, "full_outer").select(key, state.alias("state"))
 
 
-def resource_quota(events: DataFrame, known: DataFrame, limit: int = K.RESOURCE_LIMIT) -> DataFrame:
-    """New names that resource signals add to each task, by the sequential quota.
+def resource_hits(events: DataFrame, known: DataFrame, limit: int = K.RESOURCE_LIMIT) -> DataFrame:
+    """The events that the resource quota lets through, with ``fresh``: whether their name is new to the task.
 
     ``events(task_id, signal_ord, phase, ord, name, file)``: definitions (phase 0) before usages
-    (phase 1), signals in order. Only new names count; a usage phase looks at no more distinct
-    (name, file) pairs than the quota has left when it begins. The bound is recursive, so a task's
-    events, at most some hundreds by the fetch limits, are folded in order in one group.
+    (phase 1), signals in order. New names count against the quota, names that another road found
+    do not; a usage phase looks at no more distinct (name, file) pairs than the quota has left when
+    it begins. The bound is recursive, so a task's events, at most some hundreds by the fetch
+    limits, are one sorted array that a higher-order function folds.
     """
-    import pandas as pd
-
-    both = events.withColumn("__known", F.lit(False)).unionByName(known.select("task_id", "name").distinct().withColumn("__known", F.lit(True)), allowMissingColumns=True)
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        names = set(rows.loc[rows["__known"], "name"])
-        todo = rows.loc[~rows["__known"]].sort_values(["signal_ord", "phase", "ord"], kind="stable")
-        out, added = [], 0
-        for _, one in todo.groupby("signal_ord", sort=True):
-            if added >= limit:
-                break
-            for r in one[one["phase"] == 0].itertuples(index=False):
-                if added >= limit:
-                    break
-                if r.name not in names:
-                    names.add(r.name)
-                    out.append(r)
-                    added += 1
-            uses = one[one["phase"] == 1].drop_duplicates(["name", "file"]).head(max(0, limit - added))
-            for r in uses.itertuples(index=False):
-                if r.name not in names:
-                    names.add(r.name)
-                    out.append(r)
-                    added += 1
-        return pd.DataFrame([tuple(r[:6]) for r in out], columns=["task_id", "signal_ord", "phase", "ord", "name", "file"])
-
-    cols = ["task_id", "signal_ord", "phase", "ord", "name", "file"]
-    return both.select(*cols, "__known").groupBy("task_id").applyInPandas(fold, events.select(*cols).schema)
+    # a usage of one (name, file) is looked at once a signal
+    event = F.struct("signal_ord", "phase", "ord", "name", "file")
+    uses = events.where("phase = 1").groupBy("task_id", "signal_ord", "phase", "name", "file").agg(F.min("ord").alias("ord"))
+    todo = events.where("phase = 0").unionByName(uses.select(*events.columns)).groupBy("task_id").agg(F.array_sort(F.collect_list(event)).alias("events"))
+    names = known.groupBy("task_id").agg(F.collect_set("name").alias("known"))
+    kinds = {c: events.schema[c].dataType.simpleString() for c in events.columns}
+    hit = f"struct<signal_ord:{kinds['signal_ord']},phase:{kinds['phase']},ord:{kinds['ord']},name:{kinds['name']},file:{kinds['file']},fresh:boolean>"
+    none = F.array().cast(f"array<{kinds['name']}>")
+    start = F.struct(
+        F.lit(0).alias("added"), F.lit(0).alias("room"), F.lit(None).cast(kinds["signal_ord"]).alias("open"), none.alias("names"), F.array().cast(f"array<{hit}>").alias("hits")
+    )
+    known_names = F.coalesce("known", none)
+
+    def step(state: Column, e: Column) -> Column:
+        usage = e["phase"] == 1
+        begins = usage & ~F.coalesce(state["open"] == e["signal_ord"], F.lit(False))
+        room = F.when(begins, F.lit(limit) - state["added"]).otherwise(state["room"])
+        seen = F.when(usage, room > 0).otherwise(state["added"] < limit)
+        fresh = ~F.array_contains(known_names, e["name"]) & ~F.array_contains(state["names"], e["name"])
+        one = F.struct(*(e[c].alias(c) for c in ("signal_ord", "phase", "ord", "name", "file")), fresh.alias("fresh"))
+        return F.struct(
+            (state["added"] + F.when(seen & fresh, 1).otherwise(0)).alias("added"),
+            F.when(usage, room - 1).otherwise(room).alias("room"),
+            F.when(usage, e["signal_ord"]).otherwise(state["open"]).alias("open"),
+            F.when(seen & fresh, F.array_append(state["names"], e["name"])).otherwise(state["names"]).alias("names"),
+            F.when(seen, F.array_append(state["hits"], one)).otherwise(state["hits"]).alias("hits"),
+        )
+
+    folded = todo.join(names, "task_id", "left").select("task_id", F.explode(F.aggregate("events", start, step, lambda s: s["hits"])).alias("h"))
+    return folded.select("task_id", "h.*")
+
+
+def resource_quota(events: DataFrame, known: DataFrame, limit: int = K.RESOURCE_LIMIT) -> DataFrame:
+    """New names that resource signals add to each task, by the sequential quota (see resource_hits)."""
+    return resource_hits(events, known, limit).where("fresh").drop("fresh")
 
 
 def ordered_quota(events: DataFrame, known: DataFrame, limit: int = K.RESOURCE_LIMIT) -> DataFrame:

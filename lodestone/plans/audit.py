@@ -18,7 +18,7 @@ from lodestone.operators import retrieval as R
 from lodestone.plans import report
 from lodestone.sources import files as sources
 from lodestone.sources.catalog_xml import load_catalog
-from lodestone.sources.stores import TASK, SnapshotStore
+from lodestone.sources.stores import TASK, SnapshotStore, load_languages, load_rules, write_packages
 
 DIMENSIONS = 384
 
@@ -51,8 +51,8 @@ def init_plan(catalog: DataFrame, files: DataFrame, language: str = "auto", rule
     """Tasks for the weaknesses that the found technology calls for, and the language."""
     spark, rules = catalog.sparkSession, rules or K.PRESCAN_RULES
     language = sources.dominant_language(files) if language == "auto" else language
-    extensions = K.LANGUAGES.get(K.LANGUAGE_ALIASES.get(language, language), ([],))[0]
-    found = R.found_tags(sources.prescan_files(files, extensions), rules).where("found")
+    # technology counts in whatever language of the project it is found
+    found = R.found_tags(sources.prescan_files(files, S.source_extensions()), rules).where("found")
     kept = R.prune(catalog, R.rule_classes(spark, rules), found)
     tasks = kept.select(
         F.concat(F.lit("task-cwe-"), "id").alias("id"), F.col("id").alias("cwe_id"), F.col("name").alias("cwe_name"), "description",
@@ -136,9 +136,29 @@ def call_edges(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     return called.where("src <> dst").join(known, "dst").groupBy("src", "dst", "file").agg(F.min("line_no").alias("line"))
 
 
-def contexts(candidates: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFrame:
+def fallback_edges(lines: DataFrame, names: DataFrame) -> DataFrame:
+    """``src, dst, file, line``: functions in whose lines a name of ``names(dst)`` stands as a word.
+
+    A line that defines the name is no use of it, nor is a use within the function itself.
+    """
+    owned = L.enclosing_header(lines)
+    words = F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), 0)))
+    own = S.header_name(F.col("line"), strict=True)
+    used = owned.select("file", "line_no", F.col("enclosing").alias("src"), own.alias("__own"), words.alias("dst")).where("src <> dst and not dst <=> __own")
+    return used.join(names.select("dst").distinct(), "dst").groupBy("src", "dst", "file").agg(F.min("line_no").alias("line"))
+
+
+def callers_of(names: DataFrame, edges: DataFrame, lines: DataFrame) -> DataFrame:
+    """Up to ten callers of each of ``names(dst)`` by call edges; a name without any by its uses in the text."""
+    primary = edges.join(names.select("dst").distinct(), "dst", "left_semi").select("src", "dst", "file", "line")
+    bare = names.select("dst").distinct().join(primary, "dst", "left_anti")
+    both = primary.withColumn("is_fallback", F.lit(False)).unionByName(fallback_edges(lines, bare).select("src", "dst", "file", "line").withColumn("is_fallback", F.lit(True)))
+    return M.neighbours(both.withColumn("ord", F.struct("file", "line", "src")))
+
+
+def contexts(candidates: DataFrame, edges: DataFrame, symbols: DataFrame, lines: DataFrame) -> DataFrame:
     """``function, context, first_caller``: callers (the first three with a preview) and callees."""
-    callers = M.neighbours(edges.withColumn("is_fallback", F.lit(False)).withColumn("ord", F.struct("file", "line")))
+    callers = callers_of(candidates.select(F.col("function").alias("dst")), edges, lines)
     previews = symbols.select(F.col("name").alias("src"), "file", "code")
     listed = callers.join(previews, ["src", "file"], "left")
     fence = F.concat(F.lit("\n```\n"), S.first_lines(F.col("code")), F.lit("\n```"))
@@ -154,16 +174,23 @@ def contexts(candidates: DataFrame, edges: DataFrame, symbols: DataFrame) -> Dat
     return names.select("function", S.truncate_context(text).alias("context"), "first_caller")
 
 
+def type_definitions(lines: DataFrame) -> DataFrame:
+    """``type, definition``: the first definition of each type, whatever its kind, with its whole source.
+
+    The source runs from the defining line to before the next definition of the file.
+    """
+    shape = rf"\b({'|'.join(K.DEFINITION_KINDS)})\s+([A-Za-z_][A-Za-z0-9_]*)"
+    defined = lines.where(F.col("line").rlike(shape)).select("file", F.regexp_extract("line", shape, 2).alias("name"), F.col("line_no").cast("int").alias("line"), F.regexp_extract("line", shape, 1).alias("kind"))
+    sources_ = L.symbol_sources(defined, lines).join(defined, ["file", "name", "line"])
+    first = M.first_per_key(sources_, ["name"], ["file", "line"])
+    return first.select(F.col("name").alias("type"), F.concat(F.lit("// Definition for "), "kind", F.lit(" "), "name", F.lit("\n"), "code").alias("definition"))
+
+
 def definitions(candidates: DataFrame, lines: DataFrame, language: str) -> DataFrame:
-    """``id, struct_definitions``: for the first types of a snippet, the line that defines each."""
-    lang = F.lit(language)
-    kinds = "|".join(K.LANGUAGES.get(K.LANGUAGE_ALIASES.get(language, language), ([], [], ["class"]))[2]) or "class"
-    shape = rf"\b(?:{kinds})\s+([A-Za-z_][A-Za-z0-9_]*)"
-    defined = lines.where(F.col("line").rlike(shape)).select(F.regexp_extract("line", shape, 1).alias("type"), "file", "line_no", "line")
-    defined = M.first_per_key(defined, ["type"], ["file", "line_no"])
-    wanted = candidates.select("id", F.posexplode(S.type_names(F.col("code"), lang)).alias("pos", "type"))
-    found = wanted.join(defined, "type").groupBy("id")
-    return found.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.trim("line").alias("t")))), lambda x: x["t"]), "\n").alias("struct_definitions"))
+    """``id, struct_definitions``: the definitions of the first types of a snippet."""
+    wanted = candidates.select("id", F.posexplode(S.type_names(F.col("code"), F.lit(language))).alias("pos", "type"))
+    found = wanted.join(type_definitions(lines), "type").groupBy("id")
+    return found.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("definition").alias("t")))), lambda x: x["t"]), "\n\n").alias("struct_definitions"))
 
 
 def explore(tasks: DataFrame, index: DataFrame, lines: DataFrame, language: str, embed: Callable[[Column], Column] | None = None, per_task: int = K.PER_TASK_LIMIT, floor: float = K.MIN_SCORE, recall_key: str = "file") -> DataFrame:
@@ -187,14 +214,15 @@ def explore(tasks: DataFrame, index: DataFrame, lines: DataFrame, language: str,
     named = index.where(F.col("name").isin(plain)).select(F.try_element_at(order, F.col("name")).cast("long").alias("a"), F.lit(0).alias("b"), "file", "name", "line")
     hits = used.unionByName(named).withColumn("c", F.row_number().over(Window.partitionBy("a", "b").orderBy("file", "line")).cast("long"))
     events = logic.join(F.broadcast(hits.where(F.col("c") <= K.RESOURCE_LIMIT)), F.lit(True))
-    quota = R.resource_quota(
-        events.select("task_id", F.col("a").alias("signal_ord"), F.col("b").alias("phase"), F.col("c").alias("ord"), "name", "file"), vector.select("task_id", "name").unionByName(symbol.select("task_id", "name"))
-    )
+    events = events.select("task_id", F.col("a").alias("signal_ord"), F.col("b").alias("phase"), F.col("c").alias("ord"), "name", "file")
+    recalled = vector.unionByName(symbol).select("task_id", "name", "file").distinct()
+    quota = R.resource_quota(events, recalled.select("task_id", "name").distinct())
+    upgraded = R.resource_hits(events, recalled.select("task_id", "name").distinct()).where(~F.col("fresh"))
     lines_of = hits.groupBy("name", "file").agg(F.min("line").alias("line"))
     resource = quota.join(lines_of, ["name", "file"]).select(
         "task_id", "file", "name", "line", F.lit("resource").alias("road"), F.struct(F.lit(1).alias("late"), F.col("signal_ord").alias("a"), F.col("phase").alias("b"), F.col("ord").alias("c")).alias("recall_ord")
     )
-    seen = logic.join(F.broadcast(hits.select("name", "file").distinct()), F.lit(True)).join(vector.unionByName(symbol).select("task_id", "name", "file").distinct(), ["task_id", "name", "file"], "left_semi")
+    seen = recalled.join(upgraded.select("task_id", "name").distinct(), ["task_id", "name"], "left_semi")
     again = seen.select("task_id", "file", "name", F.lit(0).alias("line"), F.lit("resource").alias("road"), F.struct(F.lit(2).alias("late"), F.lit(0).cast("long").alias("a"), F.lit(0).alias("b"), F.lit(0).cast("long").alias("c")).alias("recall_ord"))
     keys = ["task_id", "name"] if recall_key == "name" else ["task_id", "file", "name"]
     all_ = vector.unionByName(symbol).unionByName(resource).unionByName(again).withColumn("ord0", F.col("recall_ord"))
@@ -210,7 +238,7 @@ def explore(tasks: DataFrame, index: DataFrame, lines: DataFrame, language: str,
 
 def enrich(candidates: DataFrame, lines: DataFrame, index: DataFrame, language: str) -> DataFrame:
     edges = call_edges(lines, index)
-    ctx = contexts(candidates, edges, index)
+    ctx = contexts(candidates, edges, index, lines)
     types = definitions(candidates, lines, language)
     out = candidates.join(ctx, "function", "left").join(types, "id", "left")
     return out.withColumn("entrypoint", S.entrypoint(F.col("first_caller"), F.col("file"))).withColumn("verdict", F.lit("pending")).withColumn("explanation", F.lit("")).drop("first_caller")
@@ -225,9 +253,12 @@ def packages(candidates: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def coverage(files: DataFrame, recalled: DataFrame) -> DataFrame:
-    """Sink lines in functions that no candidate covers: ``file, function, line, content`` in order."""
-    scanned = sources.coverage_files(files)
+    """Sink lines in functions that no candidate covers: ``file, function, line, content`` in order.
+
+    Only files of the project's dominant language are scanned, with its own pattern.
+    """
     language = sources.dominant_language(files, coverage=True)
+    scanned = sources.coverage_files(files, language)
     lines = L.explode_lines(scanned.withColumnRenamed("path", "file"), ["file"])
     hits = lines.where(F.col("line").rlike(K.SINKS.get(language, K.SINKS["c/cpp"]))).select("file", "line_no", "line")
     symbols = L.symbols_of(lines.join(hits.select("file").distinct(), "file", "left_semi")).withColumn("listing_ord", F.col("line").cast("long"))
@@ -247,6 +278,8 @@ class AuditConfig:
     severity_threshold: int = K.SEVERITY_THRESHOLD
     limit: int = K.REVIEW_BUDGET
     strict: bool = False
+    rules: str | None = None
+    languages: str | None = None
     embed: Callable[[Column], Column] = field(default_factory=hash_embedder)
 
 
@@ -256,12 +289,14 @@ def run_pipeline(spark: SparkSession, cfg: AuditConfig, intents: DataFrame | Non
     Returns the report, the gaps' table and the bucket counts; without tasks or candidates the
     report says so and the later stages are left out.
     """
+    if cfg.languages:
+        load_languages(cfg.languages)
     store = SnapshotStore(spark, cfg.workspace)
     files = sources.scan_files(spark, cfg.project)
     store.write("files", files)
     files = store.read("files")
     catalog = load_catalog(spark, cfg.catalog, "all")
-    tasks, language = init_plan(catalog, files, cfg.language)
+    tasks, language = init_plan(catalog, files, cfg.language, load_rules(cfg.rules))
     tasks = merge_intents(tasks, intents if intents is not None else spark.createDataFrame([], "id string, query_intents array<string>"))
     tasks = store.write("tasks", tasks.select(*[c.split()[0] for c in TASK.split(", ")]))
     if tasks.isEmpty():
@@ -275,6 +310,8 @@ def run_pipeline(spark: SparkSession, cfg: AuditConfig, intents: DataFrame | Non
         return {"language": language, "tasks": tasks.count(), "report": report.markdown(None, tasks.count()), "gaps": coverage(files, found.select("file", "function"))}
     candidates = store.write("candidates", enrich(found, lines, index, language))
     store.write("packages", packages(candidates, tasks))
+    write_packages(store.read("packages"), f"{cfg.workspace.rstrip('/')}/candidates-json")
+    left = M.truncated(candidates, cfg.limit)
     empty_votes = spark.createDataFrame([], "candidate_id string, lens string, is_real boolean, has_path boolean, has_missing boolean, reason string")
     empty_severity = spark.createDataFrame([], "candidate_id string, severity int")
     if votes is not None or severities is not None:
@@ -282,4 +319,8 @@ def run_pipeline(spark: SparkSession, cfg: AuditConfig, intents: DataFrame | Non
         candidates = store.write("candidates", M.merge_verdicts(candidates, updates.withColumnRenamed("candidate_id", "id")))
     counts = M.bucket_counts(candidates).first().asDict()
     gaps = coverage(files, candidates.select("file", "function"))
-    return {"language": language, "tasks": tasks.count(), "counts": counts, "report": report.markdown(candidates, tasks.count(), votes if votes is not None else empty_votes), "gaps": gaps}
+    roads = {r["recall_source"]: r["count"] for r in candidates.groupBy("recall_source").count().collect()}
+    return {
+        "language": language, "tasks": tasks.count(), "counts": counts, "truncated": left, "roads": roads,
+        "report": report.markdown(candidates, tasks.count(), votes if votes is not None else empty_votes, root=cfg.project), "gaps": gaps,
+    }

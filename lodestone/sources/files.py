@@ -36,13 +36,19 @@ def prescan_files(files: DataFrame, extensions: Iterable[str]) -> DataFrame:
     return files.where(by_suffix & ~S.ignored_dir(path) & ~S.generated_file(path))
 
 
-def coverage_files(files: DataFrame) -> DataFrame:
-    return files.where(S.extension_language(F.col("path"), coverage=True).isNotNull() & ~S.ignored_dir(F.col("path"), coverage=True))
+def coverage_files(files: DataFrame, language: str | None = None) -> DataFrame:
+    """Files with sink patterns, of one language if given, outside the ignored folders."""
+    lang = S.extension_language(F.col("path"), coverage=True)
+    return files.where((lang.isNotNull() if language is None else lang == language) & ~S.ignored_dir(F.col("path"), coverage=True))
+
+
+def language_counts(files: DataFrame, coverage: bool = False) -> DataFrame:
+    """``lang, n``: files of each language outside the ignored folders."""
+    lang = S.extension_language(F.col("path"), coverage)
+    return files.where(~S.ignored_dir(F.col("path"), coverage)).groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).where("lang is not null")
 
 
 def dominant_language(files: DataFrame, coverage: bool = False) -> str:
     """Language of most files (ties: the first by name); ``cpp`` or ``c/cpp`` without any."""
-    lang = S.extension_language(F.col("path"), coverage)
-    ranked = files.where(~S.ignored_dir(F.col("path"), coverage)).groupBy(lang.alias("lang")).count().where("lang is not null").orderBy(F.desc("count"), "lang")
-    row = ranked.first()
+    row = language_counts(files, coverage).orderBy(F.desc("n"), "lang").first()
     return row["lang"] if row else ("c/cpp" if coverage else "cpp")

@@ -31,25 +31,24 @@ def load_rules(path: str | None = None) -> dict:
 
 
 class SnapshotStore:
-    """Tables under one folder, each a series of snapshots; a small pointer names the current one.
+    """Tables under one folder, each a series of snapshots ``v1, v2, ...``.
 
-    A reader sees a whole snapshot or the one before; the pointer is replaced by one rename. One
-    writer at a time, as for the plan it stands for.
+    The current one is the highest that is complete, that is, whose writer has committed it, so a
+    reader sees a whole snapshot or the one before at any time. One writer at a time, as for the
+    plan it stands for.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/CURRENT"
-
     def version(self, name: str) -> int:
-        fs, p = self._fs(f"{self._pointer(name)}")
-        return int(self.spark.read.text(self._pointer(name)).first()[0]) if fs.exists(p) else 0
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return 0
+        found = [x.getPath() for x in fs.listStatus(path)]
+        done = self.spark._jvm.org.apache.hadoop.fs.Path
+        return max((int(p.getName()[1:]) for p in found if p.getName()[1:].isdigit() and fs.exists(done(p, "_SUCCESS"))), default=0)
 
     def exists(self, name: str) -> bool:
         return self.version(name) > 0
@@ -61,16 +60,7 @@ class SnapshotStore:
         return self.spark.read.parquet(f"{self.root}/{name}/v{n}")
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        n = self.version(name) + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v{n}")
-        fs, new = self._fs(f"{self.root}/{name}/.CURRENT.{n}")
-        out = fs.create(new, True)
-        out.write(bytearray(str(n).encode()))
-        out.close()
-        _, old = self._fs(self._pointer(name))
-        if fs.exists(old):
-            fs.delete(old, False)
-        fs.rename(new, old)
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v{self.version(name) + 1}")
         return self.read(name)
 
     def size(self, name: str) -> int:
@@ -78,22 +68,38 @@ class SnapshotStore:
 
 
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
-    """Candidate packages ``cand-*.json``; broken files are skipped, backslashes become slashes."""
-    raw = spark.read.schema(PACKAGE).option("pathGlobFilter", "cand-*.json").option("multiLine", "true").option("mode", "DROPMALFORMED").json(path)
+    """Candidate packages, one a file ``cand-*.json`` or as write_packages has written them.
+
+    Broken ones are skipped, backslashes become slashes.
+    """
+    read = lambda glob, whole: spark.read.schema(PACKAGE).option("pathGlobFilter", glob).option("multiLine", whole).option("mode", "DROPMALFORMED").json(path)
+    raw = read("cand-*.json", "true").unionByName(read("part-*.json", "false"))
     return raw.where("file is not null").withColumn("file", F.replace("file", F.lit("\\"), F.lit("/")))
 
 
 def write_packages(packages: DataFrame, path: str) -> None:
-    """All packages as one JSON-lines dataset; ``read.json`` gives them back."""
+    """All packages as one JSON-lines dataset; read_packages gives them back."""
     packages.write.mode("overwrite").json(path)
 
 
-def read_votes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(VOTE).option("mode", "FAILFAST").json(path)
-
+def load_languages(path: str) -> None:
+    """Take the language tables of a JSON file for this process; without a readable one the built-in ones stay.
 
-def read_catalog_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", "true").json(path)
+    Keys: languages (each with markdown_tag, extensions, cwe_aliases, type_kinds, resource_signals),
+    aliases, ext_to_lang and _common_resource_signals.
+    """
+    try:
+        with open(path, encoding="utf-8") as f:
+            given = json.load(f)
+        parts = ("extensions", "cwe_aliases", "type_kinds", "resource_signals")
+        languages = {k: tuple(list(v.get(part, [])) for part in parts) for k, v in given["languages"].items()}
+        tags = {k: v.get("markdown_tag", k) for k, v in given["languages"].items()}
+    except (OSError, ValueError, KeyError, AttributeError):
+        return
+    for table, new in ((K.LANGUAGES, languages), (K.MARKDOWN_TAGS, tags), (K.LANGUAGE_ALIASES, given.get("aliases", {})), (K.EXTENSION_LANGUAGE, given.get("ext_to_lang", {}))):
+        table.clear()
+        table.update(new)
+    K.COMMON_SIGNALS[:] = given.get("_common_resource_signals", [])
 
 
 def write_catalog_json(catalog: DataFrame, path: str) -> str:

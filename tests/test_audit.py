@@ -145,7 +145,7 @@ def test_packages_and_rules(spark, tmp_path):
     assert "memory" in stores.load_rules(str(tmp_path / "none.json"))
     df = spark.createDataFrame([("1", "a", "f")], "id string, file string, function string")
     stores.write_packages(df, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).count() == 1 and stores.workspace("/p")["plan"] == "/p/.audit_workspace/plan"
+    assert [(r.id, r.file, r.function) for r in stores.read_packages(spark, str(tmp_path / "out")).collect()] == [("1", "a", "f")] and stores.workspace("/p")["plan"] == "/p/.audit_workspace/plan"
 
 
 def test_report(spark):
@@ -191,3 +191,54 @@ def test_resource_events_are_bounded_by_signal_and_order(spark, tmp_path, monkey
     found = caught[0].groupBy("task_id", "signal_ord", "phase").agg(F.count("*").alias("n"), F.max("ord").alias("last")).collect()
     assert found and max(r.n for r in found) == audit.K.RESOURCE_LIMIT
     assert all(r.n == r.last for r in found)
+
+
+def test_coverage_scans_one_language(spark):
+    """Only files of the dominant language are scanned, with that language's pattern."""
+    rows = [("a.py", "def f():\n    eval(x)"), ("b.py", "def g():\n    pass"), ("c.c", "int h() {\n  eval(x);\n}")]
+    files = spark.createDataFrame(rows, "path string, content string")
+    gaps = audit.coverage(files, spark.createDataFrame([], "file string, function string"))
+    assert [(r.file, r.function, r.line) for r in gaps.collect()] == [("a.py", "f", 2)]
+    assert report.gap_table(gaps).count("| a.py |") == 1
+
+
+def test_technology_of_all_languages(spark, project):
+    """A tag found in a file of another language keeps its classes."""
+    files = spark.createDataFrame([("a.py", "x = 1"), ("b.py", "y = 2"), ("lib/c.java", "ObjectInputStream in;")], "path string, content string")
+    tasks, language = audit.init_plan(load_catalog(spark, str(project / "catalog.xml"), "all"), files)
+    assert language == "python" and "502" in {r.cwe_id for r in tasks.collect()}
+
+
+def test_callers_from_text(spark):
+    """A function that nobody calls has the functions that name it."""
+    text = "def a():\n    register(b)\n\ndef b():\n    pass\n\ndef c():\n    a()\n"
+    lines = L.explode_lines(spark.createDataFrame([("x.py", text)], "file string, content string"), ["file"])
+    symbols = L.symbols_of(lines)
+    got = audit.callers_of(spark.createDataFrame([("a",), ("b",)], "dst string"), audit.call_edges(lines, symbols), lines).collect()
+    assert sorted((r.dst, r.src, r.is_fallback) for r in got) == [("a", "c", False), ("b", "a", True)]
+
+
+def test_whole_type_definitions(spark):
+    text = "class Box:\n    side = 1\n    top = 2\nstruct point { int x; }\n"
+    lines = L.explode_lines(spark.createDataFrame([("x.py", text)], "file string, content string"), ["file"])
+    c = spark.createDataFrame([("c1", "Box point Other")], "id string, code string")
+    assert audit.definitions(c, lines, "python").first().struct_definitions == "// Definition for class Box\nclass Box:\n    side = 1\n    top = 2"
+
+
+def test_language_file(spark, tmp_path):
+    from lodestone.functions import constants as K
+
+    tables = (K.LANGUAGES, K.MARKDOWN_TAGS, K.LANGUAGE_ALIASES, K.EXTENSION_LANGUAGE)
+    saved, signals = [dict(t) for t in tables], list(K.COMMON_SIGNALS)
+    try:
+        stores.load_languages(str(tmp_path / "none.json"))
+        assert saved == [dict(t) for t in tables]
+        (tmp_path / "l.json").write_text(json.dumps({"languages": {"rust": {"extensions": [".rs"], "type_kinds": ["trait"]}}, "aliases": {"rs": "rust"}, "ext_to_lang": {".rs": "rust"}, "_common_resource_signals": ["get"]}))
+        stores.load_languages(str(tmp_path / "l.json"))
+        files = spark.createDataFrame([("a.rs", "x"), ("b.py", "y")], "path string, content string")
+        assert sources.dominant_language(files) == "rust" and K.MARKDOWN_TAGS == {"rust": "rust"} and K.COMMON_SIGNALS == ["get"]
+    finally:
+        for table, old in zip(tables, saved):
+            table.clear()
+            table.update(old)
+        K.COMMON_SIGNALS[:] = signals

@@ -37,7 +37,7 @@ def test_languages_and_labels(spark):
     assert not kept(["Python"], "rust") and kept(["C"], "all")
     assert one(spark, S.extension(x), x="a/b.Tar.GZ") == ".gz" and one(spark, S.extension(x), x="a/.env") == "" and one(spark, S.extension(x), x="a.b/c") == ""
     assert one(spark, S.extension_language(x), x="A.PY") == "python" and one(spark, S.extension_language(x, lower=False), x="A.PY") is None
-    assert one(spark, S.file_url(x), x="a\\b.py") == "file:///a/b.py" and one(spark, S.hide_none(x), x="None") is None
+    assert one(spark, S.file_url(x), x="a\\b.py") == "file:///a/b.py" and one(spark, S.file_url(x, "/p/"), x="a/b.py") == "file:///p/a/b.py" and one(spark, S.hide_none(x), x="None") is None
     assert one(spark, S.weakness_label(x, F.lit("t")), x=["79", "89"]) == "CWE-79 / CWE-89" and one(spark, S.weakness_label(x, F.lit("t")), x=[]) == "t"
     assert one(spark, S.entrypoint(x, F.lit("src/a")), x="main") == "main" and one(spark, S.entrypoint(F.nullif(x, x), F.lit("src/a")), x="m") == "Reachability Hint: high"
     assert [one(spark, S.source_rank(x), x=v) for v in ("resource", "symbol", "vector", "both", "?")] == [0, 1, 2, 3, -1]
@@ -57,9 +57,12 @@ def test_texts(spark):
     assert names("mockingbird", "java") and names("TestX", "go") and names("TestX", "python") and not names("TestX", "java") and not names("contest", "python") and not names("test_a", "java")
     assert one(spark, S.clean_code(x), x="# head\n```python\n12\tdef f():\n13\t    pass\n```\n") == "def f():\n    pass"
     assert one(spark, S.clean_code(x), x="plain\ncode") == "plain\ncode"
+    assert one(spark, S.clean_code(x), x="```\n12 x = 1\n13: y\n```") == "x = 1\n13: y" and one(spark, S.clean_code(x), x="```rust\n1\tz\n```") == "rust\nz"
     assert one(spark, S.embed_text(F.lit("f"), x), x="\n".join(map(str, range(60)))) == "f\n" + "\n".join(map(str, range(40)))
     assert one(spark, S.truncate_context(x), x="a" * 6001) == "a" * 6000 + "\n... (truncated)"
     assert one(spark, S.type_names(x, F.lit("c")), x="struct Foo { size_t n; vector<MyType> v; } std string") == ["Foo", "MyType", "size_t"]
+    assert one(spark, S.type_names(x, F.lit("Python")), x="HTTPServer ID My_Type UserRepo class foo:") == ["HTTPServer", "ID", "My_Type", "UserRepo", "foo"]
+    assert one(spark, S.type_names(x, F.lit("java")), x="record point(int x) u8_t") == ["point"] and one(spark, S.type_names(x, F.lit("rust")), x="Foo") == []
     header = lambda v, strict=False: one(spark, S.header_name(x, strict), x=v)
     assert header("  def outer(a):") == "outer" and header("func (s *T) Get(x int) {") == "Get" and header("const go = async (a) => {") == "go" and header("static int f(void)") == "f"
     assert header("    return json(x)") == "json" and header("    return json(x)", True) is None and header("else if (x)", True) is None and header("x = 1") is None
@@ -207,10 +210,15 @@ def test_verdict_merge(spark):
 def test_verify(spark):
     c = spark.createDataFrame([("c1", "f", "g", "79", "pending", 1), ("c2", "f", "g", "79", "pending", 2), ("c3", "f", "h", "79", "pending", 3), ("c4", "f", "i", "79", "verified", 4), ("c5", "f", "j", "79", "pending", 5), ("c6", "f", "k", "79", "pending", 6)],
                               "id string, file string, function string, cwe_id string, verdict string, ord int")
-    votes = spark.createDataFrame([("c1", x, True, i == 0, False, None) for i, x in enumerate("abc")], "candidate_id string, lens string, is_real boolean, has_path boolean, has_missing boolean, reason string")
+    votes = spark.createDataFrame([("c1", x, True, i == 0, False, "why" if i == 1 else "") for i, x in enumerate(("reachability", "guard", "exploit"))], "candidate_id string, lens string, is_real boolean, has_path boolean, has_missing boolean, reason string")
     severity = spark.createDataFrame([("c1", 5), ("c3", 4)], "candidate_id string, severity int")
     got = {r.candidate_id: (r.verdict, r.explanation) for r in M.verify(c, severity, votes, limit=3).collect()}
-    assert got == {"c1": ("verified", "3/3 real; a: n/a; b: n/a; c: n/a"), "c2": ("verified", "3/3 real; a: n/a; b: n/a; c: n/a"), "c3": ("false_positive", "severity 4/10 below threshold 5"), "c5": ("false_positive", "0/3 real")}
+    lenses = "\n1. reachability: {}\n2. guard: {}\n3. exploit: {}"
+    real = "Verified logic vulnerability (votes 3/3)." + lenses.format("n/a", "why", "n/a")
+    none = "Excluded — all lenses falsified the vulnerability (votes 0/3)." + lenses.format("n/a", "n/a", "n/a")
+    low = "Excluded — Security severity rated as 4/10 (below audit threshold 5).\nReason: n/a"
+    assert got == {"c1": ("verified", real), "c2": ("verified", real), "c3": ("false_positive", low), "c5": ("false_positive", none)}
+    assert M.truncated(c, 3) == 1 and M.truncated(c, 9) == 0
     assert M.verify(c, severity, votes, strict=True).where("candidate_id = 'c5'").first().verdict == "needs_review"
     counts = M.bucket_counts(spark.createDataFrame([("verified",), ("odd",), (None,)], "verdict string")).first()
     assert (counts.total, counts.verified, counts.needs_review, counts.false_positive, counts.pending) == (3, 1, 0, 0, 2)
