@@ -389,18 +389,46 @@ def signal_ordered_union(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(S.resource_signals(name), "|").alias("signals"))
 
 
-@query(r"""
-WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', ' ', 'g'), '\b([A-Z][a-z0-9]+(?:[A-Z][A-Za-z0-9]*)+|[A-Z][a-z]{2,}[A-Za-z0-9]*)\b', 1)) AS x FROM documents)
-SELECT doc_id, array_to_string(list_sort(list_filter(x, lambda n: n NOT IN (""" + quoted(K.IGNORED_TYPES) + r""")))[1:8], ',') AS types FROM t
-""")
+_TYPED = {"en": "python", "fr": "java", "de": "c", "es": "go"}
+_CAMEL = "regexp_extract_all(t, '\\b[A-Z][a-zA-Z0-9_]+\\b')"
+
+
+def _declared(language: str) -> str:
+    return f"regexp_extract_all(t, '\\b(?:{'|'.join(K.LANGUAGES[language][2])})\\s+([A-Za-z_][A-Za-z0-9_]*)\\b', 1)"
+
+
+@query(
+    "WITH d AS (SELECT doc_id, lang, regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', ' ', 'g') || ' class foo: ID size_t' || doc_id % 3 || '_t struct Box_1 record point type String' AS t FROM documents), "
+    + "x AS (SELECT doc_id, list_distinct(CASE lang "
+    + " ".join(
+        f"WHEN '{k}' THEN {_CAMEL} || {_declared(v)}" + (" || regexp_extract_all(t, '\\b[a-z0-9_]+_t\\b')" if v == "c" else "") for k, v in _TYPED.items()
+    )
+    + " ELSE [] END) AS x FROM d) "
+    + "SELECT doc_id, array_to_string(list_sort(list_filter(x, lambda n: n NOT IN ("
+    + quoted(K.IGNORED_TYPES)
+    + ")))[1:8], ',') AS types FROM x"
+)
 def typed_names(spark, d):
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", " ")  # word boundaries are ASCII in the twin
-    return table(spark, d, "documents").select("doc_id", F.array_join(S.type_names(text, F.lit("python")), ",").alias("types"))
+    """The first eight types of a text by the rules of the language that its tongue stands for; other tongues have none."""
+    # word boundaries are ASCII in the twin; the tail has every kind of name
+    tail = F.concat(F.lit(" class foo: ID size_t"), (F.col("doc_id") % 3).cast("string"), F.lit("_t struct Box_1 record point type String"))
+    text = F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", " "), tail)
+    language = F.lit("none")
+    for k, v in _TYPED.items():
+        language = F.when(F.col("lang") == k, v).otherwise(language)
+    return table(spark, d, "documents").select("doc_id", F.array_join(S.type_names(text, language), ",").alias("types"))
+
+
+def _all() -> None:
+    """The audit's own queries register themselves when first asked for."""
+    from lodestone.plans import audit_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(SQL)
