@@ -18,13 +18,16 @@ WS_CLASS = r"[\x20\x09-\x0D]+"
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset (tests, a laptop) a local temporary folder is set once.
+    Where it is unset a local master (tests, a laptop) gets a temporary folder once; on a cluster
+    that is an error, as executors would not see the folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
     return context.getCheckpointDir()
 

@@ -94,17 +94,21 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [features(t).tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["quality", "x"])
+        rows = [features(t).tobytes() for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["doc_id", "quality", "x"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> PairwiseModel:
-    """Fit on labelled rows that are not held out, at most ``most`` of them, chosen by a hash of the id."""
+    """Fit on labelled rows that are not held out, at most ``most`` of them, chosen by a hash of the id.
+
+    One row an id counts, that of the least features, however often the id is repeated.
+    """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     chosen = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # so bounded, it may be broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    fitted = rows.join(F.broadcast(chosen), "doc_id").select("quality", "text").mapInArrow(_features, "quality int, x binary").collect()
+    made = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").mapInArrow(_features, "doc_id long, quality int, x binary")
+    fitted = made.groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("s")).select("s.*").collect()
     fitted.sort(key=lambda r: (r.quality, bytes(r.x)))
     x = np.array([np.frombuffer(r.x) for r in fitted]).reshape(-1, FEATURES)
     return fit(x, np.array([r.quality for r in fitted]))
@@ -125,6 +129,7 @@ def score(docs: DataFrame, model: PairwiseModel) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Scores of every row by a model learnt from the labels; null and empty texts are scored as empty, repeated rows each."""
     return score(docs, learn(docs, labels))
 
 
