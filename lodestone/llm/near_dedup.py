@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import partitions_for, persist_table
+from lodestone.llm.common import partitions_for, persist_table, released
 from lodestone.llm.components import connected_components
 from lodestone.llm.shingles import MinHasher, jaccard_counts, shingle_set
 
@@ -370,7 +370,7 @@ def _open_links(docs: DataFrame, classes: DataFrame, opened: DataFrame, found: D
     texts = _texts(docs, classes, rows.select("node").distinct())
     sets = rows.join(texts, "node").select("region", F.lit(2).alias("side"), "comp", "text")
     sets = sets.repartition(width, "region").sortWithinPartitions("region")
-    return sets.mapInArrow(_sets, "region binary, side int, comp long, members binary").mapInArrow(_test_blocks(per_cent), "a long, b long")
+    return sets.mapInArrow(released(_sets), "region binary, side int, comp long, members binary").mapInArrow(released(_test_blocks(per_cent)), "a long, b long")
 
 
 def _crowd_links(docs: DataFrame, classes: DataFrame, crowds: DataFrame, found: DataFrame, per_cent: int, width: int) -> DataFrame:
@@ -388,7 +388,7 @@ def _crowd_links(docs: DataFrame, classes: DataFrame, crowds: DataFrame, found:
     open_ = rows.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("cluster")
     rows = persist_table(rows.join(open_, "cluster").select("node", "cluster", "comp"), "crowds")
     texts = rows.join(_texts(docs, classes, rows.select("node")), "node").select("node", "cluster", "comp", "text")
-    sets = persist_table(texts.mapInArrow(_sets, "node long, cluster long, comp long, members binary"), "crowd-sets")
+    sets = persist_table(texts.mapInArrow(released(_sets), "node long, cluster long, comp long, members binary"), "crowd-sets")
     parts = sets.groupBy("cluster", "comp").agg(F.count("*").alias("n"), F.sum(F.length("members") / 8).alias("m"))
     size = lambda n, m: F.ceil(F.greatest(n / BLOCK, m / BLOCK_SHINGLES))
     parts = parts.withColumn("own", size(F.col("n"), F.col("m")))
@@ -418,7 +418,7 @@ def _crowd_links(docs: DataFrame, classes: DataFrame, crowds: DataFrame, found:
         "members",
     )
     tests = placed.join(sides, "block").select("pair", "side", "comp", "members")
-    return tests.repartition(width, "pair").sortWithinPartitions("pair", "side").mapInArrow(_test_blocks(per_cent), "a long, b long")
+    return tests.repartition(width, "pair").sortWithinPartitions("pair", "side").mapInArrow(released(_test_blocks(per_cent)), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -435,7 +435,7 @@ def near_duplicates(df: DataFrame, per_cent: int = 80, id_col: str = "doc_id", t
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("text_key", F.xxhash64("text")).select("doc_id", "text_key", "text")
-    signed = persist_table(docs.mapInArrow(_sign, _SIG), "signatures")
+    signed = persist_table(docs.mapInArrow(released(_sign), _SIG), "signatures")
     first = F.min(F.struct("doc_id", "text_key"))
     classes = persist_table(
         signed.where("set_key is not null and doc_id is not null")
@@ -445,11 +445,11 @@ def near_duplicates(df: DataFrame, per_cent: int = 80, id_col: str = "doc_id", t
         "classes",
     )
     docs, width, share = docs.where("doc_id is not null"), partitions_for(df), per_cent / 100
-    planted = classes.select("node", "sig").mapInArrow(_plant, "tree int, label binary, node long")
+    planted = classes.select("node", "sig").mapInArrow(released(_plant), "tree int, label binary, node long")
     members = persist_table(
         planted.repartitionByRange(width, "tree", "label", "node")
         .sortWithinPartitions("tree", "label", "node")
-        .mapInArrow(_regions, "region binary, node long, hub long, deep boolean"),
+        .mapInArrow(released(_regions), "region binary, node long, hub long, deep boolean"),
         "regions",
     )
     met = persist_table(
@@ -457,7 +457,7 @@ def near_duplicates(df: DataFrame, per_cent: int = 80, id_col: str = "doc_id", t
         .select("region", "node", "deep", "sig")
         .repartition(width, "region")
         .sortWithinPartitions("region")
-        .mapInArrow(_meet(least_estimate(per_cent), share + (share * (1 - share) / POSITIONS) ** 0.5), "a long, b long, region binary"),
+        .mapInArrow(released(_meet(least_estimate(per_cent), share + (share * (1 - share) / POSITIONS) ** 0.5)), "a long, b long, region binary"),
         "met",
     )
     pairs = persist_table(met.where("b is not null").select("a", "b").distinct(), "pairs")
@@ -468,7 +468,7 @@ def near_duplicates(df: DataFrame, per_cent: int = 80, id_col: str = "doc_id", t
         .select("a", "b", "text")
         .repartition(width, "a")
         .sortWithinPartitions("a", F.col("a") != F.col("b"))
-        .mapInArrow(_confirm(per_cent), "a long, b long")
+        .mapInArrow(released(_confirm(per_cent)), "a long, b long")
     )
     found = persist_table(connected_components(links).withColumnRenamed("component", "first"), "first")
     for name, more in (

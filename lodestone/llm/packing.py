@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import released
 from lodestone.llm.tokens import encoder_for, tokenizer_file
 
 CAPACITY, END_ID = 2048, 1
@@ -97,7 +98,7 @@ def pack_documents(
             yield from block()
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, _PIECES)
+    return rows.mapInArrow(released(run), _PIECES)
 
 
 def piece_digests(pieces: DataFrame) -> DataFrame:

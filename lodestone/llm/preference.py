@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import released
+
 #: Labelled rows a model is fitted on at most (those of the smallest hashes), and pairs drawn from them.
 FIT_ROWS, PAIRS, SEED, RIDGE = 8000, 40_000, 31, 1e-3
 #: Scores from here on are predicted 1.
@@ -107,7 +109,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> PairwiseM
     chosen = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # so bounded, it may be broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").mapInArrow(_features, "doc_id long, quality int, x binary")
+    made = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").mapInArrow(released(_features), "doc_id long, quality int, x binary")
     fitted = made.groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("s")).select("s.*").collect()
     fitted.sort(key=lambda r: (r.quality, bytes(r.x)))
     x = np.array([np.frombuffer(r.x) for r in fitted]).reshape(-1, FEATURES)
@@ -124,7 +126,7 @@ def score(docs: DataFrame, model: PairwiseModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(x))], names=["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, score double")
+    scored = rows.mapInArrow(released(run), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
@@ -142,4 +144,4 @@ def keep_good(docs: DataFrame, model: PairwiseModel, text_col: str = "text") ->
             x = np.array([features(t) for t in batch.column(at).to_pylist()]).reshape(-1, FEATURES)
             yield batch.filter(pa.array(shared.value.score(x) >= CUT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
