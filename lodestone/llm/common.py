@@ -66,6 +66,24 @@ def released(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
     return run
 
 
+def row_slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of whole rows whose texts in ``column`` have at most ``limit`` bytes; a longer text is a slice alone."""
+    _, offsets = byte_column(batch.column(column))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def byte_column(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of texts and each row's place in them; a null has none."""
+    held = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
+    data = np.frombuffer(held.buffers()[2], np.uint8) if held.buffers()[2] else np.empty(0, np.uint8)
+    return data, offsets
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

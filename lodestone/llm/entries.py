@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lodestone.llm import bpe, crf, imatch, near_dedup, packing, preference, quality_rules, url_filter, warc, wavelet
+from lodestone.llm import bpe, crf, fill_middle, imatch, near_dedup, packing, preference, quality_rules, runs, secret_scan, url_filter, warc, wavelet
 from lodestone.llm.common import documents, pages
 
 #: Similarity, in per cent, from which op8 links two documents.
@@ -64,6 +64,21 @@ def op10_wavelet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(documents(spark, sf_dir))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text arranged for filling in its middle and restored; null and empty texts and those with a marker stay plain."""
+    return fill_middle.fill_digests(documents(spark, sf_dir))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words of every text, a tenth of them with a planted periodic end; null and empty texts have none."""
+    return runs.run_digests(runs.planted(documents(spark, sf_dir)))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text by one automaton of all rules; null and empty texts have none, repeated rows are scanned each."""
+    return secret_scan.secret_digests(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the last stage of corpus_pipeline over all documents."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -82,8 +97,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_crf_main_text": op9_crf_main_text,
         "pipeline": pipeline,
         "op10_wavelet_files": op10_wavelet_files,
+        "op11_fill_middle": op11_fill_middle,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_secret_scan": op13_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_round_trip": warc.ROUND_TRIP_SQL, "op7_url_trie": url_filter.FILTER_SQL}
+    return {
+        "op4_warc_round_trip": warc.ROUND_TRIP_SQL,
+        "op7_url_trie": url_filter.FILTER_SQL,
+        "op11_fill_middle": fill_middle.FILL_SQL,
+        "op13_secret_scan": secret_scan.SCAN_SQL,
+    }

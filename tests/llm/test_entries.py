@@ -15,7 +15,7 @@ assert persist_table(spark.range(3), "t").count() == 3 and scratch_dir(spark) ==
 
 def test_names():
     names = set(entries.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
     assert names <= set(__spark_entry__.queries()) and set(entries.oracle_sql()) <= names
 
 
