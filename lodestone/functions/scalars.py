@@ -193,6 +193,11 @@ def header_name(line: Column, strict: bool = False) -> Column:
     return F.coalesce(*names[:-1], loose)
 
 
+def defined_name(line: Column) -> Column:
+    """The name that a line of one of the plain definition forms defines, else null."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(line, p, 1), F.lit("")) for p in K.HEADERS[:4]])
+
+
 def type_names(code: Column, language: Column) -> Column:
     """Candidate type names of a snippet, without the ignored ones: the first eight in order.
 
@@ -212,10 +217,13 @@ def type_names(code: Column, language: Column) -> Column:
     return F.slice(F.array_sort(F.array_except(F.array_distinct(found), _strings(K.IGNORED_TYPES))), 1, K.TYPE_LIMIT)
 
 
+def _literally(word: str) -> str:
+    return "".join("\\" + c if not (c.isalnum() or c == "_") else c for c in word)
+
+
 def word_bounded(text: Column, word: str) -> Column:
     """``word`` literally, not inside a longer word."""
-    quoted = "".join("\\" + c if not (c.isalnum() or c == "_") else c for c in word)
-    return text.rlike(rf"(?<!\w){quoted}(?!\w)")
+    return text.rlike(rf"(?<!\w){_literally(word)}(?!\w)")
 
 
 def is_regex_signal(signal: str) -> bool:
@@ -226,6 +234,13 @@ def signal_hit(line: Column, signal: str) -> Column:
     return line.rlike(signal) if is_regex_signal(signal) else word_bounded(line, signal)
 
 
+def any_signal_hit(line: Column, signals: list[str]) -> Column:
+    """Whether any signal hits, by one alternation."""
+    words = [_literally(s) for s in signals if not is_regex_signal(s)]
+    parts = [rf"(?<!\w)(?:{'|'.join(words)})(?!\w)"] if words else []
+    return line.rlike("|".join(parts + [f"(?:{s})" for s in signals if is_regex_signal(s)]))
+
+
 # --- labels ---------------------------------------------------------------------------------------
 
 

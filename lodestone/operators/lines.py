@@ -13,11 +13,16 @@ def explode_lines(files: DataFrame, keys: list[str], text: str = "content") -> D
     return files.select(*keys, F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")).select(*keys, (F.col("pos") + 1).cast("long").alias("line_no"), "line")
 
 
-def parse_symbol_listing(listing: DataFrame, file: str = "file", row: str = "row") -> DataFrame:
-    """Functions and methods of listing rows such as ``- `name` (function) - :12``; no number gives line 1."""
+def parse_symbol_listing(listing: DataFrame, file: str = "file", row: str = "row", numbered: bool = False) -> DataFrame:
+    """Functions and methods of listing rows such as ``- `name` (function) - :12``.
+
+    Without a number the line is 1; with ``numbered``, as coverage reads a listing, such rows are left out.
+    """
     shape = r"^\s*-\s+`([^`]+)`\s+\((function|method)\)(?:\s+\([^)]*\))?\s+\S+\s+:(\S*)\s*$"
     got = listing.where(F.col(row).rlike(shape))
     number = F.regexp_extract(row, shape, 3)
+    if numbered:
+        got = got.where(number.rlike(r"^\d+$"))
     return got.select(file, F.regexp_extract(row, shape, 1).alias("name"), F.when(number.rlike(r"^\d+$"), number.cast("int")).otherwise(1).alias("line"))
 
 
@@ -54,6 +59,32 @@ def enclosing_header(lines: DataFrame, file: str = "file", exclude: str | None =
     return lines.withColumn("enclosing", F.coalesce(last, S.module_label(F.col(file), F.col("line_no"))))
 
 
+def headers_of(lines: DataFrame, file: str = "file", strict: bool = False) -> DataFrame:
+    """``file, line_no, name`` of the lines that are headers."""
+    return lines.select(file, "line_no", S.header_name(F.col("line"), strict).alias("name")).where("name is not null")
+
+
+def headed(marks: DataFrame, headers: DataFrame, file: str = "file", avoid: str | None = None) -> DataFrame:
+    """``marks(file, line_no, ...)`` with ``enclosing``: the nearest of ``headers(file, line_no, name)`` at or above.
+
+    Where that has the name in the column ``avoid`` of the mark, the search goes on upward past it;
+    a mark without any header left has the module-level label. Only headers and marks go through the
+    window, which carries the last header's name and the last one before it that differs.
+    """
+    extra = [c for c in marks.columns if c not in (file, "line_no")]
+    empty = [F.lit(None).cast(marks.schema[c].dataType).alias(c) for c in extra]
+    rows = headers.select(file, F.col("line_no").cast("long"), F.lit(0).alias("__mark"), F.col("name").alias("__name"), *empty)
+    rows = rows.unionByName(marks.select(file, F.col("line_no").cast("long"), F.lit(1).alias("__mark"), F.lit(None).cast("string").alias("__name"), *extra))
+    w = Window.partitionBy(file).orderBy("line_no", "__mark")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__before", F.last("__name", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    turned = F.col("__name").isNotNull() & ~F.col("__name").eqNullSafe(F.col("__before"))
+    other = F.last(F.when(turned, F.struct(F.col("__before").alias("name"))), ignorenulls=True).over(so_far)
+    rows = rows.withColumn("__last", F.last("__name", ignorenulls=True).over(so_far)).withColumn("__other", other).where("__mark = 1")
+    nearest = F.col("__last") if avoid is None else F.when(F.col("__last") == F.col(avoid), F.col("__other.name")).otherwise(F.col("__last"))
+    return rows.select(file, "line_no", *extra, F.coalesce(nearest, S.module_label(F.col(file), F.col("line_no"))).alias("enclosing"))
+
+
 def owning_symbol(hits: DataFrame, symbols: DataFrame, file: str = "file", order: str = "listing_ord") -> DataFrame:
     """``hits(file, line_no, ...)`` with the owner ``function``: the last symbol that starts at or before
     the line, of equal starts the later listed. Hits above the first symbol are dropped."""
@@ -81,21 +112,22 @@ def usages(lines: DataFrame, signals: DataFrame | list[str], file: str = "file",
     signals = list(signals)
     if not signals:
         return lines.select(file, F.lit("").alias("signal"), F.lit("").alias("enclosing"), "line_no").limit(0)
-    headed = enclosing_header(lines, file).withColumn("__own", F.coalesce(*[F.nullif(F.regexp_extract("line", p, 1), F.lit("")) for p in S.K.HEADERS[:4]]))
+    own = S.defined_name(F.col("line"))
     hits = F.array_compact(
         F.array(
             *(
                 F.when(
                     S.signal_hit(F.col("line"), s)
-                    & (F.lit(True) if S.is_regex_signal(s) else ~F.coalesce(F.contains(F.lit(s), F.col("__own")), F.lit(False))),
+                    & (F.lit(True) if S.is_regex_signal(s) else ~F.coalesce(F.contains(F.lit(s), own), F.lit(False))),
                     F.lit(s),
                 )
                 for s in signals
             )
         )
     )
-    found = headed.withColumn("__hits", hits).where(F.size("__hits") > 0).select(file, F.explode("__hits").alias("signal"), "enclosing", "line_no")
-    first = found.groupBy(file, "signal", "enclosing").agg(F.min("line_no").alias("line_no"))
+    # one expression over all signals decides for most lines; only hits and headers go on
+    found = lines.where(S.any_signal_hit(F.col("line"), signals)).select(file, "line_no", F.explode(hits).alias("signal"))
+    first = headed(found, headers_of(lines, file), file).groupBy(file, "signal", "enclosing").agg(F.min("line_no").alias("line_no"))
     if limit is None:
         return first
     w = Window.partitionBy("signal").orderBy(file, "line_no")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import constants as K
 from lodestone.functions import scalars as S
+from lodestone.operators import lexical as X
 from lodestone.operators import lines as L
 from lodestone.operators import merging as M
 from lodestone.operators import retrieval as R
@@ -120,7 +121,8 @@ def search(index: DataFrame, intents: DataFrame, k: int | Column = 30, floor: fl
 
 
 def lexical(index: DataFrame, intents: DataFrame, limit: int = K.LEXICAL_LIMIT) -> DataFrame:
-    """Functions whose name shares words with an intent, most shared words first."""
+    """Functions whose name shares words with an intent, most shared words first: the plain count, without
+    the weights by which ``explore`` ranks (operators.lexical)."""
     split = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace(c, r"([a-z0-9])([A-Z])", "$1 $2")), "[^a-z0-9]+"), lambda x: F.length(x) > 2))
     names = index.select("file", "name", "line", F.explode(split(F.col("name"))).alias("word"))
     asked = intents.select("intent_id", F.explode(split(F.col("text"))).alias("word"))
@@ -139,13 +141,14 @@ def call_edges(lines: DataFrame, symbols: DataFrame) -> DataFrame:
 def fallback_edges(lines: DataFrame, names: DataFrame) -> DataFrame:
     """``src, dst, file, line``: functions in whose lines a name of ``names(dst)`` stands as a word.
 
-    A line that defines the name is no use of it, nor is a use within the function itself.
+    A line that defines the name, or a name within it, is no use of it. A use within the function
+    itself counts for the next header above that has another name.
     """
-    owned = L.enclosing_header(lines)
     words = F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), 0)))
-    own = S.header_name(F.col("line"), strict=True)
-    used = owned.select("file", "line_no", F.col("enclosing").alias("src"), own.alias("__own"), words.alias("dst")).where("src <> dst and not dst <=> __own")
-    return used.join(names.select("dst").distinct(), "dst").groupBy("src", "dst", "file").agg(F.min("line_no").alias("line"))
+    said = lines.select("file", "line_no", S.defined_name(F.col("line")).alias("__own"), words.alias("dst"))
+    used = said.join(names.select("dst").distinct(), "dst").where(~F.coalesce(F.contains("dst", "__own"), F.lit(False)))
+    owned = L.headed(used.select("file", "line_no", "dst"), L.headers_of(lines), avoid="dst")
+    return owned.groupBy(F.col("enclosing").alias("src"), "dst", "file").agg(F.min("line_no").alias("line"))
 
 
 def callers_of(names: DataFrame, edges: DataFrame, lines: DataFrame) -> DataFrame:
@@ -157,39 +160,55 @@ def callers_of(names: DataFrame, edges: DataFrame, lines: DataFrame) -> DataFram
 
 
 def contexts(candidates: DataFrame, edges: DataFrame, symbols: DataFrame, lines: DataFrame) -> DataFrame:
-    """``function, context, first_caller``: callers (the first three with a preview) and callees."""
-    callers = callers_of(candidates.select(F.col("function").alias("dst")), edges, lines)
-    previews = symbols.select(F.col("name").alias("src"), "file", "code")
-    listed = callers.join(previews, ["src", "file"], "left")
-    fence = F.concat(F.lit("\n```\n"), S.first_lines(F.col("code")), F.lit("\n```"))
-    item = F.concat(F.lit("- "), "src", F.lit(" ("), "file", F.lit(")"), F.when((F.col("rank") <= K.CONTEXT_SOURCES) & F.col("code").isNotNull(), fence).otherwise(F.lit("")))
-    up = listed.groupBy(F.col("dst").alias("function")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", item.alias("t")))), lambda x: x["t"]), "\n").alias("up"), F.min_by("src", "rank").alias("first_caller"))
-    w = Window.partitionBy("src").orderBy("line", "dst")
-    down = edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= K.NEIGHBOUR_LIMIT)
-    down = down.groupBy(F.col("src").alias("function")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "dst"))), lambda x: x["dst"]), ", ").alias("down"))
-    names = candidates.select("function").distinct().join(up, "function", "left").join(down, "function", "left")
-    text = F.concat(
-        F.lit("Function: "), "function", F.lit("\nCallers:\n"), F.coalesce("up", F.lit("none found")), F.lit("\nCallees: "), F.coalesce("down", F.lit("none found"))
-    )
-    return names.select("function", S.truncate_context(text).alias("context"), "first_caller")
+    """``function, context, first_caller``: callers (the first three with a preview) and callees, each with its file.
+
+    A callee's file is that of its first definition. Each function has at most ten of either, so
+    both lists are gathered in one grouping.
+    """
+    asked = candidates.select("function").distinct()
+    callers = callers_of(asked.select(F.col("function").alias("dst")), edges, lines)
+    previews = symbols.select(F.col("name").alias("src"), "file", F.trim(S.first_lines(F.col("code")), F.lit(" \n\t\r")).alias("preview"))
+    fence = F.concat(F.lit(":\n```\n"), "preview", F.lit("\n```"))
+    label = F.concat("src", F.lit(" ("), "file", F.lit(")"))
+    told = F.concat(F.lit("- "), label, F.when((F.col("rank") <= K.CONTEXT_SOURCES) & (F.col("preview") != ""), fence).otherwise(F.lit("")))
+    up = callers.join(previews, ["src", "file"], "left").select(F.col("dst").alias("function"), F.lit(True).alias("up"), "rank", told.alias("text"), "src")
+    first = edges.join(asked, F.col("src") == F.col("function"), "left_semi").groupBy("src", "dst").agg(F.min(F.struct("file", "line")).alias("at"))
+    homes = symbols.groupBy(F.col("name").alias("dst")).agg(F.min(F.struct("file", "line"))["file"].alias("home"))
+    down = M.first_n(first.join(homes, "dst", "left"), ["src"], ["at", "dst"], K.NEIGHBOUR_LIMIT)
+    label = F.concat("dst", F.coalesce(F.concat(F.lit(" ("), "home", F.lit(")")), F.lit("")))
+    down = down.select(F.col("src").alias("function"), F.lit(False).alias("up"), "rank", label.alias("text"), F.lit(None).cast("string").alias("src"))
+    side = lambda up: F.transform(F.array_sort(F.collect_list(F.when(F.col("up") == up, F.struct("rank", "text")))), lambda x: x["text"])
+    near = up.unionByName(down).groupBy("function").agg(side(True).alias("callers"), side(False).alias("callees"), F.min_by("src", F.when(F.col("up"), F.col("rank"))).alias("first_caller"))
+    some = lambda c, between, none: F.when(F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0, F.array_join(c, between)).otherwise(F.lit(none))
+    named = lambda text: F.concat(F.lit(text.split("{}")[0]), "function", F.lit(text.split("{}")[1]))
+    text = F.concat_ws(
+        "\n", F.lit(K.CONTEXT_TITLE), named(K.CONTEXT_CALLERS), some(F.col("callers"), "\n", K.CONTEXT_NO_CALLERS), F.lit(""), named(K.CONTEXT_CALLEES),
+        F.concat(F.lit("  "), some(F.col("callees"), ", ", K.CONTEXT_NO_CALLEES)),
+    )
+    return asked.join(near, "function", "left").select("function", S.truncate_context(text).alias("context"), "first_caller")
 
 
-def type_definitions(lines: DataFrame) -> DataFrame:
+def type_definitions(lines: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """``type, definition``: the first definition of each type, whatever its kind, with its whole source.
 
-    The source runs from the defining line to before the next definition of the file.
+    The source runs from the defining line to before the next definition of the file. With
+    ``wanted(type)`` only those types are looked for, and only the lines of files that have the first
+    definition of one are read on.
     """
     shape = rf"\b({'|'.join(K.DEFINITION_KINDS)})\s+([A-Za-z_][A-Za-z0-9_]*)"
     defined = lines.where(F.col("line").rlike(shape)).select("file", F.regexp_extract("line", shape, 2).alias("name"), F.col("line_no").cast("int").alias("line"), F.regexp_extract("line", shape, 1).alias("kind"))
-    sources_ = L.symbol_sources(defined, lines).join(defined, ["file", "name", "line"])
-    first = M.first_per_key(sources_, ["name"], ["file", "line"])
-    return first.select(F.col("name").alias("type"), F.concat(F.lit("// Definition for "), "kind", F.lit(" "), "name", F.lit("\n"), "code").alias("definition"))
+    asked = defined if wanted is None else defined.join(wanted.select(F.col("type").alias("name")).distinct(), "name", "left_semi")
+    first = asked.groupBy("name").agg(F.min(F.struct("file", "line", "kind")).alias("at")).select("name", "at.*")
+    files = first.select("file").distinct()
+    sources_ = L.symbol_sources(defined.join(files, "file", "left_semi"), lines.join(files, "file", "left_semi"))
+    found = sources_.join(first, ["file", "name", "line"])
+    return found.select(F.col("name").alias("type"), F.concat(F.lit("// Definition for "), "kind", F.lit(" "), "name", F.lit("\n"), "code").alias("definition"))
 
 
 def definitions(candidates: DataFrame, lines: DataFrame, language: str) -> DataFrame:
     """``id, struct_definitions``: the definitions of the first types of a snippet."""
     wanted = candidates.select("id", F.posexplode(S.type_names(F.col("code"), F.lit(language))).alias("pos", "type"))
-    found = wanted.join(type_definitions(lines), "type").groupBy("id")
+    found = wanted.join(type_definitions(lines, wanted), "type").groupBy("id")
     return found.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("definition").alias("t")))), lambda x: x["t"]), "\n\n").alias("struct_definitions"))
 
 
@@ -199,20 +218,22 @@ def explore(tasks: DataFrame, index: DataFrame, lines: DataFrame, language: str,
     ``recall_key='name'`` lets functions of one name share the first one's file, as a map keyed by
     name would.
     """
-    n = index.count()
+    spark, n = index.sparkSession, index.count()
     k = 30 if n <= 0 else int(max(5, min(30, round(n * 0.05))))
     intents = tasks.select(F.col("id").alias("task_id"), F.posexplode("query_intents").alias("pos", "text")).withColumn("intent_id", F.concat_ws("#", "task_id", F.col("pos").cast("string")))
     slot = intents.select("intent_id", "task_id", "pos")
     at = lambda road, rank: F.struct(F.lit(0).alias("late"), F.col("pos").cast("long").alias("a"), F.lit(road).alias("b"), rank.cast("long").alias("c"))
     vector = search(index, intents, k, floor, embed).join(slot, "intent_id").select("task_id", "file", "name", "line", F.lit("vector").alias("road"), at(0, F.col("rank")).alias("recall_ord"))
-    symbol = lexical(index, intents).join(slot, "intent_id").select("task_id", "file", "name", "line", F.lit("symbol").alias("road"), at(1, F.col("rank")).alias("recall_ord"))
+    symbol = X.lookup(index, intents.select(F.col("intent_id").alias("query_id"), "text")).withColumnRenamed("query_id", "intent_id").join(slot, "intent_id").select("task_id", "file", "name", "line", F.lit("symbol").alias("road"), at(1, F.col("rank")).alias("recall_ord"))
     signals = list(dict.fromkeys([*K.COMMON_SIGNALS, *K.LANGUAGES.get(K.LANGUAGE_ALIASES.get(language, language), ([], [], [], []))[3]]))
     logic = tasks.where(F.col("cwe_id").isin(K.LOGIC_CLASSES)).select(F.col("id").alias("task_id"))
     order = F.create_map(*(F.lit(x) for i, s in enumerate(signals) for x in (s, i)))
     used = L.usages(lines, signals).select(F.try_element_at(order, F.col("signal")).cast("long").alias("a"), F.lit(1).alias("b"), "file", F.col("enclosing").alias("name"), F.col("line_no").cast("int").alias("line"))
     plain = [s for s in signals if not ("." in s or "\\" in s)]
-    named = index.where(F.col("name").isin(plain)).select(F.try_element_at(order, F.col("name")).cast("long").alias("a"), F.lit(0).alias("b"), "file", "name", "line")
-    hits = used.unionByName(named).withColumn("c", F.row_number().over(Window.partitionBy("a", "b").orderBy("file", "line")).cast("long"))
+    asked = spark.createDataFrame([(i, s) for i, s in enumerate(signals) if s in plain], "query_id long, text string")
+    named = X.lookup(index, asked).select(F.col("query_id").alias("a"), F.lit(0).alias("b"), "file", "name", "line", F.col("rank").alias("c"))
+    used = used.withColumn("c", F.row_number().over(Window.partitionBy("a").orderBy("file", "line")).cast("long"))
+    hits = named.unionByName(used)
     events = logic.join(F.broadcast(hits.where(F.col("c") <= K.RESOURCE_LIMIT)), F.lit(True))
     events = events.select("task_id", F.col("a").alias("signal_ord"), F.col("b").alias("phase"), F.col("c").alias("ord"), "name", "file")
     recalled = vector.unionByName(symbol).select("task_id", "name", "file").distinct()

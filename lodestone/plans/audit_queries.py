@@ -21,6 +21,7 @@ from lodestone.sources import files as sources
 _DIRS = ["src/api/", "tests/", "Lib/Web/", "node_modules/x/", "tools/", "pkg/"]
 _ENDS = [".py", ".js", ".min.js", ".c", ".h", ".cpp", ".java", ".go", ".ts", ".PY", ".txt"]
 _FILES = f"SELECT p_partkey AS id, [{quoted(_DIRS)}][p_size % 6 + 1] || 'f' || p_partkey || [{quoted(_ENDS)}][p_partkey % 11 + 1] AS path FROM part"
+_GENERATED = r"(regexp_matches(lower(path), '(\.min\.js|\.min\.css|\.map|\.bundle\.js)$') OR position('.min.' IN lower(path)) > 0)"
 _EXT = r"regexp_extract(path, '(\.[^./]*)$', 1)"
 
 
@@ -58,7 +59,7 @@ def file_language(spark, d):
 
 @query(f"""
 SELECT lang, count(*) AS n FROM (SELECT {_case(f'lower({_EXT})', K.EXTENSION_LANGUAGE)} AS lang, path FROM ({_FILES}))
-WHERE lang IS NOT NULL AND NOT list_has_any(string_split(path, '/'), [{quoted(K.PRESCAN_IGNORE)}]) GROUP BY 1
+WHERE lang IS NOT NULL AND NOT list_has_any(string_split(path, '/'), [{quoted(K.PRESCAN_IGNORE)}]) AND NOT {_GENERATED} GROUP BY 1
 """)
 def language_counts(spark, d):
     return sources.language_counts(_files(spark, d))
@@ -224,7 +225,9 @@ def call_edges(spark, d):
 @query(f"""
 WITH {_HEADED}, {_EDGES}, bare AS (SELECT DISTINCT name AS dst FROM h WHERE name NOT IN (SELECT dst FROM g)),
 w AS (SELECT file, line_no, enclosing, CASE WHEN starts_with(line, 'def ') THEN regexp_extract(line, '^def ([A-Za-z0-9_]+)', 1) ELSE '' END AS own, unnest(list_distinct(regexp_extract_all(line, '[A-Za-z_][A-Za-z0-9_]*'))) AS dst FROM e),
-f AS (SELECT enclosing AS src, w.dst, file, min(line_no) AS line FROM w JOIN bare USING (dst) WHERE own <> w.dst AND enclosing <> w.dst GROUP BY 1, 2, 3),
+m AS (SELECT DISTINCT w.file, w.line_no, w.dst FROM w JOIN bare USING (dst) WHERE NOT (own <> '' AND contains(w.dst, own))),
+o AS (SELECT m.file, m.line_no, m.dst, arg_max(h.name, h.line_no) AS src FROM m LEFT JOIN h ON h.file = m.file AND h.line_no <= m.line_no AND h.name <> m.dst GROUP BY 1, 2, 3),
+f AS (SELECT coalesce(src, '[module-level] ' || file || ':' || line_no) AS src, dst, file, min(line_no) AS line FROM o GROUP BY 1, 2, 3),
 a AS (SELECT src, dst, file, line, false AS is_fallback FROM g UNION ALL SELECT src, dst, file, line, true FROM f),
 r AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY file, line, src) AS rank FROM a)
 SELECT src, dst, file, line, is_fallback, rank FROM r WHERE rank <= 10

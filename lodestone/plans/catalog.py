@@ -421,7 +421,7 @@ def typed_names(spark, d):
 
 def _all() -> None:
     """The audit's own queries register themselves when first asked for."""
-    from lodestone.plans import audit_queries  # noqa: F401
+    from lodestone.plans import audit_queries, project_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

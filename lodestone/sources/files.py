@@ -43,9 +43,13 @@ def coverage_files(files: DataFrame, language: str | None = None) -> DataFrame:
 
 
 def language_counts(files: DataFrame, coverage: bool = False) -> DataFrame:
-    """``lang, n``: files of each language outside the ignored folders."""
-    lang = S.extension_language(F.col("path"), coverage)
-    return files.where(~S.ignored_dir(F.col("path"), coverage)).groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).where("lang is not null")
+    """``lang, n``: files of each language outside the ignored folders; generated files count for coverage alone."""
+    path = F.col("path")
+    lang = S.extension_language(path, coverage)
+    counted = files.where(~S.ignored_dir(path, coverage))
+    if not coverage:
+        counted = counted.where(~S.generated_file(path))
+    return counted.groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).where("lang is not null")
 
 
 def dominant_language(files: DataFrame, coverage: bool = False) -> str:

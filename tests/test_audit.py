@@ -177,9 +177,9 @@ def test_text_lines_are_kept(spark):
 
 
 def test_resource_events_are_bounded_by_signal_and_order(spark, tmp_path, monkeypatch):
-    """Many definitions of one signal do not crowd out the others' first ones."""
+    """Many definitions and usages of one signal do not crowd out the others' first ones."""
     (tmp_path / "p").mkdir()
-    body = "def execute(x):\n    a = x + 1\n    b = a * 2\n    c = b - 3\n    return c\n\n\n"
+    body = "def execute(x):\n    a = user_id + 1\n    b = a * 2\n    c = b - 3\n    return c\n\n\n"
     for i in range(60):
         (tmp_path / "p" / f"f{i}.py").write_text(body)
     (tmp_path / "p" / "z.py").write_text(SOURCE)
@@ -189,7 +189,8 @@ def test_resource_events_are_bounded_by_signal_and_order(spark, tmp_path, monkey
     monkeypatch.setattr(audit.R, "resource_quota", lambda events, known: caught.append(events) or quota(events, known))
     audit.run_pipeline(spark, audit.AuditConfig(str(tmp_path / "p"), str(tmp_path / "c.xml"), str(tmp_path / "w")))
     found = caught[0].groupBy("task_id", "signal_ord", "phase").agg(F.count("*").alias("n"), F.max("ord").alias("last")).collect()
-    assert found and max(r.n for r in found) == audit.K.RESOURCE_LIMIT
+    most = {phase: max(r.n for r in found if r.phase == phase) for phase in (0, 1)}
+    assert most == {0: audit.K.LEXICAL_LIMIT, 1: audit.K.RESOURCE_LIMIT}
     assert all(r.n == r.last for r in found)
 
 
@@ -242,3 +243,53 @@ def test_language_file(spark, tmp_path):
             table.clear()
             table.update(old)
         K.COMMON_SIGNALS[:] = signals
+
+
+def test_mentions_within_the_function_itself(spark):
+    """A recursive mention counts for the header above, one without any for the module."""
+    text = "def outer(x):\n    pass\ndef f(x):\n    y = [f]\ndef f(z):\n    y = (f)\n"
+    lines = L.explode_lines(spark.createDataFrame([("x.py", text), ("y.py", "def f(x):\n    y = [f]\n"), ("z.py", "def fu(a):\n    go(fun)\ndef fun(a):\n    pass\n")], "file string, content string"), ["file"])
+    got = audit.fallback_edges(lines, spark.createDataFrame([("f",), ("fun",)], "dst string")).collect()
+    assert sorted((r.dst, r.src, r.file, r.line) for r in got) == [("f", "[module-level] y.py:2", "y.py", 2), ("f", "outer", "x.py", 4), ("fun", "fu", "z.py", 2)]
+
+
+def test_generated_files_have_no_language(spark):
+    files = spark.createDataFrame([("a.min.js",), ("b.min.js",), ("c.py",)], "path string")
+    assert sources.dominant_language(files) == "python"
+
+
+def test_context_text(spark):
+    text = "def a():\n    b()\n    c()\n\ndef b():\n    c()\n\ndef c():\n    pass\n"
+    lines = L.explode_lines(spark.createDataFrame([("x.py", text)], "file string, content string"), ["file"])
+    symbols = L.symbols_of(lines)
+    names = spark.createDataFrame([("a",), ("c",)], "function string")
+    got = {r.function: r for r in audit.contexts(names, audit.call_edges(lines, symbols), L.symbol_sources(symbols, lines), lines).collect()}
+    up, down = (audit.K.CONTEXT_CALLERS.format("c"), audit.K.CONTEXT_CALLEES.format("c"))
+    assert got["c"].context == f"{audit.K.CONTEXT_TITLE}\n{up}\n- a (x.py):\n```\ndef a():\n    b()\n    c()\n```\n- b (x.py):\n```\ndef b():\n    c()\n```\n\n{down}\n  (none found)"
+    assert got["c"].first_caller == "a" and got["a"].first_caller is None
+    assert audit.K.CONTEXT_NO_CALLERS in got["a"].context and got["a"].context.endswith("\n  b (x.py), c (x.py)")
+
+
+def test_wanted_types_are_joined_first(spark):
+    lines = spark.createDataFrame([("x.py", 1, "class Box:")], "file string, line_no long, line string")
+    plan = audit.type_definitions(lines, spark.createDataFrame([("Box",)], "type string"))._jdf.queryExecution().optimizedPlan().toString()
+    window = plan.index("Window")
+    assert plan.index("LeftSemi", window) > window
+
+
+def test_lexical_lookup(spark):
+    from lodestone.operators import lexical as X
+
+    names = ["findById", "find_all", "byte_find", "FINDBYID", "user_find_by_id", "other"]
+    symbols = spark.createDataFrame([(f"f{i}", n, i) for i, n in enumerate(names)], "file string, name string, line int")
+    asked = spark.createDataFrame([(1, "findById"), (2, "nothing here"), (3, ""), (4, None)], "query_id int, text string")
+    got = X.lookup(symbols, asked).orderBy("rank").collect()
+    assert {r.query_id for r in got} == {1} and [r.rank for r in got] == list(range(1, len(got) + 1))
+    assert got[0].name == "findById" and got[1].name == "user_find_by_id" and {r.name for r in got[2:]} == {"find_all", "byte_find"}
+    assert [r.name for r in X.lookup(symbols, asked, 1).collect()] == ["findById"] and X.lookup(symbols.limit(0), asked).count() == 0
+    old = X.QUERY_BLOCK
+    try:
+        X.QUERY_BLOCK = 2
+        assert X.lookup(symbols, asked).count() == len(got)
+    finally:
+        X.QUERY_BLOCK = old
