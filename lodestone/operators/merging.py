@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import constants as K
 from lodestone.functions import scalars as S
+from lodestone.operators.numbering import running_numbers
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
@@ -19,14 +20,21 @@ def first_n(df: DataFrame, keys: list[str], order: list[Column | str], n: int =
     return df.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
 
 
-def recall_union(events: DataFrame, keys: list[str], order: str = "recall_ord") -> DataFrame:
+#: Roads of recall, as a tally lists them.
+ROADS = ("vector", "symbol", "resource")
+
+
+def recall_union(events: DataFrame, keys: list[str], order: str = "recall_ord", observation: Observation | None = None) -> DataFrame:
     """One row a key of ``events(keys, road, recall_ord, ...)``: the first event and its final source.
 
-    vector and symbol become ``both`` once another road hits; resource stays.
+    vector and symbol become ``both`` once another road hits; resource stays. ``observation`` gets
+    how many keys each road was the first to add, and their total, without a pass of its own.
     """
     payload = [c for c in events.columns if c not in keys]
     others = F.size(F.array_except(F.collect_set("road"), F.array(F.min_by("road", order))))
     out = events.groupBy(*keys).agg(F.min_by(F.struct(*payload), order).alias("first"), others.alias("__others"))
+    if observation is not None:
+        out = out.observe(observation, *(F.count_if(F.col("first.road") == r).alias(r) for r in ROADS), F.count("*").alias("total"))
     source = F.when((F.col("first.road") != "resource") & (F.col("__others") > 0), "both").otherwise(F.col("first.road"))
     return out.select(*keys, *(F.col(f"first.{c}").alias(c) for c in payload if c != "road"), source.alias("recall_source"))
 
@@ -49,8 +57,8 @@ def dedup_candidates(candidates: DataFrame, keys: list[str], order: str, weaknes
 
 
 def numbered(df: DataFrame, order: list[Column | str], prefix: str, column: str = "id") -> DataFrame:
-    """Running ids over a result small enough for one ordered pass (candidates after dedup)."""
-    return df.withColumn(column, F.concat(F.lit(prefix), F.row_number().over(Window.orderBy(*order)).cast("string")))
+    """Running ids in the given order, however many rows there are."""
+    return running_numbers(df, order, "__n").withColumn(column, F.concat(F.lit(prefix), F.col("__n").cast("string"))).drop("__n")
 
 
 def duplicate_ids(df: DataFrame, keys: list[str], id_col: str = "id") -> DataFrame:

@@ -2,49 +2,50 @@
 
 from __future__ import annotations
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions import constants as K
+from lodestone.operators.nearest import top_rows
 
 
-def norm(v: Column) -> Column:
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-
-
-def cosine(v: Column, q: Column, nv: Column, nq: Column) -> Column:
-    dot = F.aggregate(F.zip_with(v, q, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    return dot / (nv * nq + F.lit(1e-9))
-
-
-#: Intents joined to the whole index at once; more are worked off in blocks of this many.
+#: Intents held against the index at once; more are worked off in blocks of this many.
 INTENT_BLOCK = 4096
 
 
-def cosine_top_k(index: DataFrame, intents: DataFrame, k: Column | int, floor: float | None = None, order: tuple = ("file", "name"), digits: int | None = None) -> DataFrame:
-    """For each of ``intents(intent_id, query)`` the k best rows of ``index(order..., embedding)``.
+def cosine_top_k(index: DataFrame, intents: DataFrame, k: int, floor: float | None = None, order: tuple = ("file", "name"), digits: int | None = None) -> DataFrame:
+    """For each of ``intents(intent_id, query)`` the k best rows of ``index(order..., embedding)``, with ``score`` and ``rank``.
 
-    Ties go by ``order``; a score under ``floor`` is dropped after the k were taken. Intents are the
-    stated query set: their number is checked, and each block of them is broadcast against all rows
-    (the ranked filter keeps k rows an intent and task before the shuffle).
+    Ties go by ``order``, scores being rounded to ``digits`` (twelve, if not given); a score under
+    ``floor`` is dropped after the k were taken. Rows without a vector of the intents' length have
+    no score and are left out. Intents are the stated query set: their number is checked, and each
+    block of them is one small matrix that every task holds. A task keeps k rows an intent, so
+    neither pairs nor their scores are shuffled or sorted, only those rows are merged.
     """
-    n = intents.count()
-    rows = index.withColumn("__nv", norm(F.col("embedding")))
-    asked = intents.select("intent_id", F.col("query").alias("__q"), norm(F.col("query")).alias("__nq"))
-    if n > INTENT_BLOCK:
-        blocks = -(-n // INTENT_BLOCK)
-        parts = [asked.where(F.pmod(F.xxhash64("intent_id"), F.lit(blocks)) == b) for b in range(blocks)]
-    else:
-        parts = [asked]
-    out = None
-    for part in parts:
-        scored = rows.join(F.broadcast(part), F.lit(True))
-        score = cosine(F.col("embedding"), F.col("__q"), F.col("__nv"), F.col("__nq"))
-        scored = scored.withColumn("score", score if digits is None else F.round(score, digits)).drop("embedding", "__q", "__nv", "__nq")
-        w = Window.partitionBy("intent_id").orderBy(F.desc("score"), *order)
-        top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        out = top if out is None else out.unionByName(top)
-    return out if floor is None else out.where(F.col("score") >= floor)
+    n, out = intents.count(), None
+    blocks = max(1, -(-n // INTENT_BLOCK))
+    order = list(order)
+    payload = list(dict.fromkeys([*order, *(c for c in index.columns if c != "embedding")]))
+    schema = T.StructType([intents.schema["intent_id"], *(index.schema[c] for c in payload), T.StructField("score", T.DoubleType())])
+    for b in range(blocks):
+        part = intents if blocks == 1 else intents.where(F.pmod(F.xxhash64("intent_id"), F.lit(blocks)) == b)
+        asked = part.where("query is not null").select("intent_id", F.col("query").cast("array<double>").alias("query")).toArrow().combine_chunks()  # at most a block
+        sizes = set(pc.list_value_length(asked["query"]).to_pylist())
+        for size in sorted(sizes) or [0]:
+            same = asked.filter(pc.equal(pc.list_value_length(asked["query"]), size)).combine_chunks()
+            if not same.num_rows:
+                continue
+            matrix = same["query"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(same.num_rows, size)
+            step = top_rows(matrix, same["intent_id"].combine_chunks(), "intent_id", k, order, 12 if digits is None else digits)
+            top = index.select("embedding", *payload).mapInArrow(step, schema)
+            out = top if out is None else out.unionByName(top)
+    if out is None:
+        out = index.sparkSession.createDataFrame([], schema)
+    w = Window.partitionBy("intent_id").orderBy(F.desc("score"), *order)
+    ranked = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked if floor is None else ranked.where(F.col("score") >= floor)
 
 
 def found_tags(files: DataFrame, rules: dict[str, tuple[list[str], list[str]]] = K.PRESCAN_RULES, text: str = "content") -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import constants as K
@@ -16,10 +17,11 @@ from lodestone.operators import lexical as X
 from lodestone.operators import lines as L
 from lodestone.operators import merging as M
 from lodestone.operators import retrieval as R
+from lodestone.operators.numbering import running_numbers
 from lodestone.plans import report
 from lodestone.sources import files as sources
 from lodestone.sources.catalog_xml import load_catalog
-from lodestone.sources.stores import TASK, SnapshotStore, load_languages, load_rules, write_packages
+from lodestone.sources.stores import TASK, SnapshotStore, languages_of, load_rules, read_catalog_json, workspace, write_catalog_json, write_packages, write_text
 
 DIMENSIONS = 384
 
@@ -80,7 +82,8 @@ def merge_intents(tasks: DataFrame, intents: DataFrame) -> DataFrame:
 
 
 def build_index(files: DataFrame, store: SnapshotStore, language: str = K.DEFAULT_LANGUAGE, embed: Callable[[Column], Column] | None = None) -> dict[str, int]:
-    """Bring the stored index up to the files: only functions of new and changed files are embedded.
+    """Bring the stored index up to the files: only functions of new and changed files are embedded,
+    and only buckets with a file that is new, changed or gone are written.
 
     A file whose symbols or source can't be had gets no digest, so it is tried again next time.
     Returns how many files are unchanged, changed, deleted and new.
@@ -88,8 +91,9 @@ def build_index(files: DataFrame, store: SnapshotStore, language: str = K.DEFAUL
     spark, embed = files.sparkSession, embed or hash_embedder()
     extensions = K.LANGUAGES.get(K.LANGUAGE_ALIASES.get(language, language), ([],))[0]
     now = sources.index_files(files, extensions).select("path", "content", "md5")
+    index, digests = store.bucketed("index", "file"), store.bucketed("digests", "path")
     old = store.read("digests") if store.exists("digests") and store.exists("index") else spark.createDataFrame([], "path string, md5 string")
-    states = R.compare_snapshots(old, now)
+    states = store.write("states", R.compare_snapshots(old, now))
     counts = {r["state"]: r["count"] for r in states.groupBy("state").count().collect()}
     if not (counts.keys() - {"unchanged"}) and store.exists("index"):
         return counts
@@ -98,12 +102,10 @@ def build_index(files: DataFrame, store: SnapshotStore, language: str = K.DEFAUL
     symbols = L.first_symbols(L.symbols_of(lines), [F.col("line")])
     code = L.symbol_sources(symbols, lines)
     fresh = code.withColumn("embedding", embed(S.embed_text(F.col("name"), F.col("code"))))
-    fresh = fresh.select("file", "name", "line", "code", "embedding")
-    if store.exists("index"):
-        kept = store.read("index").join(states.where("state = 'unchanged'").select(F.col("path").alias("file")), "file", "left_semi")
-        fresh = kept.select(*fresh.columns).unionByName(fresh)
-    store.write("index", fresh)
-    store.write("digests", now.select("path", "md5"))
+    moved = states.where("state <> 'unchanged'").select("path")
+    # digests come last: after a failure between the two the same files are done again
+    index.replace(moved.withColumnRenamed("path", "file"), fresh.select("file", "name", "line", "code", "embedding"))
+    digests.replace(moved, todo.select("path", "md5"))
     return counts
 
 
@@ -111,7 +113,7 @@ def index_size(store: SnapshotStore) -> int:
     return store.size("index")
 
 
-def search(index: DataFrame, intents: DataFrame, k: int | Column = 30, floor: float = 0.0, embed: Callable[[Column], Column] | None = None) -> DataFrame:
+def search(index: DataFrame, intents: DataFrame, k: int = 30, floor: float = 0.0, embed: Callable[[Column], Column] | None = None) -> DataFrame:
     """Best functions for each of ``intents(intent_id, text)``."""
     asked = intents.select("intent_id", (embed or hash_embedder())(F.col("text")).alias("query"))
     return R.cosine_top_k(index.select("file", "name", "line", "embedding"), asked, k, floor)
@@ -212,9 +214,11 @@ def definitions(candidates: DataFrame, lines: DataFrame, language: str) -> DataF
     return found.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("definition").alias("t")))), lambda x: x["t"]), "\n\n").alias("struct_definitions"))
 
 
-def explore(tasks: DataFrame, index: DataFrame, lines: DataFrame, language: str, embed: Callable[[Column], Column] | None = None, per_task: int = K.PER_TASK_LIMIT, floor: float = K.MIN_SCORE, recall_key: str = "file") -> DataFrame:
+def explore(tasks: DataFrame, index: DataFrame, lines: DataFrame, language: str, embed: Callable[[Column], Column] | None = None, per_task: int = K.PER_TASK_LIMIT, floor: float = K.MIN_SCORE, recall_key: str = "file", observation: Observation | None = None) -> DataFrame:
     """Candidates of all tasks: vector, lexical and resource recall, merged, filtered, capped, deduplicated.
 
+    ``observation`` gets how many rows each road added (see recall_union).
+
     ``recall_key='name'`` lets functions of one name share the first one's file, as a map keyed by
     name would.
     """
@@ -247,12 +251,13 @@ def explore(tasks: DataFrame, index: DataFrame, lines: DataFrame, language: str,
     again = seen.select("task_id", "file", "name", F.lit(0).alias("line"), F.lit("resource").alias("road"), F.struct(F.lit(2).alias("late"), F.lit(0).cast("long").alias("a"), F.lit(0).alias("b"), F.lit(0).cast("long").alias("c")).alias("recall_ord"))
     keys = ["task_id", "name"] if recall_key == "name" else ["task_id", "file", "name"]
     all_ = vector.unionByName(symbol).unionByName(resource).unionByName(again).withColumn("ord0", F.col("recall_ord"))
-    merged = M.recall_union(all_, keys)
+    merged = M.recall_union(all_, keys, observation=observation)
     extensions = K.LANGUAGES.get(K.LANGUAGE_ALIASES.get(language, language), ([],))[0]
     coded = merged.join(index.select("file", "name", "code"), ["file", "name"], "left")
     coded = coded.where(~S.blacklisted(F.col("file")) & S.extension_allowed(F.col("file"), extensions) & ~S.test_name(F.col("name"), F.lit(language)) & ~S.below_snippet_floor(F.col("code")))
     capped = M.first_n(coded, ["task_id"], ["ord0", "file", "name"], per_task)
-    placed = capped.join(tasks.select(F.col("id").alias("task_id"), "cwe_id"), "task_id").withColumn("ord", F.row_number().over(Window.orderBy(F.length("cwe_id"), "cwe_id", "rank")).cast("long"))
+    placed = capped.join(tasks.select(F.col("id").alias("task_id"), "cwe_id"), "task_id")
+    placed = running_numbers(placed, [F.length("cwe_id"), "cwe_id", "rank"], "ord")
     raw = placed.select(F.col("name").alias("function"), "file", "line", "cwe_id", "task_id", "code", "recall_source", "ord")
     return M.numbered(M.dedup_candidates(raw, ["file", "function"], "ord"), ["ord"], "cand-uniq-")
 
@@ -287,6 +292,19 @@ def coverage(files: DataFrame, recalled: DataFrame) -> DataFrame:
     return gaps.select("file", "function", F.col("line_no").alias("line"), F.trim("line").alias("content")).orderBy("file", "function", "line")
 
 
+# --- verdicts -------------------------------------------------------------------------------------
+
+
+def update_verdict(store: SnapshotStore, candidate_id: str, verdict: str, explanation: str | None = None, **optional) -> DataFrame:
+    """Put one verdict into the stored candidates; an unknown id or verdict is an error, a writer in between loses nothing."""
+    return store.update("candidates", lambda c: M.merge_verdict(c, candidate_id, verdict, explanation, **optional))
+
+
+def update_verdicts(store: SnapshotStore, updates: DataFrame) -> DataFrame:
+    """Put updates (a row an id, see expand_updates) into the stored candidates; unknown ids are skipped."""
+    return store.update("candidates", lambda c: M.merge_verdicts(c, updates))
+
+
 # --- all of it --------------------------------------------------------------------------------------
 
 
@@ -294,7 +312,7 @@ def coverage(files: DataFrame, recalled: DataFrame) -> DataFrame:
 class AuditConfig:
     project: str
     catalog: str
-    workspace: str
+    workspace: str | None = None
     language: str = "auto"
     severity_threshold: int = K.SEVERITY_THRESHOLD
     limit: int = K.REVIEW_BUDGET
@@ -310,13 +328,17 @@ def run_pipeline(spark: SparkSession, cfg: AuditConfig, intents: DataFrame | Non
     Returns the report, the gaps' table and the bucket counts; without tasks or candidates the
     report says so and the later stages are left out.
     """
-    if cfg.languages:
-        load_languages(cfg.languages)
-    store = SnapshotStore(spark, cfg.workspace)
-    files = sources.scan_files(spark, cfg.project)
-    store.write("files", files)
-    files = store.read("files")
-    catalog = load_catalog(spark, cfg.catalog, "all")
+    with languages_of(cfg.languages):
+        return _run(spark, cfg, intents, severities, votes)
+
+
+def _run(spark: SparkSession, cfg: AuditConfig, intents: DataFrame | None, severities: DataFrame | None, votes: DataFrame | None) -> dict:
+    where = workspace(cfg.project, cfg.workspace)
+    store = SnapshotStore(spark, where["base"])
+    files = sources.scan_files(spark, cfg.project).where(~F.startswith("path", F.lit(".audit_workspace/")))
+    files = store.write("files", files)
+    weaknesses = json.loads(write_catalog_json(load_catalog(spark, cfg.catalog, "all"), where["catalog"]))["count"]
+    catalog = read_catalog_json(spark, where["catalog"])
     tasks, language = init_plan(catalog, files, cfg.language, load_rules(cfg.rules))
     tasks = merge_intents(tasks, intents if intents is not None else spark.createDataFrame([], "id string, query_intents array<string>"))
     tasks = store.write("tasks", tasks.select(*[c.split()[0] for c in TASK.split(", ")]))
@@ -324,24 +346,28 @@ def run_pipeline(spark: SparkSession, cfg: AuditConfig, intents: DataFrame | Non
         return {"language": language, "tasks": 0, "report": report.markdown(None, 0), "gaps": None}
     build_index(files, store, language, cfg.embed)
     index = store.read("index")
-    extensions = K.LANGUAGES.get(K.LANGUAGE_ALIASES.get(language, language), ([],))[0]
-    lines = L.explode_lines(sources.index_files(files, extensions).withColumnRenamed("path", "file"), ["file"])
-    found = store.write("found", explore(tasks, index, lines, language, cfg.embed))
+    # usages and callers are looked for in every text of the project, whatever its language or folder
+    lines = L.explode_lines(sources.text_files(files).withColumnRenamed("path", "file"), ["file"])
+    added = Observation()
+    found = store.write("found", explore(tasks, index, lines, language, cfg.embed, observation=added))
+    sizes = {"classes": weaknesses, "retained": tasks.count(), "recalled": added.get}
     if found.isEmpty():
         return {"language": language, "tasks": tasks.count(), "report": report.markdown(None, tasks.count()), "gaps": coverage(files, found.select("file", "function"))}
     candidates = store.write("candidates", enrich(found, lines, index, language))
     store.write("packages", packages(candidates, tasks))
-    write_packages(store.read("packages"), f"{cfg.workspace.rstrip('/')}/candidates-json")
+    write_packages(store.read("packages"), where["candidates"])
     left = M.truncated(candidates, cfg.limit)
     empty_votes = spark.createDataFrame([], "candidate_id string, lens string, is_real boolean, has_path boolean, has_missing boolean, reason string")
     empty_severity = spark.createDataFrame([], "candidate_id string, severity int")
     if votes is not None or severities is not None:
         updates = M.verify(candidates, severities if severities is not None else empty_severity, votes if votes is not None else empty_votes, cfg.severity_threshold, cfg.limit, cfg.strict)
-        candidates = store.write("candidates", M.merge_verdicts(candidates, updates.withColumnRenamed("candidate_id", "id")))
+        candidates = update_verdicts(store, updates.withColumnRenamed("candidate_id", "id"))
     counts = M.bucket_counts(candidates).first().asDict()
     gaps = coverage(files, candidates.select("file", "function"))
     roads = {r["recall_source"]: r["count"] for r in candidates.groupBy("recall_source").count().collect()}
+    text = report.markdown(candidates, tasks.count(), votes if votes is not None else empty_votes, root=cfg.project)
+    write_text(spark, where["report"], text)
     return {
-        "language": language, "tasks": tasks.count(), "counts": counts, "truncated": left, "roads": roads,
-        "report": report.markdown(candidates, tasks.count(), votes if votes is not None else empty_votes, root=cfg.project), "gaps": gaps,
+        "language": language, "tasks": tasks.count(), "counts": counts, "truncated": left, "roads": roads, "sizes": sizes,
+        "report": text, "gaps": gaps,
     }

@@ -6,15 +6,20 @@ orders for candidates. Every query goes through the library's operators.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lodestone.functions import constants as K
 from lodestone.functions import scalars as S
 from lodestone.operators import lexical as X
 from lodestone.operators import lines as L
+from lodestone.operators import merging as M
+from lodestone.operators import retrieval as R
+from lodestone.operators.numbering import running_numbers
 from lodestone.plans import audit
 from lodestone.plans.catalog import query, quoted, table
+from lodestone.sources import catalog_xml, stores
+from lodestone.sources.scratch import fresh_folder, written
 
 _FUNCTIONS, _TYPES = 400, 40
 
@@ -171,3 +176,108 @@ def coverage_listing(spark, d):
     kind = F.element_at(F.array(*map(F.lit, ["function", "method", "class"])), (key % 3 + 1).cast("int"))
     row = F.concat(F.lit("- `"), "p_name", F.lit("` ("), kind, F.lit(") — :"), F.when(key % 5 == 0, "").otherwise(F.col("p_size").cast("string")))
     return L.parse_symbol_listing(table(spark, d, "part").select(key.alias("file"), row.alias("row")), numbered=True)
+
+
+# --- stored plans, packages and indexes ------------------------------------------------------------
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS n FROM lineitem")
+def running_ids(spark, d):
+    """A running number for every line item, in order."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    return running_numbers(table(spark, d, "lineitem").select(*order), order, "n")
+
+
+@query("""
+WITH k AS (SELECT *, p_partkey // 2 AS id, p_partkey % 11 = 0 AS broken FROM part),
+w AS (SELECT * FROM k WHERE NOT broken QUALIFY row_number() OVER (PARTITION BY id ORDER BY p_partkey DESC) = 1)
+SELECT id::VARCHAR AS id, 'scope' AS part, 0::BIGINT AS pos, p_brand AS text FROM w
+UNION ALL SELECT id::VARCHAR, 'scope', 1, '' FROM w
+UNION ALL SELECT id::VARCHAR, 'scope', 2, p_type || ' & &lt;b>' FROM w WHERE p_partkey % 3 = 0
+UNION ALL SELECT id::VARCHAR, 'example', 0, 'Python: x < ' || p_size || ' "' || p_name || '"' FROM w WHERE p_partkey % 4 <> 1
+UNION ALL SELECT id::VARCHAR, 'mitigation', 0, CASE WHEN p_partkey % 2 = 0 THEN 'Design' ELSE 'Build' END || ': ' || p_type FROM w WHERE p_partkey % 5 <> 0
+""")
+def catalog_from_xml(spark, d):
+    """Scopes, bad examples and mitigations of weaknesses read from XML; of two with one id the later counts, broken ones don't."""
+    key = F.col("p_partkey")
+    opt = lambda when, *parts: F.when(when, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])).otherwise(F.lit(""))
+    always = F.lit(True)
+    xml = F.concat(
+        opt(always, '<Weakness ID="', F.floor(key / 2).cast("string"), '" Name="n" Status="Draft"><Description>about <i>', F.col("p_brand"), "</i></Description>"),
+        opt(always, "<Common_Consequences><Consequence><Scope>", F.col("p_brand"), "</Scope></Consequence><Consequence><Scope> </Scope>"), opt(key % 3 == 0, "<Scope>", F.col("p_type"), " &amp; &amp;lt;b&gt;</Scope>"),
+        opt(always, "<Impact>i</Impact></Consequence></Common_Consequences><Demonstrative_Examples><Demonstrative_Example><Intro_Text>t</Intro_Text>"),
+        opt(always, '<Example_Code Nature="', F.when(key % 4 == 1, "Good").otherwise("Bad"), '" Language="Python">x &lt; ', F.col("p_size").cast("string"), ' "<b>', F.col("p_name"), '</b>"</Example_Code>'),
+        opt(always, "</Demonstrative_Example></Demonstrative_Examples><Potential_Mitigations><Mitigation>"), opt(key % 2 == 0, "<Phase>Design</Phase>"), opt(always, "<Phase>Build</Phase><Description>"),
+        opt(key % 5 != 0, F.col("p_type")), opt(always, "</Description></Mitigation></Potential_Mitigations>"), opt(key % 11 != 0, "</Weakness>"),
+    )
+    return catalog_xml.catalog_details(catalog_xml.parse_catalog(table(spark, d, "part").select(xml.alias("xml"), key.alias("ord"))))
+
+
+def _package_lines(spark, d) -> DataFrame:
+    """Packages as JSON lines, every seventh cut in half and every eleventh without its file."""
+    key = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(
+        key.alias("o"), key.cast("string").alias("id"), F.when(key % 11 != 0, F.concat(F.lit('src\\"a"/'), F.col("o_custkey").cast("string"))).alias("file"), F.col("o_orderpriority").alias("function"),
+        (key % 9).cast("string").alias("cwe_id"), F.array((key % 9).cast("string"), F.lit("Ünï|")).alias("matched_cwes"), F.array().cast("array<string>").alias("weaknesses"),
+        F.lit(None).cast("string").alias("prompt"), F.concat(F.lit("if x:\n\t"), "o_orderstatus").alias("code"), F.lit("").alias("context"),
+    )
+    lines = stores.to_json_lines(rows, ["o"])
+    cut = F.substring("value", F.lit(1), F.floor(F.length("value") / 2).cast("int"))
+    return lines.select("o", F.when(F.col("o") % 7 == 0, cut).otherwise(F.col("value")).alias("value"))
+
+
+@query("""
+SELECT o_orderkey AS o, o_orderkey::VARCHAR AS id, 'src\\"a"/' || o_custkey AS file, o_orderpriority AS function, (o_orderkey % 9)::VARCHAR AS cwe_id, (o_orderkey % 9) || '|Ünï|' AS matched, 0 AS n_weaknesses,
+  true AS no_prompt, 'if x:' || chr(10) || chr(9) || o_orderstatus AS code, '' AS context FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0
+""")
+def package_round_trip(spark, d):
+    """Packages written as JSON lines and read back; broken lines and those without a file are left out."""
+    rows = stores.from_json_lines(_package_lines(spark, d), stores.PACKAGE, "file")[0]
+    return rows.select("o", "id", "file", "function", "cwe_id", F.array_join("matched_cwes", "|").alias("matched"), F.size("weaknesses").alias("n_weaknesses"), F.col("prompt").isNull().alias("no_prompt"), "code", "context")
+
+
+@query("SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'broken' ELSE 'incomplete' END AS reason, count(*) AS n FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 GROUP BY 1")
+def package_losses(spark, d):
+    """How many lines of packages are left out, and why."""
+    return stores.from_json_lines(_package_lines(spark, d), stores.PACKAGE, "file")[1]
+
+
+@query("""
+WITH o AS (SELECT doc_id::VARCHAR AS path, md5(text) AS md5 FROM documents),
+n AS (SELECT (CASE WHEN doc_id % 11 = 0 THEN -doc_id - 1 ELSE doc_id END)::VARCHAR AS path, md5(CASE WHEN doc_id % 5 = 0 THEN text || ' edited' ELSE text END) AS md5 FROM documents)
+SELECT n.path, n.md5, CASE WHEN o.md5 = n.md5 THEN 1 ELSE 2 END AS written FROM n LEFT JOIN o USING (path)
+""")
+def incremental_index(spark, d):
+    """An index in buckets after two snapshots of the documents, each row with the snapshot that wrote it: rows of unchanged
+    files stay, those of edited, new and deleted ones are replaced bucket by bucket."""
+    docs = table(spark, d, "documents")
+    later = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
+    moved = F.when(F.col("doc_id") % 11 == 0, -F.col("doc_id") - 1).otherwise(F.col("doc_id"))
+    first = docs.select(F.col("doc_id").cast("string").alias("path"), F.md5("text").alias("md5"))
+    second = docs.select(moved.cast("string").alias("path"), F.md5(later).alias("md5"))
+    store = stores.SnapshotStore(spark, fresh_folder(spark, "snapshots"))
+    index = store.bucketed("index", "path", 16)
+    for number, now in enumerate((first, second), 1):
+        old = store.read("index") if store.exists("index") else first.limit(0)
+        changed = store.write("states", R.compare_snapshots(old.select("path", "md5"), now)).where("state <> 'unchanged'").select("path")
+        index.replace(changed, now.join(changed, "path", "left_semi").withColumn("written", F.lit(number)))
+    return store.read("index")
+
+
+@query("""
+WITH ev AS (
+  SELECT l_suppkey % 50 AS task, l_partkey AS name, CASE WHEN l_returnflag = 'R' THEN 'resource' WHEN l_returnflag = 'A' THEN 'symbol' ELSE 'vector' END AS road, l_orderkey * 10 + l_linenumber AS ord FROM lineitem),
+f AS (SELECT task, name, arg_min(road, ord) AS road FROM ev GROUP BY 1, 2)
+SELECT r.road, (SELECT count(*) FROM f WHERE f.road = r.road) AS added, (SELECT count(*) FROM f) AS total FROM (VALUES ('vector'), ('symbol'), ('resource')) r(road)
+""")
+def road_tally(spark, d):
+    """How many candidates each road added, observed while the roads are merged."""
+    flag = F.col("l_returnflag")
+    events = table(spark, d, "lineitem").select(
+        (F.col("l_suppkey") % 50).alias("task"), F.col("l_partkey").alias("name"), F.when(flag == "R", "resource").when(flag == "A", "symbol").otherwise("vector").alias("road"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("recall_ord"),
+    )
+    seen = Observation()
+    written(M.recall_union(events, ["task", "name"], observation=seen), "merged")
+    tally = seen.get
+    return spark.createDataFrame([(road, tally[road], tally["total"]) for road in M.ROADS], "road string, added long, total long")

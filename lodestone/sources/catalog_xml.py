@@ -29,12 +29,37 @@ XML_SCHEMA = _struct(
 )
 
 
-def plain_text(xml: Column) -> Column:
-    """Text of mixed content: tags dropped, the five entities decoded, ends trimmed."""
-    out = F.regexp_replace(F.coalesce(xml, F.lit("")), r"<[^>]+>", "")
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return F.regexp_replace(out, r"^\s+|\s+$", "")
+# Texts are taken from an element's markup with its escapes as they stand in the file, by XPath, so
+# that an escaped < is never taken for a tag.
+_ALONE = r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);)"
+
+
+def _element(markup: Column) -> Column:
+    return F.concat(F.lit("<x>"), F.regexp_replace(F.coalesce(markup, F.lit("")), _ALONE, "&amp;"), F.lit("</x>"))
+
+
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def _first_text(markup: Column) -> Column:
+    return F.xpath_string(_element(markup), F.lit("/x/node()[1][self::text()]"))
+
+
+def own_text(markup: Column) -> Column:
+    """Text before the first tag, decoded, ends trimmed."""
+    return _trimmed(_first_text(markup))
+
+
+def plain_text(markup: Column) -> Column:
+    """Text of mixed content: tags dropped, references decoded, ends trimmed."""
+    return _trimmed(F.xpath_string(_element(markup), F.lit("/x")))
+
+
+def _paragraphs(markup: Column) -> Column:
+    """The own texts of paragraphs, one a line; without any the text before the first tag."""
+    found = F.filter(F.xpath(_element(markup), F.lit("//p/node()[1][self::text()]")), lambda t: t != "")
+    return F.when(F.size(found) > 0, F.array_join(F.transform(found, _trimmed), "\n")).otherwise(own_text(markup))
 
 
 def _each(array: Column, body) -> Column:
@@ -42,10 +67,14 @@ def _each(array: Column, body) -> Column:
 
 
 def weaknesses(raw: DataFrame) -> DataFrame:
-    """Catalog rows of scanned ``Weakness`` elements; ids stay text, sources are in document order."""
-    texts = lambda a: F.filter(_each(a, plain_text), lambda x: x != "")
-    languages = F.array_distinct(F.array_compact(F.transform(F.col("Applicable_Platforms.Language"), lambda x: x["_Class"])))
-    consequences = F.transform(F.col("Common_Consequences.Consequence"), lambda x: F.struct(texts(x["Scope"]).alias("scopes"), texts(x["Impact"]).alias("impacts"), plain_text(x["Note"]).alias("note")))
+    """Catalog rows of ``Weakness`` elements read with their escapes doubled; ids stay text, lists are in document order.
+
+    A description is the text before its first tag, a phase the first one stated; code and
+    mitigations are whole texts.
+    """
+    texts = lambda a: F.transform(F.filter(_each(a, _first_text), lambda x: x != ""), _trimmed)
+    languages = F.filter(F.transform(F.col("Applicable_Platforms.Language"), lambda x: x["_Class"]), lambda x: x.isNotNull() & (x != ""))
+    consequences = F.transform(F.col("Common_Consequences.Consequence"), lambda x: F.struct(texts(x["Scope"]).alias("scopes"), texts(x["Impact"]).alias("impacts"), own_text(x["Note"]).alias("note")))
     attribute = lambda x, name: F.regexp_extract(x, rf'^<Example_Code\b[^>]*?\b{name}\s*=\s*"([^"]*)"', 1)
     inner = lambda x: plain_text(F.regexp_extract(x, r"(?s)^<Example_Code\b[^>]*>(.*)</Example_Code>$", 1))
     examples = F.flatten(
@@ -59,17 +88,17 @@ def weaknesses(raw: DataFrame) -> DataFrame:
             ),
         )
     )
-    observed = F.transform(F.col("Observed_Examples.Observed_Example"), lambda x: F.struct(plain_text(x["Reference"]).alias("cve"), plain_text(x["Description"]).alias("description")))
+    observed = F.transform(F.col("Observed_Examples.Observed_Example"), lambda x: F.struct(own_text(x["Reference"]).alias("cve"), own_text(x["Description"]).alias("description")))
     mitigations = F.filter(
-        F.transform(F.col("Potential_Mitigations.Mitigation"), lambda x: F.struct(F.array_join(texts(x["Phase"]), ", ").alias("phase"), plain_text(x["Description"]).alias("description"))),
+        F.transform(F.col("Potential_Mitigations.Mitigation"), lambda x: F.struct(own_text(F.get(x["Phase"], F.lit(0))).alias("phase"), plain_text(x["Description"]).alias("description"))),
         lambda m: m["description"] != "",
     )
     empty = lambda c, like: F.coalesce(c, F.from_json(F.lit("[]"), like))
     return raw.select(
         F.col("_ID").alias("id"),
-        F.col("_Name").alias("name"),
-        plain_text(F.col("Description")).alias("description"),
-        plain_text(F.col("Extended_Description")).alias("extended_description"),
+        own_text(F.col("_Name")).alias("name"),
+        own_text(F.col("Description")).alias("description"),
+        _paragraphs(F.col("Extended_Description")).alias("extended_description"),
         empty(consequences, "array<struct<scopes:array<string>,impacts:array<string>,note:string>>").alias("consequences"),
         F.when(F.size(F.coalesce(languages, F.array().cast("array<string>"))) > 0, languages).otherwise(F.array(F.lit("Language-Independent"))).alias("languages"),
         F.coalesce(F.size(languages), F.lit(0)).alias("__stated"),
@@ -85,13 +114,36 @@ def _last_wins(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1 and id is not null").drop("__rn")
 
 
+def _catalog_rows(rows: DataFrame, xml: str, order: str) -> DataFrame:
+    doubled = F.replace(F.col(xml), F.lit("&"), F.lit("&amp;"))
+    read = rows.select(F.from_xml(doubled, XML_SCHEMA, {"mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false"}).alias("w"), F.col(order).cast("long").alias("__ord"))
+    return _last_wins(weaknesses(read.select("w.*", "__ord")))
+
+
+def parse_catalog(rows: DataFrame, xml: str = "xml", order: str = "ord") -> DataFrame:
+    """The catalog of ``Weakness`` elements held in a column; of equal ids the last by ``order`` counts, elements that are no XML are left out."""
+    return _catalog_rows(rows, xml, order).drop("__stated", "__ord")
+
+
+def catalog_details(catalog: DataFrame) -> DataFrame:
+    """``id, part, pos, text``: scopes of consequences, bad examples and mitigations of each weakness as rows."""
+    scope = F.transform(F.flatten(F.transform("consequences", lambda c: c["scopes"])), lambda s: F.struct(F.lit("scope").alias("part"), s.alias("text")))
+    example = F.transform("demonstrative_examples", lambda e: F.struct(F.lit("example").alias("part"), F.concat_ws(": ", e["language"], e["code"]).alias("text")))
+    mitigation = F.transform("potential_mitigations", lambda m: F.struct(F.lit("mitigation").alias("part"), F.concat_ws(": ", m["phase"], m["description"]).alias("text")))
+    every = [catalog.select("id", F.posexplode(c).alias("pos", "d")) for c in (scope, example, mitigation)]
+    return every[0].unionByName(every[1]).unionByName(every[2]).select("id", "d.part", F.col("pos").cast("long").alias("pos"), "d.text")
+
+
 def load_catalog(spark: SparkSession, path: str, language: str = "cpp") -> DataFrame:
     """Weaknesses of an XML catalog that fit ``language`` (``all``: every one).
 
-    A weakness without a stated language class counts as language independent and always fits.
+    A weakness without a stated language class counts as language independent and always fits. The
+    file is cut at the elements' end tags, so one large file is read by many tasks.
     """
-    raw = spark.read.format("xml").option("rowTag", "Weakness").option("mode", "PERMISSIVE").schema(XML_SCHEMA).load(path)
-    rows = weaknesses(raw.withColumn("__ord", F.monotonically_increasing_id()))
-    kept = _last_wins(rows)
+    end = "</Weakness>"
+    pieces = spark.read.option("lineSep", end).text(path)
+    # each piece is what precedes an end tag; the element begins at its last start tag
+    element = F.concat(F.regexp_extract("value", r"(?s)^.*(<Weakness\s.*)$", 1), F.lit(end))
+    kept = _catalog_rows(pieces.select(element.alias("xml"), F.monotonically_increasing_id().alias("ord")), "xml", "ord")
     fits = (F.col("__stated") == 0) | S.language_compatible(F.col("languages"), F.lit(language))
     return kept.where(fits).drop("__stated", "__ord")

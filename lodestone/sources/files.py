@@ -29,6 +29,12 @@ def index_files(files: DataFrame, extensions: Iterable[str]) -> DataFrame:
     return files.where(S.extension_allowed(F.col("path"), extensions) & ~S.blacklisted(F.col("path")))
 
 
+def text_files(files: DataFrame) -> DataFrame:
+    """Files a text search would read: not hidden, none of their folders hidden, and without a zero byte."""
+    hidden = F.col("path").rlike(r"(^|/)\.[^/]")
+    return files.where(~hidden & ~F.contains("content", F.lit("\0")))
+
+
 def prescan_files(files: DataFrame, extensions: Iterable[str]) -> DataFrame:
     extensions = list(extensions)
     path = F.col("path")

@@ -130,6 +130,9 @@ def test_pipeline(spark, project, tmp_path):
     assert {(r.file, r.function) for r in out["gaps"].collect()} >= {("src/bad name+x.py", "f")}
     key = found["load_user_record"].id
     votes = spark.createDataFrame([(key, lens, True, True, False, "why", "path A", "None") for lens in "abc"], stores.VOTE.replace("confidence string, ", "").replace("attack_path string, has_missing boolean", "has_missing boolean").replace("reason string, has_path boolean", "has_path boolean").replace("missing string", "reason string, attack_path string, missing string"))
+    assert out["sizes"]["classes"] == 8 and out["sizes"]["retained"] == tasks.count() and out["sizes"]["recalled"]["total"] >= len(found)
+    where = stores.workspace(cfg.project, cfg.workspace)
+    assert stores.read_packages(spark, where["candidates"]).count() == len(found) and open(where["report"]).read() == out["report"]
     again = audit.run_pipeline(spark, cfg, intents, spark.createDataFrame([], "candidate_id string, severity int"), votes)
     assert again["counts"]["verified"] == 1 and again["counts"]["pending"] == 0
     assert "## Verified\n\n1. ### `load_user_record`" in again["report"] and "Attack path: path A" in again["report"]
