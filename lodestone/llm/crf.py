@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.dom_blocks import Block, leaf_blocks
 
-#: Size and seed of the labelled pages a model is trained on, and the steps of its training.
-TRAINING_PAGES, TRAINING_SEED, STEPS = 500, 17, 120
+#: Labelled pages a model is trained on, with telling elements and without; the seed and the steps of its training.
+TRAINING_PAGES, VARIED_PAGES, TRAINING_SEED, STEPS = 500, 700, 17, 150
+
+
+#: Elements that by their own meaning hold something else than an article's text.
+FURNITURE = set("nav header footer aside form button select textarea menu dialog template svg video audio canvas object iframe".split())
 
 
 # --- features -------------------------------------------------------------------------------------
@@ -25,6 +29,10 @@ def above_features(above: tuple) -> list[str]:
     tags = [t for t, _ in above if t not in ("html", "body")]
     out = {f"in:{t}" for t in tags} | {f"word:{w}" for _, words in above for w in words}
     out |= {f"own:{tags[-1]}" if tags else "own:none", f"top:{tags[0]}" if tags else "top:none"}
+    names = {w for _, words in above for w in words}
+    furniture = any(t in FURNITURE for t in tags)
+    if not furniture:
+        out.add("free" if names else "bare")  # no element above says what it is, or no name does either
     return sorted(out)
 
 
@@ -120,6 +128,101 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
     return "".join(html), labels
 
 
+def _sentences(rng: random.Random, low: int, high: int) -> str:
+    letters = rng.choice(["etaoinshrdlu", "enirstadhulg", "esaitnruléèà", "eaosrnidlcóñ", "aeioukstnrm", "оеаинтсрвл"])
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(1, 9)))
+    return " ".join(" ".join(word() for _ in range(rng.randint(low, high))).capitalize() + rng.choice([".", ".", ".", "!", "?", ":"]) for _ in range(rng.randint(1, 4)))
+
+
+def _any_name(rng: random.Random) -> str:
+    """Attributes that tell nothing: none, or made-up words."""
+    made = lambda: "".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(rng.randint(2, 9)))
+    kind = rng.choice(["", "", "class", "id"])
+    return f' {kind}="{rng.choice([made(), made() + "-" + made(), "c" + str(rng.randint(1, 99)), "wrapper", "inner", "row", "col", "text", "box", "page"])}"' if kind else ""
+
+
+def varied_page(rng: random.Random) -> tuple[str, list[int]]:
+    """A made-up page whose main text stands in no telling element, with the label of each leaf block.
+
+    Its place is the body, nested divisions, sections or cells with made-up names; what is not main
+    text is told by its element, by links or by its wording, and may stand within the article.
+    """
+    html: list[str] = []
+    labels: list[int] = []
+
+    def put(markup: str, label: int, *texts: str) -> None:
+        html.append(markup.format(*texts))
+        labels.extend([label] * len(texts))
+
+    short = lambda: _filler(rng, 1, 4).rstrip(".!?")
+
+    def links(open_: str, close: str) -> None:
+        items = [short() for _ in range(rng.randint(2, 8))]
+        form = rng.choice(["<li><a href='/x'>{}</a></li>", "<p><a href='/x'>{}</a></p>", "<div><a href='/x'>{}</a></div>"])
+        inner = form * len(items)
+        put(open_ + (f"<ul>{inner}</ul>" if "<li>" in form else inner) + close, 0, *items)
+
+    def junk(within: bool) -> None:
+        kinds = [
+            lambda: put("<footer>{}</footer>", 0, _filler(rng, 1, 14)), lambda: put("<footer><p>{}</p></footer>", 0, _sentences(rng, 2, 9)), lambda: links("<nav>", "</nav>"),
+            lambda: put("<aside><p>{}</p></aside>", 0, _sentences(rng, 2, 12)), lambda: put("<form><label>{}</label><input><button>{}</button></form>", 0, short(), short()),
+            lambda: put("<form><select><option>{}<option>{}</select><textarea>{}</textarea></form>", 0, short(), short(), short()), lambda: put("<button>{}</button>", 0, short()),
+            lambda: put("<video src=v>{}</video>", 0, _sentences(rng, 2, 7)), lambda: put("<object data=o><p>{}</p></object>", 0, _sentences(rng, 2, 7)), lambda: put("<svg><text>{}</text></svg>", 0, short()),
+            lambda: put("<template><div><p>{}</p></div></template>", 0, _sentences(rng, 2, 9)), lambda: put("<canvas>{}</canvas>", 0, _sentences(rng, 2, 6)), lambda: put("<iframe src=i>{}</iframe>", 0, _sentences(rng, 2, 6)),
+            lambda: put('<div class="{{}}">{{}}</div>'.replace("{{}}", rng.choice(["ad", "advert", "sponsored", "promo", "newsletter", "share", "social", "related"]), 1).replace("{{}}", "{}"), 0, _sentences(rng, 2, 9)),
+        ]
+        outside = [
+            lambda: put("<header>{}</header>", 0, short()), lambda: put("<header><h1>{}</h1><p>{}</p></header>", 0, short(), _sentences(rng, 1, 5)), lambda: links(f"<div{_any_name(rng)}>", "</div>"),
+            lambda: put('<section class="comments"><h3>{}</h3><div><p>{}</p></div><div><p>{}</p></div></section>', 0, short(), _sentences(rng, 2, 12), _sentences(rng, 2, 12)),
+            lambda: put(f"<div{_any_name(rng)}>" + "© {}</div>", 0, short()), lambda: links(f"<table{_any_name(rng)}><tr><td>", "</td></tr></table>"),
+            lambda: put('<div id="comments"><ul><li>{}</li><li>{}</li></ul></div>', 0, _sentences(rng, 2, 12), _sentences(rng, 2, 9)), lambda: put('<div class="cookie-notice"><p>{}</p><button>{}</button></div>', 0, _sentences(rng, 3, 12), short()),
+        ]
+        pool = kinds if within else kinds[:5] + outside
+        rng.choice(pool)()
+
+    html.append("<html><head><title>t</title></head><body>" if rng.random() < 0.7 else "")
+    for _ in range(rng.randint(0, 3)):
+        junk(False)
+    depth = rng.randint(0, 3)
+    place = rng.random()
+    opened = [rng.choice(["div", "div", "div", "section", "center"]) for _ in range(depth)]
+    html.extend(f"<{t}{_any_name(rng)}>" for t in opened)
+    if place < 0.2:
+        html.append(f"<table{_any_name(rng)}><tr><td{_any_name(rng)}>")
+    elif place < 0.5:
+        html.append(rng.choice(["<article>", "<main>", f"<article{_any_name(rng)}>"]))
+    plain_list = lambda: put("<ul><li>{}</li><li>{}</li></ul>", 1, _sentences(rng, 2, 9), _sentences(rng, 2, 9))
+    for _ in range(rng.choice([1, 1, 1, 2, 3, 5, 8])):
+        html.append(rng.choice(["", "", "", f"<div{_any_name(rng)}>"]))
+        wrapped = html[-1] != ""
+        kind = rng.random()
+        if kind < 0.6:
+            put(rng.choice(["<p>{}</p>", "<p>{}", "<p{{}}>{}</p>".replace("{{}}", _any_name(rng)), "<p><b>{}</b></p>", "<p>{}<br></p>", "<noscript><p>{}</p></noscript>"]), 1, _sentences(rng, 1, 25))
+        elif kind < 0.75:
+            put(rng.choice(["<h1>{}</h1>", "<h2>{}</h2>", "<h3>{}</h3>"]), 1, short())
+        elif kind < 0.82:
+            put(rng.choice(["<blockquote>{}</blockquote>", "<blockquote><p>{}</p></blockquote>", "<pre>{}</pre>"]), 1, _sentences(rng, 2, 12))
+        elif kind < 0.9:
+            plain_list()
+        else:
+            put("<dl><dt>{}<dd>{}</dl>", 1, short(), _sentences(rng, 2, 9))
+        if wrapped:
+            html.append("</div>")
+        if rng.random() < 0.12:
+            junk(True)
+    if 0.2 <= place < 0.5:
+        html.append(rng.choice(["<footer>{}</footer>", ""]))
+        if html[-1]:
+            put(html.pop(), 0, _filler(rng, 1, 8))
+        html.append("</article></main>")
+    elif place < 0.2:
+        html.append("</td></tr></table>")
+    html.extend(f"</{t}>" for t in reversed(opened))
+    for _ in range(rng.randint(0, 3)):
+        junk(False)
+    return "".join(html), labels
+
+
 # --- the model ------------------------------------------------------------------------------------
 
 
@@ -222,14 +325,14 @@ def train(pages: list[tuple[str, list[int]]], steps: int = STEPS, l2: float = 0.
         q = np.exp(f[:, :-1, :, None] + t + (u + b)[:, 1:, None, :] - z[:, None, None, None])[both].sum(axis=0)
         grad = np.concatenate([(expect - want).ravel(), (q - pairs).ravel()]) / len(chains) + l2 * theta / 10
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        theta = theta - 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        theta = theta - 0.15 * (1 - (step - 1) / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return ChainCrf(names, theta[:-4].reshape(-1, 2), theta[-4:].reshape(2, 2))
 
 
 @lru_cache(maxsize=1)
 def default_model() -> ChainCrf:
     rng = random.Random(TRAINING_SEED)
-    return train([labelled_page(rng) for _ in range(TRAINING_PAGES)])
+    return train([labelled_page(rng) for _ in range(TRAINING_PAGES)] + [varied_page(rng) for _ in range(VARIED_PAGES)])
 
 
 def main_text(model: ChainCrf, page: str | None) -> str:
@@ -240,8 +343,9 @@ def main_text(model: ChainCrf, page: str | None) -> str:
 def extract(df: DataFrame, model: ChainCrf | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` of every row; blocks of the main text joined by newlines.
 
-    Null and empty pages, and pages without main text, give an empty text. Each page is read
-    whole in one pass on its own task; the model (a few hundred weights) is broadcast.
+    Null and empty pages, and pages without main text, give an empty text; repeated rows and ids are
+    extracted each, extra columns are ignored whatever their names, an empty table gives no rows.
+    Each page is read whole in one pass on its own task; the model (a few hundred weights) is broadcast.
     """
     shared = df.sparkSession.sparkContext.broadcast(model or default_model())
 

@@ -6,16 +6,20 @@ import html
 import re
 from dataclasses import dataclass
 
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)|<[!?/][^>]*+(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)|<[!?/][^>]*+(?:>|\Z)", re.S)
 #: One attribute of a tag: up to the end of its name, of its unquoted value, or to behind the quote that opens its value.
 _ATTRIBUTE = re.compile(r"[ \t\n\f\r/]*+=?[^ \t\n\f\r/>=]*+(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:(?P<quote>[\"'])|[^ \t\n\f\r>]*+))?")
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 #: Fixed sets of element names, by how HTML treats them.
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+INLINE = set(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mfenced mpadded mphantom semantics".split()
+)
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style title textarea noscript iframe noembed noframes xmp template svg math select object audio video canvas".split())
+RAW = set("script style title".split())
+FOREIGN = set("svg math".split())
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = set("ul ol dl table article section div td th body".split())
@@ -30,7 +34,7 @@ class Block:
 
 
 def _end_of_raw(page: str, tag: str, at: int) -> int:
-    m = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+    m = re.compile(rf"</{tag}(?=[ \t\n\f\r/>]|\Z)[^>]*>?", re.I).search(page, at)
     return m.end() if m else len(page)
 
 
@@ -70,8 +74,10 @@ class _Tags:
 def leaf_blocks(page: str | None) -> list[Block]:
     """Blocks in page order; texts have references decoded, white space folded, ends trimmed.
 
-    Scripts, styles, the title and other raw or embedded content give none. Broken markup is read
-    as far as it goes: an element that is never closed ends with the page.
+    Scripts, styles and titles give none; all other content does, whatever its element. References
+    are decoded within each stretch of text, not over tags. Broken markup is read as far as it
+    goes: an element that is never closed ends with the page, and '/>' closes no script, style or
+    title outside drawings and formulas.
     """
     blocks: list[Block] = []
     stack: list[tuple] = []
@@ -80,7 +86,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
 
     def flush() -> None:
         nonlocal linked
-        text = " ".join(html.unescape("".join(parts)).split())
+        text = " ".join("".join(parts).split())
         if text:
             blocks.append(Block(text, tuple(x for x in stack if x[0] not in INLINE), linked))
         parts.clear()
@@ -98,8 +104,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
         if text:
-            parts.append(text)
-            linked += len(text) if links else 0
+            parts.append(html.unescape(text))
+            linked += len(parts[-1]) if links else 0
         if not m:
             break
         at = m.end()
@@ -119,7 +125,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
                     break
             continue
         if tag in RAW:
-            if not rest.endswith("/>"):
+            if not (rest.endswith("/>") and any(x[0] in FOREIGN for x in stack)):
                 at = _end_of_raw(page, tag, at)
             continue
         if tag in CLOSES_P:
@@ -136,7 +142,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
                     break
                 if stack[i][0] in SCOPES:
                     break
-        if tag not in VOID:
+        if tag not in VOID and not (rest.endswith("/>") and (tag in FOREIGN or any(x[0] in FOREIGN for x in stack))):
             named = " ".join("".join(x) for x in _NAMED.findall(rest)) if "=" in rest else ""
             stack.append((tag, tuple(_WORD.findall(named.lower()))))
             links += tag == "a"
