@@ -21,9 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import partitions_for, persist_table, released
+from lodestone.llm.common import hot_lookup, partitions_for, persist_table, released
 from lodestone.llm.components import connected_components
-from lodestone.llm.shingles import MinHasher, jaccard_counts, shingle_set
+from lodestone.llm.shingles import MinHasher, jaccard_counts, mixed_bits, shingle_set
 
 #: Signature length, trees, label length, least depth and the size above which a region goes deeper.
 POSITIONS, TREES, DEPTH, LEAST_DEPTH, REGION = 256, 32, 10, 4, 96
@@ -373,22 +373,72 @@ def _open_links(docs: DataFrame, classes: DataFrame, opened: DataFrame, found: D
     return sets.mapInArrow(released(_sets), "region binary, side int, comp long, members binary").mapInArrow(released(_test_blocks(per_cent)), "a long, b long")
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, size, key`` for each shingle of each set; the key is of the shingle within the cluster."""
+    for batch in batches:
+        sets = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
+        at = 0
+        while at < len(sets):
+            end, n = at, 0
+            while end < len(sets) and (end == at or n + len(sets[end]) <= BLOCK_SHINGLES):
+                n += len(sets[end])
+                end += 1
+            sizes = np.array([len(x) for x in sets[at:end]])
+            salt = mixed_bits(batch.column(1).to_numpy()[at:end].astype(np.uint64) + np.uint64(1))
+            key = mixed_bits(np.concatenate(sets[at:end]) ^ np.repeat(salt, sizes))
+            node = np.repeat(batch.column(0).to_numpy()[at:end], sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.repeat(sizes, sizes)), pa.array(key.view(np.int64))], names=["node", "size", "key"])
+            at = end
+
+
+def _prefix_clusters(sets: DataFrame, per_cent: int) -> DataFrame:
+    """``node, cluster``: rows of ``sets(node, cluster, members)`` that may be alike, in clusters outside which none is.
+
+    Shingles are put in one order, rare ones of the cluster first. Two sets alike in ``per_cent``
+    share a shingle among the first size - least common size + 1 of either, so rows are only
+    connected over such shingles. Shingles of one row alone connect nothing, but take up the first
+    places; rows whose first places they fill are left out. What is exchanged is one narrow row a
+    shingle, and shingles of very many rows are looked up by broadcast.
+    """
+    tokens = sets.select("node", "cluster", "members").mapInArrow(released(_tokens), "node long, size long, key long")
+    shared = persist_table(tokens.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "crowd-shingles")
+    total = int(sets.agg(F.sum(F.length("members") / 8)).first()[0] or 0)
+    seen = hot_lookup(tokens, shared, "key", "n", "n", total).where("n is not null")
+    own = seen.groupBy("node").agg(F.any_value("size").alias("size"), F.array_sort(F.collect_list(F.struct("n", "key"))).alias("common"))  # at most a text's own
+    places = F.col("size") - F.expr(f"({per_cent} * size + 99) div 100") + 1 - (F.col("size") - F.size("common"))
+    first = own.where(places > 0).select("node", F.explode(F.slice("common", F.lit(1), places.cast("int"))).alias("c"))
+    # shingles are nodes of the same graph, below zero
+    graph = connected_components(first.select(F.col("node").alias("a"), (F.lit(-1) - F.shiftrightunsigned("c.key", 1)).alias("b")))
+    return graph.where("node >= 0").select("node", F.col("component").alias("cluster"))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """``rows`` of clusters with more than one component; a cluster may hold very many of them."""
+    stats = persist_table(rows.groupBy("cluster").agg(F.count("*").alias("n"), (F.min("comp") != F.max("comp")).alias("several")), "crowd-clusters")
+    total = stats.agg(F.sum("n")).first()[0] or 0
+    return hot_lookup(rows, stats, "cluster", "n", "several", total).where("several").drop("several")
+
+
 def _crowd_links(docs: DataFrame, classes: DataFrame, crowds: DataFrame, found: DataFrame, per_cent: int, width: int) -> DataFrame:
     """``a, b``: components of ``found`` that exact tests link within crowds.
 
     Rows connected over crowded regions are one cluster; those that share a crowded region with a
-    row are all in its cluster. A cluster's rows are dealt by hash into blocks: components larger
-    than a block get blocks of their own, the others share blocks. Every pair of blocks is one test,
-    but for blocks of the same one component, so a group found whole costs nothing more.
+    row are all in its cluster. An exact prefix filter cuts it into the clusters of rows that may be
+    alike at all, so rows that share a passage alone are not tested. A cluster's rows are dealt by
+    hash into blocks: components larger than a block get blocks of their own, the others share
+    blocks. Every pair of blocks is one test, but for blocks of the same one component, so a group
+    found whole costs nothing more.
     """
     cut = crowds.where("region is not null")
     joined = cut.select("node", F.min("node").over(Window.partitionBy("region")).alias("hub"))
     clusters = connected_components(crowds.where("region is null").select("node", "hub").unionByName(joined).toDF("a", "b"))
     rows = clusters.join(found, "node", "left").select("node", F.col("component").alias("cluster"), F.coalesce("first", "node").alias("comp"))
-    open_ = rows.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("cluster")
-    rows = persist_table(rows.join(open_, "cluster").select("node", "cluster", "comp"), "crowds")
+    rows = persist_table(_mixed(persist_table(rows, "crowd-rows")), "crowds")
     texts = rows.join(_texts(docs, classes, rows.select("node")), "node").select("node", "cluster", "comp", "text")
     sets = persist_table(texts.mapInArrow(released(_sets), "node long, cluster long, comp long, members binary"), "crowd-sets")
+    near = rows.select("node", "comp").join(_prefix_clusters(sets, per_cent), "node")
+    near = persist_table(_mixed(persist_table(near.select("node", "cluster", "comp"), "crowd-near")), "crowd-mixed")
+    sets = persist_table(sets.select("node", "members").join(near, "node").select("node", "cluster", "comp", "members"), "crowd-tested")
     parts = sets.groupBy("cluster", "comp").agg(F.count("*").alias("n"), F.sum(F.length("members") / 8).alias("m"))
     size = lambda n, m: F.ceil(F.greatest(n / BLOCK, m / BLOCK_SHINGLES))
     parts = parts.withColumn("own", size(F.col("n"), F.col("m")))
@@ -410,7 +460,9 @@ def _crowd_links(docs: DataFrame, classes: DataFrame, crowds: DataFrame, found:
     alone = F.col("block") == F.col("block2")
     sides = pairs.select("block", "pair", F.when(alone, 2).otherwise(0).alias("side"))
     sides = persist_table(sides.unionByName(pairs.where(~alone).select(F.col("block2").alias("block"), "pair", F.lit(1).alias("side"))), "crowd-pairs")
-    placed = sets.join(parts.select("cluster", "comp", "own", "shared"), ["cluster", "comp"]).select(
+    whole = F.struct("cluster", "comp")
+    sized = hot_lookup(sets.withColumn("part", whole), parts.select(whole.alias("part"), "n", F.struct("own", "shared").alias("sizes")), "part", "n", "sizes", int(parts.agg(F.sum("n")).first()[0] or 0))
+    placed = sized.select("node", "cluster", "comp", "members", "sizes.own", "sizes.shared").select(
         F.xxhash64(
             "cluster", F.coalesce(pure, F.lit(-1)), pure.isNull(), F.when(F.col("own") > 1, F.pmod(F.xxhash64("node"), "own")).otherwise(F.pmod(F.xxhash64("comp"), "shared"))
         ).alias("block"),
@@ -433,6 +485,17 @@ def near_duplicates(df: DataFrame, per_cent: int = 80, id_col: str = "doc_id", t
     trees and leaders; open pairs and crowds are tested region by region and block by block, not
     listed. Hot classes are looked up by broadcast of at most a thousand rows.
     """
+    signed, placed = _components(df, per_cent, id_col, text_col)
+    least = placed.groupBy("first").agg(F.min("rep").alias("component_id"))
+    placed = placed.join(least, "first").select("set_key", "n", "component_id")
+    return _look_up(signed.select("doc_id", "n_shingles", "set_key"), persist_table(placed, "placed"))
+
+
+def _components(df: DataFrame, per_cent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, text_key, n_shingles, set_key, ...`` of every row, and for each class of equal sets ``set_key, rep, text_key, n, first``.
+
+    ``first`` names the class's component, ``rep`` and ``text_key`` its least row.
+    """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("text_key", F.xxhash64("text")).select("doc_id", "text_key", "text")
     signed = persist_table(docs.mapInArrow(released(_sign), _SIG), "signatures")
@@ -480,11 +543,8 @@ def near_duplicates(df: DataFrame, per_cent: int = 80, id_col: str = "doc_id", t
             named = found.unionByName(merged.join(found, "node", "left_anti").select("node", F.col("node").alias("first")))
             step = named.join(merged.withColumnsRenamed({"node": "first", "component": "last"}), "first", "left")
             found = persist_table(step.select("node", F.coalesce("last", "first").alias("first")), name)
-    linked_ = classes.join(found, "node").select("set_key", "rep", "n", "first")
-    least = linked_.groupBy("first").agg(F.min("rep").alias("component_id"))
-    placed = linked_.join(least, "first").select("set_key", "n", "component_id")
-    alone = classes.join(found, "node", "left_anti").select("set_key", "n", F.col("rep").alias("component_id"))
-    return _look_up(signed.select("doc_id", "n_shingles", "set_key"), persist_table(placed.unionByName(alone), "placed"))
+    whole = classes.join(found, "node", "left")
+    return signed, persist_table(whole.select("set_key", "rep", "text_key", "n", F.coalesce("first", "node").alias("first")), "components")
 
 
 def _look_up(rows: DataFrame, placed: DataFrame) -> DataFrame:
@@ -505,6 +565,16 @@ def _look_up(rows: DataFrame, placed: DataFrame) -> DataFrame:
 
 
 def representatives(df: DataFrame, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``df`` whose id is the smallest of its group of near duplicates; all columns kept."""
-    verdict = near_duplicates(df, per_cent, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return df.join(verdict, F.col(id_col).cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
+    """One document of ``df`` for each group of near duplicates, of the smallest id (then text hash); all columns kept.
+
+    A document is an id with a text: an id that stands at two texts is two documents, judged each by
+    itself, and repeated rows that agree in both are one, all of whose rows stay. Documents without
+    words and rows with a null id stay.
+    """
+    signed, placed = _components(df, per_cent, id_col, text_col)
+    chosen = placed.groupBy("first").agg(F.min(F.struct("rep", "text_key")).alias("row")).select("row.*")
+    wordless = signed.where("doc_id is not null and set_key is null").select("doc_id", "text_key").distinct()
+    verdict = chosen.unionByName(wordless.withColumnRenamed("doc_id", "rep")).toDF("__id", "__key")
+    own = (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__key"))
+    named = df.where(F.col(id_col).cast("long").isNotNull())
+    return named.join(verdict, own, "left_semi").unionByName(df.where(F.col(id_col).cast("long").isNull()))

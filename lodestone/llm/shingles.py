@@ -28,7 +28,7 @@ def _multipliers(n: int, seed: int) -> np.ndarray:
 _POSITION = _multipliers(16, 5)
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
+def mixed_bits(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> _U(32))) * _U(0x9E3779B97F4A7C15)
     return h ^ (h >> _U(29))
 
@@ -50,7 +50,7 @@ def shingle_set(text: str | None, width: int = SHINGLE_WORDS) -> np.ndarray:
     h = np.full(n, _U((k * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))
     for i in range(k):
         h = h + w[i : i + n] * _POSITION[i]
-    return np.unique(_mix(h))
+    return np.unique(mixed_bits(h))
 
 
 class MinHasher:
@@ -68,7 +68,7 @@ class MinHasher:
             np.multiply(part, self.mul, out=part)
             np.minimum(best, part.min(axis=0), out=best)
         # the minimum's high bits are small by nature, so fold all its bits into the sixteen
-        return (_mix(best.astype(np.uint64)) >> _U(48)).astype(">u2")
+        return (mixed_bits(best.astype(np.uint64)) >> _U(48)).astype(">u2")
 
 
 def jaccard_counts(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:

@@ -182,3 +182,38 @@ def test_shingles_by_hand():
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
         plain_set = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
         assert len(shingle_set(text)) == len(plain_set)
+
+
+def test_representatives_by_row(spark):
+    """An id at two texts is two documents; one of each group stays."""
+    w, z, v = "a b c d e f g h", "m n o p q r s t", "1 2 3 4 5 6 7 8"
+    rows = [(1, w, "x"), (2, w, "x"), (2, z, "x"), (3, v, "x"), (3, v + " 9", "x"), (3, "", "x"), (3, None, "x"), (4, v, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, text_key string")
+    got = [(r.doc_id, r.text) for r in near_dedup.representatives(df, 80).collect()]
+    assert len(got) == 5 and {(1, w), (2, z), (3, ""), (3, None)} < set(got) and len([t for i, t in got if t in (v, v + " 9")]) == 1
+    assert near_dedup.representatives(df, 80).columns == df.columns
+
+
+def test_unconnected_rows_of_a_crowd_are_not_tested(spark, monkeypatch):
+    """Rows that share half of their text and no more form a crowd; what is exchanged grows with their number."""
+    tested, kept = [], near_dedup.persist_table
+
+    def spy(df, name):
+        out = kept(df, name)
+        if name in ("crowd-tested", "crowd-sets", "crowd-shingles"):
+            tested.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "persist_table", spy)
+    rng = random.Random(8)
+    shared, counts = words(rng, 60), []
+    for n in (1250, 5000):
+        tested.clear()
+        texts = [" ".join(shared + [f"{i}x{k}" for k in range(60)]) for i in range(n)] + [" ".join([*shared, *(f"7x{k}" for k in range(60)), "end"])]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = near_dedup.near_duplicates(df, 80)
+        assert {r.doc_id for r in got.where("not kept").collect()} == {n}
+        counts.append(dict(tested))
+    for found in counts:
+        assert found["crowd-sets"] >= 500 and found["crowd-tested"] <= 2 and found["crowd-shingles"] <= 200
+    assert counts[1]["crowd-sets"] > 2 * counts[0]["crowd-sets"]
