@@ -374,9 +374,9 @@ def _open_links(docs: DataFrame, classes: DataFrame, opened: DataFrame, found: D
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``node, size, key`` for each shingle of each set; the key is of the shingle within the cluster."""
+    """``node, comp, size, key`` for each shingle of each set; the key is of the shingle within the cluster."""
     for batch in batches:
-        sets = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
+        sets = [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()]
         at = 0
         while at < len(sets):
             end, n = at, 0
@@ -386,24 +386,26 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = np.array([len(x) for x in sets[at:end]])
             salt = mixed_bits(batch.column(1).to_numpy()[at:end].astype(np.uint64) + np.uint64(1))
             key = mixed_bits(np.concatenate(sets[at:end]) ^ np.repeat(salt, sizes))
-            node = np.repeat(batch.column(0).to_numpy()[at:end], sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.repeat(sizes, sizes)), pa.array(key.view(np.int64))], names=["node", "size", "key"])
+            node, comp = (np.repeat(batch.column(i).to_numpy()[at:end], sizes) for i in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(comp), pa.array(np.repeat(sizes, sizes)), pa.array(key.view(np.int64))], names=["node", "comp", "size", "key"])
             at = end
 
 
 def _prefix_clusters(sets: DataFrame, per_cent: int) -> DataFrame:
-    """``node, cluster``: rows of ``sets(node, cluster, members)`` that may be alike, in clusters outside which none is.
-
-    Shingles are put in one order, rare ones of the cluster first. Two sets alike in ``per_cent``
-    share a shingle among the first size - least common size + 1 of either, so rows are only
-    connected over such shingles. Shingles of one row alone connect nothing, but take up the first
-    places; rows whose first places they fill are left out. What is exchanged is one narrow row a
-    shingle, and shingles of very many rows are looked up by broadcast.
+    """``node, cluster``: rows of ``sets(node, cluster, comp, members)`` of different components that may be alike,
+    in clusters outside which none is.
+
+    Shingles are put in one order: those of one component alone first, then rare ones of the cluster.
+    Two sets alike in ``per_cent`` share a shingle among the first size - least common size + 1 of
+    either, so rows are only connected over such shingles. Shingles of one component alone connect
+    nothing new, but take up the first places; rows whose first places they fill are left out. What
+    is exchanged is one narrow row a shingle, and shingles of very many rows are looked up by broadcast.
     """
-    tokens = sets.select("node", "cluster", "members").mapInArrow(released(_tokens), "node long, size long, key long")
-    shared = persist_table(tokens.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "crowd-shingles")
+    tokens = sets.select("node", "cluster", "comp", "members").mapInArrow(released(_tokens), "node long, comp long, size long, key long")
+    several = tokens.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    shared = persist_table(several.select("key", "n"), "crowd-shingles")
     total = int(sets.agg(F.sum(F.length("members") / 8)).first()[0] or 0)
-    seen = hot_lookup(tokens, shared, "key", "n", "n", total).where("n is not null")
+    seen = hot_lookup(tokens.select("node", "size", "key"), shared, "key", "n", "n", total).where("n is not null")
     own = seen.groupBy("node").agg(F.any_value("size").alias("size"), F.array_sort(F.collect_list(F.struct("n", "key"))).alias("common"))  # at most a text's own
     places = F.col("size") - F.expr(f"({per_cent} * size + 99) div 100") + 1 - (F.col("size") - F.size("common"))
     first = own.where(places > 0).select("node", F.explode(F.slice("common", F.lit(1), places.cast("int"))).alias("c"))
