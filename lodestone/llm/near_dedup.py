@@ -31,6 +31,8 @@ POSITIONS, TREES, DEPTH, LEAST_DEPTH, REGION = 256, 32, 10, 4, 96
 DEVIATIONS = 5
 #: Rows and shingles a block of a crowd has about, and distinct shingles counted at a time.
 BLOCK, BLOCK_SHINGLES, STRIP = 1000, 1_000_000, 4096
+#: Slots, a power of two, of the table that orders the shingles of crowds (a byte each).
+SLOTS = 1 << 22
 
 _SIG = "doc_id long, text_key long, n_shingles long, set_key binary, sig binary"
 
@@ -373,44 +375,67 @@ def _open_links(docs: DataFrame, classes: DataFrame, opened: DataFrame, found: D
     return sets.mapInArrow(released(_sets), "region binary, side int, comp long, members binary").mapInArrow(released(_test_blocks(per_cent)), "a long, b long")
 
 
+def _keys(sets: list[np.ndarray], clusters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sizes of some sets, and one after another their shingles' keys within each set's cluster."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    salt = mixed_bits(clusters.astype(np.uint64) + np.uint64(1))
+    return sizes, mixed_bits(np.concatenate(sets) ^ np.repeat(salt, sizes)).view(np.int64)
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``node, comp, size, key`` for each shingle of each set; the key is of the shingle within the cluster."""
+    """``comp, key`` for each shingle of each set."""
     for batch in batches:
         sets = [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()]
-        at = 0
-        while at < len(sets):
-            end, n = at, 0
-            while end < len(sets) and (end == at or n + len(sets[end]) <= BLOCK_SHINGLES):
-                n += len(sets[end])
-                end += 1
-            sizes = np.array([len(x) for x in sets[at:end]])
-            salt = mixed_bits(batch.column(1).to_numpy()[at:end].astype(np.uint64) + np.uint64(1))
-            key = mixed_bits(np.concatenate(sets[at:end]) ^ np.repeat(salt, sizes))
-            node, comp = (np.repeat(batch.column(i).to_numpy()[at:end], sizes) for i in (0, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(comp), pa.array(np.repeat(sizes, sizes)), pa.array(key.view(np.int64))], names=["node", "comp", "size", "key"])
-            at = end
+        ends = np.cumsum([len(x) for x in sets]) // BLOCK_SHINGLES
+        for part in np.split(np.arange(len(sets)), np.flatnonzero(np.diff(ends)) + 1) if sets else []:
+            sizes, keys = _keys([sets[i] for i in part], batch.column(1).to_numpy()[part])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(2).to_numpy()[part], sizes)), pa.array(keys)], names=["comp", "key"])
+
+
+def _first_places(ranks, per_cent: int):
+    """``a, b``: each row with the shingles in its first places that several components have, as numbers below zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = ranks.value
+        for batch in batches:
+            nodes, shingles = [], []
+            for node, cluster, members in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3))):
+                _, keys = _keys([np.frombuffer(members, np.uint64)], np.array([cluster]))
+                rank = table[keys & (SLOTS - 1)]
+                common = keys[rank > 0]
+                places = 1 - (per_cent * len(keys) + 99) // 100 + len(common)  # first places less those of one component's own
+                if places > 0:
+                    first = common[np.lexsort((common, rank[rank > 0]))[:places]]
+                    nodes.append(np.full(len(first), node, np.int64))
+                    shingles.append(-1 - (first.view(np.uint64) >> np.uint64(1)).astype(np.int64))
+            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (nodes, shingles))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
 
 
 def _prefix_clusters(sets: DataFrame, per_cent: int) -> DataFrame:
     """``node, cluster``: rows of ``sets(node, cluster, comp, members)`` of different components that may be alike,
     in clusters outside which none is.
 
-    Shingles are put in one order: those of one component alone first, then rare ones of the cluster.
-    Two sets alike in ``per_cent`` share a shingle among the first size - least common size + 1 of
-    either, so rows are only connected over such shingles. Shingles of one component alone connect
-    nothing new, but take up the first places; rows whose first places they fill are left out. What
-    is exchanged is one narrow row a shingle, and shingles of very many rows are looked up by broadcast.
+    Shingles are put in one order: those of one component alone first, then by the power of two of
+    their count in the cluster. Two sets alike in ``per_cent`` share a shingle among the first
+    size - least common size + 1 of either, so rows are only connected over such shingles. Shingles of
+    one component alone connect nothing new, but take up the first places; rows whose first places
+    they fill are left out. The order is a table of SLOTS small numbers, whatever the input: shingles
+    that meet in a slot share its number, which any order allows, so a full table costs tests and
+    loses nothing. Counting exchanges one narrow row a shingle, summed before.
     """
-    tokens = sets.select("node", "cluster", "comp", "members").mapInArrow(released(_tokens), "node long, comp long, size long, key long")
+    tokens = sets.select("node", "cluster", "comp", "members").mapInArrow(released(_tokens), "comp long, key long")
     several = tokens.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    shared = persist_table(several.select("key", "n"), "crowd-shingles")
-    total = int(sets.agg(F.sum(F.length("members") / 8)).first()[0] or 0)
-    seen = hot_lookup(tokens.select("node", "size", "key"), shared, "key", "n", "n", total).where("n is not null")
-    own = seen.groupBy("node").agg(F.any_value("size").alias("size"), F.array_sort(F.collect_list(F.struct("n", "key"))).alias("common"))  # at most a text's own
-    places = F.col("size") - F.expr(f"({per_cent} * size + 99) div 100") + 1 - (F.col("size") - F.size("common"))
-    first = own.where(places > 0).select("node", F.explode(F.slice("common", F.lit(1), places.cast("int"))).alias("c"))
-    # shingles are nodes of the same graph, below zero
-    graph = connected_components(first.select(F.col("node").alias("a"), (F.lit(-1) - F.shiftrightunsigned("c.key", 1)).alias("b")))
+    slot = F.col("key").bitwiseAND(SLOTS - 1).alias("slot")
+    ranked = persist_table(several.groupBy(slot).agg(F.max(F.ceil(F.log2("n"))).cast("byte").alias("rank")), "crowd-shingles")
+    held = ranked.toArrow()  # at most SLOTS rows
+    table = np.zeros(SLOTS, np.uint8)
+    table[held["slot"].to_numpy()] = held["rank"].to_numpy()
+    ranks = sets.sparkSession.sparkContext.broadcast(table)
+    edges = sets.select("node", "cluster", "comp", "members").mapInArrow(released(_first_places(ranks, per_cent)), "a long, b long")
+    graph = connected_components(edges)  # shingles are nodes below zero
     return graph.where("node >= 0").select("node", F.col("component").alias("cluster"))
 
 
