@@ -287,14 +287,18 @@ def weakness_labels(spark, d):
     return table(spark, d, "orders").select("o_orderkey", S.weakness_label(classes, F.lit("CWE-9: x")).alias("label"), shown.alias("shown"))
 
 
-@query(
-    "SELECT id, string_agg(tag, ',' ORDER BY tag) AS tags FROM (VALUES "
-    + ", ".join(f"('{tag}', '{c}')" for tag, (_, classes) in K.PRESCAN_RULES.items() for c in classes)
-    + ") r(tag, id) GROUP BY 1"
-)
+_RULE_ROWS = ", ".join(f"('{tag}', '{c}')" for tag, (_, classes) in K.PRESCAN_RULES.items() for c in classes)
+
+
+@query(f"""
+WITH w AS (SELECT p_partkey, (p_partkey % 1100)::VARCHAR AS id FROM part), r AS (SELECT * FROM (VALUES {_RULE_ROWS}) r(tag, id))
+SELECT p_partkey, id, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM w JOIN r USING (id) GROUP BY 1, 2
+""")
 def tags_of_classes(spark, d):
-    """The tags that call for each weakness class."""
-    return R.rule_classes(spark).groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
+    """The tags that call for each catalog row's weakness class; rows whose class no rule names are left out."""
+    weaknesses = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 1100).cast("string").alias("id"))
+    rules = R.rule_classes(spark).groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
+    return weaknesses.join(F.broadcast(rules), "id").select("p_partkey", "id", "tags")
 
 
 @query("""
@@ -431,11 +435,11 @@ def lexical_match(spark, d):
 
 @query("""
 SELECT doc_id, '| ' || source || ' | ' || lang || ' | ' || doc_id || ' | `' || replace(CASE WHEN length(t) > 80 THEN substr(t, 1, 77) || '...' ELSE t END, '|', chr(92) || '|') || '` |' AS entry
-FROM (SELECT doc_id, source, lang, replace(substr(text, 1, 120), chr(10), '|') AS t FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL)
+FROM (SELECT doc_id, source, lang, replace(text, chr(10), '|') AS t FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL)
 """)
 def gap_rows(spark, d):
     """Rows of the coverage table, previews cut to eighty characters and bars escaped."""
     docs = table(spark, d, "documents").where("text is not null and lang is not null and source is not null")
-    text = F.translate(F.substring("text", 1, 120), "\n", "|")
+    text = F.translate("text", "\n", "|")
     gaps = docs.select(F.col("source").alias("file"), F.col("lang").alias("function"), F.col("doc_id").alias("line"), text.alias("content"))
     return report.gap_lines(gaps).select(F.col("line").alias("doc_id"), F.col("row").alias("entry"))

@@ -191,18 +191,18 @@ def embed_text(spark, d):
 
 
 @query("""
-WITH o AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 7 <> 0),
-n AS (SELECT doc_id, md5(CASE WHEN doc_id % 5 = 0 THEN text || ' edited' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0)
-SELECT CASE WHEN n.doc_id IS NULL THEN 'deleted' WHEN o.doc_id IS NULL THEN 'new' WHEN o.h = n.h THEN 'unchanged' ELSE 'changed' END AS state, count(*) AS n
-FROM o FULL JOIN n ON o.doc_id = n.doc_id GROUP BY 1
+WITH o AS (SELECT doc_id AS path, md5(text) AS h FROM documents),
+n AS (SELECT CASE WHEN doc_id % 7 = 0 THEN -doc_id - 1 ELSE doc_id END AS path, md5(CASE WHEN doc_id % 5 = 0 THEN text || ' edited' ELSE text END) AS h FROM documents)
+SELECT CASE WHEN n.path IS NULL THEN 'deleted' WHEN o.path IS NULL THEN 'new' WHEN o.h = n.h THEN 'unchanged' ELSE 'changed' END AS state, count(*) AS n
+FROM o FULL JOIN n ON o.path = n.path GROUP BY 1
 """)
 def md5_changes(spark, d):
-    """Two snapshots cut from the table as the SQL has it: some texts edited, some rows gone, some added; ids divisible by 77 are in neither."""
+    """How many files of two snapshots of the whole table are in each state; in the later one some ids moved and some texts were edited."""
     docs = table(spark, d, "documents")
     later = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
-    old = docs.where("doc_id % 7 <> 0").select(F.col("doc_id").alias("path"), F.md5("text").alias("md5"))
-    new = docs.where("doc_id % 11 <> 0").select(F.col("doc_id").alias("path"), F.md5(later).alias("md5"))
-    return R.compare_snapshots(old, new).groupBy("state").agg(F.count("*").alias("n"))
+    moved = F.when(F.col("doc_id") % 7 == 0, -F.col("doc_id") - 1).otherwise(F.col("doc_id"))
+    new = docs.select(moved.alias("path"), F.md5(later).alias("md5"))
+    return R.compare_snapshots(docs.select(F.col("doc_id").alias("path"), F.md5("text").alias("md5")), new).groupBy("state").agg(F.count("*").alias("n"))
 
 
 _COSINE = """

@@ -16,7 +16,7 @@ from lodestone.operators import lines as L
 from lodestone.operators import merging as M
 from lodestone.operators import retrieval as R
 from lodestone.operators.numbering import running_numbers
-from lodestone.plans import audit
+from lodestone.plans import audit, report
 from lodestone.plans.catalog import query, quoted, table
 from lodestone.sources import catalog_xml, stores
 from lodestone.sources.scratch import fresh_folder, written
@@ -281,3 +281,87 @@ def road_tally(spark, d):
     written(M.recall_union(events, ["task", "name"], observation=seen), "merged")
     tally = seen.get
     return spark.createDataFrame([(road, tally[road], tally["total"]) for road in M.ROADS], "road string, added long, total long")
+
+
+# --- quotas, single verdicts and reports -----------------------------------------------------------
+
+_NAMES_ASKED = 197
+
+
+@query(f"""
+WITH RECURSIVE e AS (
+  SELECT l_suppkey AS task_id, l_linenumber AS signal_ord, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS phase, l_orderkey * 10 + l_linenumber AS ord, l_partkey % {_NAMES_ASKED} AS name, l_orderkey % 5 AS file FROM lineitem),
+t AS (SELECT * FROM e WHERE phase = 0 UNION ALL SELECT task_id, signal_ord, phase, min(ord), name, file FROM e WHERE phase = 1 GROUP BY task_id, signal_ord, phase, name, file),
+n AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY signal_ord, phase, ord, name, file) AS i FROM t),
+k AS (SELECT l_suppkey AS task_id, list(DISTINCT l_partkey % {_NAMES_ASKED}) AS known FROM lineitem WHERE l_discount > 0.08 GROUP BY 1),
+s AS (
+  SELECT task_id, 0::BIGINT AS i, 0 AS added, 0 AS room, -1::BIGINT AS open, coalesce(known, []) AS names, false AS fresh FROM (SELECT DISTINCT task_id FROM e) LEFT JOIN k USING (task_id)
+  UNION ALL
+  SELECT task_id, i, added + (look AND other)::INT, room - phase, CASE WHEN phase = 1 THEN signal_ord ELSE open END, CASE WHEN look AND other THEN list_append(names, name) ELSE names END, look AND other
+  FROM (SELECT *, CASE WHEN phase = 1 THEN room > 0 ELSE added < {K.RESOURCE_LIMIT} END AS look
+    FROM (SELECT n.task_id, n.i, n.phase, n.signal_ord, n.name, s.added, s.open, s.names, NOT list_contains(s.names, n.name) AS other,
+        CASE WHEN n.phase = 1 AND s.open <> n.signal_ord THEN {K.RESOURCE_LIMIT} - s.added ELSE s.room END AS room
+      FROM s JOIN n ON n.task_id = s.task_id AND n.i = s.i + 1)))
+SELECT n.task_id, n.signal_ord, n.phase, n.ord, n.name, n.file FROM s JOIN n USING (task_id, i) WHERE fresh
+""")
+def quota_names(spark, d):
+    """Names that resource signals add to each task: known ones are free, usages are cut to what the quota has left."""
+    lines = table(spark, d, "lineitem").withColumn("name", F.col("l_partkey") % _NAMES_ASKED)
+    task = F.col("l_suppkey").alias("task_id")
+    events = lines.select(
+        task, F.col("l_linenumber").alias("signal_ord"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("phase"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), "name", (F.col("l_orderkey") % 5).alias("file"),
+    )
+    return R.resource_quota(events, lines.where("l_discount > 0.08").select(task, "name"))
+
+
+_JUDGED = """SELECT o_orderkey AS id, o_orderkey AS ord, 'src/' || o_custkey AS file, o_orderpriority AS function, CASE WHEN o_orderkey % 7 <> 0 THEN (o_orderkey % 5)::VARCHAR END AS cwe_id,
+  CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS cwe_name, CASE o_custkey % 3 WHEN 0 THEN [o_orderstatus, o_orderpriority] WHEN 1 THEN [o_orderstatus] ELSE [] END AS matched_cwes,
+  ['verified', 'needs_review', 'false_positive', 'pending'][o_orderkey % 4 + 1] AS verdict, CASE WHEN o_orderkey % 3 = 0 THEN 'caller' || o_custkey ELSE '' END AS entrypoint,
+  CASE WHEN o_orderkey % 5 > 0 THEN 'as ' || o_orderpriority END AS explanation, CASE WHEN o_custkey % 2 = 0 THEN 'class T' || o_custkey END AS struct_definitions FROM orders"""
+
+
+def _judged(spark, d) -> DataFrame:
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    text = customer.cast("string")
+    classes = F.when(customer % 3 == 0, F.array("o_orderstatus", "o_orderpriority")).when(customer % 3 == 1, F.array("o_orderstatus")).otherwise(F.array().cast("array<string>"))
+    verdict = F.element_at(F.array(*map(F.lit, ["verified", "needs_review", "false_positive", "pending"])), (key % 4 + 1).cast("int"))
+    return table(spark, d, "orders").select(
+        key.cast("string").alias("id"), key.alias("ord"), F.concat(F.lit("src/"), text).alias("file"), F.col("o_orderpriority").alias("function"), F.when(key % 7 != 0, (key % 5).cast("string")).alias("cwe_id"),
+        F.when(key % 2 == 0, F.col("o_orderstatus")).alias("cwe_name"), classes.alias("matched_cwes"), verdict.alias("verdict"), F.when(key % 3 == 0, F.concat(F.lit("caller"), text)).otherwise("").alias("entrypoint"),
+        F.when(key % 5 > 0, F.concat(F.lit("as "), "o_orderpriority")).alias("explanation"), F.when(customer % 2 == 0, F.concat(F.lit("class T"), text)).alias("struct_definitions"),
+    )
+
+
+@query(f"""
+WITH c AS ({_JUDGED}), m AS (SELECT max(id) AS id FROM c WHERE verdict = 'pending')
+SELECT c.id::VARCHAR AS id, CASE WHEN m.id IS NULL THEN verdict ELSE 'verified' END AS verdict, CASE WHEN m.id IS NULL THEN explanation ELSE 'seen' END AS explanation,
+  CASE WHEN m.id IS NULL THEN entrypoint ELSE 'main' END AS entrypoint, function FROM c LEFT JOIN m ON c.id = m.id
+""")
+def single_update(spark, d):
+    """All candidates after one verdict, for the pending one of the largest id; what is not given stays."""
+    judged = _judged(spark, d)
+    last = judged.where("verdict = 'pending'").agg(F.max("ord")).first()[0]  # one value
+    if last is not None:
+        judged = M.merge_verdict(judged, str(last), "verified", "seen", entrypoint="main", function=None)
+    return judged.select("id", "verdict", "explanation", "entrypoint", "function")
+
+
+@query(f"""
+WITH c AS ({_JUDGED}),
+v AS (SELECT l_orderkey AS id, string_agg(DISTINCT nullif(CASE WHEN l_linenumber = 1 THEN 'None' ELSE 'by ' || l_returnflag END, 'None'), '; ' ORDER BY nullif(CASE WHEN l_linenumber = 1 THEN 'None' ELSE 'by ' || l_returnflag END, 'None')) AS path,
+  string_agg(DISTINCT CASE WHEN l_tax > 0.04 THEN 'no ' || l_linestatus END, '; ' ORDER BY CASE WHEN l_tax > 0.04 THEN 'no ' || l_linestatus END) AS missing FROM lineitem GROUP BY 1)
+SELECT verdict AS bucket, ord, '### `' || function || '` (' || CASE len(matched_cwes) WHEN 2 THEN 'CWE-' || matched_cwes[1] || ' / CWE-' || matched_cwes[2] WHEN 1 THEN 'CWE-' || matched_cwes[1]
+    ELSE 'CWE-' || coalesce(cwe_id, '?') || ': ' || coalesce(cwe_name, '') END || ')' || {_NL} || '- File: file:///work/project/' || file
+  || CASE WHEN entrypoint <> '' THEN {_NL} || '- Entry point: ' || entrypoint ELSE '' END || CASE WHEN coalesce(explanation, '') <> '' THEN {_NL} || '- Explanation: ' || explanation ELSE '' END
+  || CASE WHEN verdict = 'verified' AND coalesce(path, '') <> '' THEN {_NL} || '- Attack path: ' || path ELSE '' END || CASE WHEN verdict = 'verified' AND struct_definitions IS NOT NULL THEN {_NL} || '- Types: ' || struct_definitions ELSE '' END
+  || CASE WHEN verdict = 'needs_review' AND coalesce(missing, '') <> '' THEN {_NL} || '- Missing evidence: ' || missing ELSE '' END AS text
+FROM c LEFT JOIN v USING (id) WHERE verdict <> 'pending'
+""")
+def report_entries(spark, d):
+    """The report's entry of every judged candidate; attack paths of verified ones, missing evidence of those to review."""
+    votes = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("candidate_id"), F.when(F.col("l_linenumber") == 1, "None").otherwise(F.concat(F.lit("by "), "l_returnflag")).alias("attack_path"),
+        F.when(F.col("l_tax") > 0.04, F.concat(F.lit("no "), "l_linestatus")).alias("missing"),
+    )
+    return report.report_lines(_judged(spark, d), votes, "/work/project")
