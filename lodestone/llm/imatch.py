@@ -123,15 +123,34 @@ def with_following(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     n = partitions_for(docs)
     bounds = sorted({int(x) for x in rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)}) if n > 1 else []
-    part = F.lit(0)
-    if bounds:  # ids above a bound lie in a later part; parts count downwards from the largest ids
-        part = F.lit(len(bounds)) - F.size(F.filter(F.lit(bounds), lambda b: b < F.col("doc_id")))
-    tops = sorted((r[0], r[1]) for r in rows.groupBy(part.alias("p")).agg(F.max("doc_id")).collect())
-    visits = F.array(part)
-    if tops:
-        host = {top: tops[i - 1][0] for i, (_, top) in enumerate(tops)}
-        guest = F.coalesce(*(F.when(F.col("doc_id") == top, F.lit(p)) for top, p in host.items()))
-        visits = F.array_compact(F.array(part, guest))
+    ends = rows.sparkSession.sparkContext.broadcast(np.array(bounds, np.int64))  # at most a number a part
+
+    def parts(ids: np.ndarray) -> np.ndarray:
+        """Ids above a bound lie in a later range; parts count downwards from the largest ids."""
+        return len(ends.value) - np.searchsorted(ends.value, ids)
+
+    @F.arrow_udf("long")
+    def part(ids: pa.Array) -> pa.Array:
+        return pa.array(parts(ids.to_numpy(zero_copy_only=False)), pa.int64())
+
+    tops = rows.groupBy(part("doc_id").alias("p")).agg(F.max("doc_id").alias("top")).orderBy("p").toArrow()  # one row a part
+    held, heads = (tops[c].to_numpy() for c in ("p", "top"))
+    order = rows.sparkSession.sparkContext.broadcast((held, heads))
+
+    @F.arrow_udf("array<long>")
+    def visited(ids: pa.Array) -> pa.Array:
+        """A row's own part and, for those of its largest id, the part before it (the last for the first)."""
+        held, heads = order.value
+        ids = ids.to_numpy(zero_copy_only=False)
+        own = parts(ids)
+        at = np.searchsorted(held, own)
+        twice = heads[at] == ids
+        starts = np.concatenate([[0], np.cumsum(1 + twice)])
+        out = np.repeat(own, 1 + twice)
+        out[starts[1:][twice] - 1] = held[at[twice] - 1]
+        return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(out, pa.int64()))
+
+    visits = visited("doc_id")
     return (
         rows.select(F.posexplode(visits).alias("guest", "part"), "doc_id", "text")
         .repartition(n, "part")

@@ -1,7 +1,10 @@
 import hashlib
+import math
 import random
+from collections import Counter
 
 import numpy as np
+import xxhash
 
 from lodestone.llm import imatch
 
@@ -52,3 +55,73 @@ def test_lexicon_is_the_idf_band(spark):
     rows = [(i, f"all {'half' if i % 2 else ''} only{i}") for i in range(100)]
     got = imatch.fit_lexicon(frame(spark, rows), low=0.02, high=0.6)
     assert got.tolist() == [imatch._hashes[b"half"]]
+
+
+ALL = 2**64 - 1
+
+
+def plain_mix(h):
+    h = (h ^ h >> 31) * 0x7FB5D329728EA185 & ALL
+    h = (h ^ h >> 27) * 0x81DADEF4BC2DD44D & ALL
+    return h ^ h >> 33
+
+
+def plain_fingerprint(text, lexicon):
+    """First level, hash of all terms, and a number for each level and subset, by whole numbers alone."""
+    hashes = {xxhash.xxh64_intdigest(t, seed=42) for t in text.encode().lower().split()}
+    hashes = hashes & lexicon or hashes
+    first = max(0, round(math.log2(max(1, len(hashes)))) - 1)
+    out = [first, plain_mix(sum(hashes) & ALL) >> 48 if hashes else 0]
+    for level in range(first, first + imatch.LEVELS):
+        for subset in range(1, imatch.SUBSETS + 1):
+            seed = plain_mix(subset * 0x9E3779B97F4A7C15 & ALL)
+            held = [o for o in (plain_mix(h ^ seed) for h in hashes) if o <= ALL >> level]
+            total = sum(map(plain_mix, held)) & ALL
+            out.append(plain_mix(total) >> 48 | 1 if total else 0)
+    return "".join(f"{x:04x}" for x in out)
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    x, y = ([int(f[i : i + 4], 16) for i in range(0, len(f), 4)] for f in (a, b))
+    best = None
+    for level in range(max(x[0], y[0]), min(x[0], y[0]) + imatch.LEVELS):
+        u, v = (f[2 + (level - f[0]) * imatch.SUBSETS :][: imatch.SUBSETS] for f in (x, y))
+        off = abs(sum(1 for p, q in zip(u, v) if p or q) - 0.6 * imatch.SUBSETS)
+        held = sum(1 for p in u if p) + sum(1 for q in v if q)
+        same = sum(1 for p, q in zip(u, v) if p == q and p)
+        if best is None or off < best[0]:
+            best = off, 2 * same / held if held else 0.0
+    return best[1] if best else 0.0
+
+
+def test_fingerprints_and_likeness_by_a_plain_version(spark):
+    rows = list(enumerate(corpus(150)))
+    texts = {i: t or "" for i, t in rows}
+    counts = Counter(w for t in texts.values() for w in set(t.encode().lower().split()))
+    n = len(texts)
+    band = {xxhash.xxh64_intdigest(w, seed=42) for w, c in counts.items() if max(1, imatch.LOW * n) <= c <= imatch.HIGH * n}
+    got = imatch.fingerprint_documents(frame(spark, rows)).collect()
+    assert len(got) == n
+    for r in got:
+        following = texts[r.doc_id - 1 if r.doc_id else n - 1]
+        own, other = plain_fingerprint(texts[r.doc_id], band), plain_fingerprint(following, band)
+        changed = plain_fingerprint(imatch.edited(texts[r.doc_id], following), band)
+        assert (r.fingerprint, r.edited_fingerprint) == (own, changed)
+        assert abs(r.near_edited - plain_likeness(own, changed)) < 1e-12 and abs(r.near_next - plain_likeness(own, other)) < 1e-12
+
+
+def test_the_plan_does_not_grow_with_the_parts(spark):
+    docs = spark.range(5000).selectExpr("id * 3 as doc_id", "concat('w', id % 97, ' v', id) as text")
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    plans = []
+    try:
+        for parts in (4, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            rows = imatch.with_following(docs)
+            plans.append(len(rows._jdf.queryExecution().toString()))
+            assert rows.count() == 5000 + len({r.part for r in rows.select("part").distinct().collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+    assert abs(plans[1] - plans[0]) < 200

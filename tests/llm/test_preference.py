@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -28,6 +29,34 @@ def test_gradient_matches_numbers():
     assert ((0 <= model.score(x)) & (model.score(x) <= 1)).all()
 
 
+def test_fit_and_score_by_a_plain_version():
+    """The loss is written out pair by pair; its slope at the fitted weights is none, and scores follow from the weights."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, p.FEATURES))
+    y = (x[:, 1] - x[:, 2] + rng.normal(size=120) > 0).astype(int)
+    model = p.fit(x, y, pairs=400)
+    z = [[min(8.0, max(-8.0, (v - m) / s)) for v, m, s in zip(row, x.mean(axis=0), x.std(axis=0))] for row in x]
+    rng = np.random.default_rng(p.SEED)
+    better, worse = rng.choice(np.flatnonzero(y == 1), 400), rng.choice(np.flatnonzero(y == 0), 400)
+    pairs = [[a - b for a, b in zip(z[i], z[j])] for i, j in zip(better, worse)]
+
+    def loss(w):
+        beaten = [sum(a * b for a, b in zip(d, w)) for d in pairs]
+        return sum(math.log1p(math.exp(-v)) for v in beaten) / len(pairs) + p.RIDGE / 2 * sum(v * v for v in w)
+
+    weights = model.weights.tolist()
+    for k in range(p.FEATURES):
+        up, down = ([v + e * (i == k) for i, v in enumerate(weights)] for e in (1e-4, -1e-4))
+        assert abs(loss(up) - loss(down)) / 2e-4 < 1e-5
+        assert min(loss(up), loss(down)) >= loss(weights) - 1e-12
+    strengths = [sum(a * b for a, b in zip(row, weights)) for row in z]
+    order = sorted(strengths)
+    threshold = (order[(y == 0).sum() - 1] + order[(y == 0).sum()]) / 2
+    for got, s in zip(model.score(x), strengths):
+        assert abs(got - 1 / (1 + math.exp(-(s - threshold) / model.spread) * 0.7 / 0.3)) < 1e-9
+        assert (got >= p.CUT) == (s >= threshold)
+
+
 def test_held_out_accuracy_and_inputs(spark):
     rows, labels = make(240)
     rows += [(1000, None, "a", 1), (1001, "", "b", 1), (None, "null id", "c", 1), (5, rows[5][1], "d", 1), (1002, "x" * 300_000, "e", 1)]

@@ -73,3 +73,19 @@ def test_filter_urls(spark):
     for i, u in enumerate(urls):
         host, path = url_filter.split_url(u)
         assert (got[i][2], got[i][3]) == (plain(url_filter.RULES, host, path) or (None, "allow"))
+
+
+def test_filter_urls_empty_repeated_and_very_long(spark):
+    schema = "page_id long, url string, host int"
+    assert url_filter.filter_urls(spark.createDataFrame([], schema)).count() == 0
+    long = "http://" + "a." * 50_000 + "example.org/en/1" + "/x" * 200_000
+    deep = "http://x.com/" + "de/" * 100_000
+    rows = [(1, long, 0), (1, long, 0), (2, deep, 0), (2, "http://x.com/de/", 0), (3, None, None), (3, None, None)]
+    got = sorted((r.page_id, r.host or "", r.path or "", r.rule or "", r.verdict) for r in url_filter.filter_urls(spark.createDataFrame(rows, schema)).collect())
+    want = []
+    for i, url, _ in rows:
+        host, path = url_filter.split_url(url)
+        rule, verdict = plain(url_filter.RULES, host, path) or (None, "allow")
+        want.append((i, host, path, rule or "", verdict))
+    assert got == sorted(want)
+    assert {(i, v) for i, _, _, _, v in got} == {(1, "block"), (2, "block"), (3, "allow")}
