@@ -60,3 +60,18 @@ def test_only_the_index_scan_pairs_everything(spark):
         plan = query(spark, DATA)._jdf.queryExecution().toString()
         if name not in ("cosine_topk", "cosine_floor", "recall_union_source"):
             assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+@needs_data
+def test_verdict_merge_of_tied_lines(spark, tmp_path):
+    """Of an order's lines with one number the first in the table counts, in whatever order its parts are read."""
+    os.symlink(f"{DATA}/orders.parquet", tmp_path / "orders.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view orders as select * from '{DATA}/orders.parquet'")
+    c.sql(f"create table lineitem as select l.* exclude (i) replace (1::INT as l_linenumber, ['R', 'A', 'N'][i % 3 + 1] as l_returnflag, (i % 9) / 100.0 as l_tax) from (select *, row_number() over () - 1 as i from '{DATA}/lineitem.parquet') l order by i")
+    (tmp_path / "lineitem.parquet").mkdir()  # Spark reads the larger file first
+    for name, part in ("a", "rowid < 1000"), ("b", "rowid >= 1000"):
+        c.sql(f"copy (select * from lineitem where {part} order by rowid) to '{tmp_path}/lineitem.parquet/{name}.parquet' (format parquet)")
+    c.sql(f"set threads = 1; create or replace table lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = catalog.queries()["verdict_merge"](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(c.sql(catalog.oracle_sql()["verdict_merge"]).df())
