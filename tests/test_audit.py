@@ -296,3 +296,54 @@ def test_lexical_lookup(spark):
         assert X.lookup(symbols, asked).count() == len(got)
     finally:
         X.QUERY_BLOCK = old
+
+
+def _shuffled(spark, run) -> int:
+    """Rows that ``run`` writes to shuffles."""
+    sc, jvm = spark.sparkContext, spark.sparkContext._jvm
+    none = sc._gateway.new_array(jvm.double, 0)
+
+    def stages():
+        return {s.stageId(): s.shuffleWriteRecords() for s in jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc._jsc.sc().statusStore().stageList(None, False, False, none, jvm.java.util.ArrayList()))}
+
+    before = set(stages())
+    run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(n for i, n in stages().items() if i not in before)
+
+
+def test_lexical_pairs_grow_with_names_not_rows(spark):
+    from lodestone.operators import lexical as X
+
+    names = ["red_ring", "redRing", "blue_ring", "ring"]
+    symbols = spark.range(3000).selectExpr("id AS file", f"element_at(array({', '.join(map(repr, names))}), int(id % 4) + 1) AS name", "1 AS line")
+    intents = spark.range(400).selectExpr("id AS intent_id", "if(id % 2 = 0, 'red ring', 'redRing') AS text")
+    asked, got = intents.withColumnRenamed("intent_id", "query_id"), []
+    assert _shuffled(spark, lambda: got.append(X.lookup(symbols, asked).collect())) < 5_000
+    assert _shuffled(spark, lambda: got.append(audit.lexical(symbols, intents).collect())) < 5_000
+    for rows, key, first in zip(got, ("query_id", "intent_id"), ([0, 1, 4, 5, 8], [0, 1, 4, 5, 8])):
+        assert len(rows) == 400 * 15
+        for q in (0, 398):
+            assert [r.file for r in sorted((r for r in rows if r[key] == q), key=lambda r: r.rank)][:5] == first
+    assert [r.file for r in sorted((r for r in got[0] if r.query_id == 1), key=lambda r: r.rank)] == list(range(1, 60, 4))
+
+
+def test_lexical_against_every_pair(spark):
+    """Symbols listed twice, queries of several texts and ties between names count as in the plain pairing."""
+    from collections import Counter
+
+    names = ["red_ring", "RedRing", "blue_ring_ring", "ringBlue", "old_plate", "plate", "x"]
+    listed = [(f"f{i % 23:02d}", names[i * 5 % 7], i % 3) for i in range(60)]
+    listed += listed[::6]
+    texts = [(i % 9, ["red ring", "blue plate ring", "ringBlue", "Old Plate", "none"][i * 3 % 5]) for i in range(14)]
+    words = lambda t: {w for w in __import__("re").split("[^a-z0-9]+", __import__("re").sub("([a-z0-9])([A-Z])", r"\1 \2", t).lower()) if len(w) > 2}
+    want = []
+    for q in sorted({q for q, _ in texts}):
+        asked, scores = Counter(w for k, t in texts if k == q for w in words(t)), {}
+        for s in listed:
+            scores[s] = scores.get(s, 0) + sum(asked[w] for w in words(s[1]))
+        best = sorted((-n, *s) for s, n in scores.items() if n)[:15]
+        want += [(q, f, n, line, -c, i + 1) for i, (c, f, n, line) in enumerate(best)]
+    symbols = spark.createDataFrame(listed, "file string, name string, line int")
+    got = audit.lexical(symbols, spark.createDataFrame(texts, "intent_id int, text string")).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
