@@ -26,7 +26,8 @@ _FUNCTIONS, _TYPES = 400, 40
 
 def _lines(spark, d) -> DataFrame:
     """``file, line_no, line``: headers, calls, types and mentions of four hundred functions."""
-    each = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    each = L.by_file(items, "l_orderkey", items.count()).groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
     name = lambda c, n: (F.col(c) % n).cast("string")
     forms = {
         1: ("def fn_", name("p", _FUNCTIONS), "(a):"), 2: ("    row = fn_", name("s", _FUNCTIONS), "(b)"), 3: ("    use(Type_", name("p", _TYPES), ")"),
@@ -107,9 +108,8 @@ SELECT name AS function, first_caller, CASE WHEN length(text) > {K.CONTEXT_CHARS
 def call_contexts(spark, d):
     """The call chain text of each function that candidates name: callers, the first three with their source, and callees with their files."""
     lines = _lines(spark, d)
-    symbols = L.first_symbols(L.symbols_of(lines), [F.col("line")])
-    sources = L.symbol_sources(symbols, lines)
-    return audit.contexts(_asked(spark, d), audit.call_edges(lines, symbols), sources, lines).select("function", "first_caller", "context")
+    symbols = L.symbols_of(lines)
+    return audit.contexts(_asked(spark, d), audit.call_edges(lines, symbols), L.first_symbols(symbols, [F.col("line")]), lines).select("function", "first_caller", "context")
 
 
 @query(f"""
@@ -210,7 +210,9 @@ def catalog_from_xml(spark, d):
         opt(always, "</Demonstrative_Example></Demonstrative_Examples><Potential_Mitigations><Mitigation>"), opt(key % 2 == 0, "<Phase>Design</Phase>"), opt(always, "<Phase>Build</Phase><Description>"),
         opt(key % 5 != 0, F.col("p_type")), opt(always, "</Description></Mitigation></Potential_Mitigations>"), opt(key % 11 != 0, "</Weakness>"),
     )
-    return catalog_xml.catalog_details(catalog_xml.parse_catalog(table(spark, d, "part").select(xml.alias("xml"), key.alias("ord"))))
+    part = table(spark, d, "part")
+    part = L.by_file(part, "p_partkey", part.count(), 100_000)  # a small file has many elements, which one task would parse
+    return catalog_xml.catalog_details(catalog_xml.parse_catalog(part.select(xml.alias("xml"), key.alias("ord"))))
 
 
 def _package_lines(spark, d) -> DataFrame:

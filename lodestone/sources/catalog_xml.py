@@ -42,8 +42,22 @@ def _trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+# Markup without tags, numeric references or characters that XML forbids or turns into others needs no parser.
+_PLAIN = r"\A(?:[\t\n\x20-\x25\x27-\x3B\x3D\x3F-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]|&(?!#))*+\z"
+
+
+def _text(markup: Column, path: str) -> Column:
+    """The text at ``path`` in ``markup``; where that is all one text, it is only decoded."""
+    text = F.coalesce(markup, F.lit(""))
+    plain = text
+    for name, sign in ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&"):
+        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(sign))
+    plain = F.when(F.contains(text, F.lit("&")), plain).otherwise(text)
+    return F.when(text.rlike(_PLAIN), plain).otherwise(F.xpath_string(_element(markup), F.lit(path)))
+
+
 def _first_text(markup: Column) -> Column:
-    return F.xpath_string(_element(markup), F.lit("/x/node()[1][self::text()]"))
+    return _text(markup, "/x/node()[1][self::text()]")
 
 
 def own_text(markup: Column) -> Column:
@@ -53,7 +67,7 @@ def own_text(markup: Column) -> Column:
 
 def plain_text(markup: Column) -> Column:
     """Text of mixed content: tags dropped, references decoded, ends trimmed."""
-    return _trimmed(F.xpath_string(_element(markup), F.lit("/x")))
+    return _trimmed(_text(markup, "/x"))
 
 
 def _paragraphs(markup: Column) -> Column:
@@ -77,17 +91,11 @@ def weaknesses(raw: DataFrame) -> DataFrame:
     consequences = F.transform(F.col("Common_Consequences.Consequence"), lambda x: F.struct(texts(x["Scope"]).alias("scopes"), texts(x["Impact"]).alias("impacts"), own_text(x["Note"]).alias("note")))
     attribute = lambda x, name: F.regexp_extract(x, rf'^<Example_Code\b[^>]*?\b{name}\s*=\s*"([^"]*)"', 1)
     inner = lambda x: plain_text(F.regexp_extract(x, r"(?s)^<Example_Code\b[^>]*>(.*)</Example_Code>$", 1))
-    examples = F.flatten(
-        F.transform(
-            F.col("Demonstrative_Examples.Demonstrative_Example"),
-            lambda e: F.transform(
-                F.filter(F.regexp_extract_all(e, F.lit(r"(?s)<Example_Code\b[^>]*>.*?</Example_Code>"), 0), lambda c: (attribute(c, "Nature") == "Bad") & (inner(c) != "")),
-                lambda c: F.struct(
-                    attribute(c, "Language").alias("language"), plain_text(F.regexp_extract(e, r"(?s)<Intro_Text\b[^>]*>(.*?)</Intro_Text>", 1)).alias("intro"), inner(c).alias("code")
-                ),
-            ),
-        )
+    example = lambda e, c: F.struct(
+        attribute(c, "Language").alias("language"), plain_text(F.regexp_extract(e, r"(?s)<Intro_Text\b[^>]*>(.*?)</Intro_Text>", 1)).alias("intro"), inner(c).alias("code")
     )
+    bad = lambda e: F.transform(F.filter(F.regexp_extract_all(e, F.lit(r"(?s)<Example_Code\b[^>]*>.*?</Example_Code>"), 0), lambda c: attribute(c, "Nature") == "Bad"), lambda c: example(e, c))
+    examples = F.filter(F.flatten(F.transform(F.col("Demonstrative_Examples.Demonstrative_Example"), bad)), lambda x: x["code"] != "")
     observed = F.transform(F.col("Observed_Examples.Observed_Example"), lambda x: F.struct(own_text(x["Reference"]).alias("cve"), own_text(x["Description"]).alias("description")))
     mitigations = F.filter(
         F.transform(F.col("Potential_Mitigations.Mitigation"), lambda x: F.struct(own_text(F.get(x["Phase"], F.lit(0))).alias("phase"), plain_text(x["Description"]).alias("description"))),
@@ -110,14 +118,15 @@ def weaknesses(raw: DataFrame) -> DataFrame:
 
 
 def _last_wins(rows: DataFrame) -> DataFrame:
-    w = Window.partitionBy("id").orderBy(F.desc("__ord"))
-    return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1 and id is not null").drop("__rn")
+    w = Window.partitionBy("_ID").orderBy(F.desc("__ord"))
+    return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1 and _ID is not null").drop("__rn")
 
 
 def _catalog_rows(rows: DataFrame, xml: str, order: str) -> DataFrame:
     doubled = F.replace(F.col(xml), F.lit("&"), F.lit("&amp;"))
-    read = rows.select(F.from_xml(doubled, XML_SCHEMA, {"mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false"}).alias("w"), F.col(order).cast("long").alias("__ord"))
-    return _last_wins(weaknesses(read.select("w.*", "__ord")))
+    # exploded, so that each element is parsed once, whatever is asked of it; texts are taken of the last of equal ids alone
+    read = F.explode(F.array(F.from_xml(doubled, XML_SCHEMA, {"mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false"})))
+    return weaknesses(_last_wins(rows.select(read.alias("w"), F.col(order).cast("long").alias("__ord")).select("w.*", "__ord")))
 
 
 def parse_catalog(rows: DataFrame, xml: str = "xml", order: str = "ord") -> DataFrame:
@@ -127,11 +136,11 @@ def parse_catalog(rows: DataFrame, xml: str = "xml", order: str = "ord") -> Data
 
 def catalog_details(catalog: DataFrame) -> DataFrame:
     """``id, part, pos, text``: scopes of consequences, bad examples and mitigations of each weakness as rows."""
-    scope = F.transform(F.flatten(F.transform("consequences", lambda c: c["scopes"])), lambda s: F.struct(F.lit("scope").alias("part"), s.alias("text")))
-    example = F.transform("demonstrative_examples", lambda e: F.struct(F.lit("example").alias("part"), F.concat_ws(": ", e["language"], e["code"]).alias("text")))
-    mitigation = F.transform("potential_mitigations", lambda m: F.struct(F.lit("mitigation").alias("part"), F.concat_ws(": ", m["phase"], m["description"]).alias("text")))
-    every = [catalog.select("id", F.posexplode(c).alias("pos", "d")) for c in (scope, example, mitigation)]
-    return every[0].unionByName(every[1]).unionByName(every[2]).select("id", "d.part", F.col("pos").cast("long").alias("pos"), "d.text")
+    row = lambda part, text, i: F.struct(F.lit(part).alias("part"), i.cast("long").alias("pos"), text.alias("text"))
+    scopes = F.transform(F.flatten(F.transform("consequences", lambda c: c["scopes"])), lambda s, i: row("scope", s, i))
+    examples = F.transform("demonstrative_examples", lambda e, i: row("example", F.concat_ws(": ", e["language"], e["code"]), i))
+    mitigations = F.transform("potential_mitigations", lambda m, i: row("mitigation", F.concat_ws(": ", m["phase"], m["description"]), i))
+    return catalog.select("id", F.explode(F.concat(scopes, examples, mitigations)).alias("d")).select("id", "d.part", "d.pos", "d.text")
 
 
 def load_catalog(spark: SparkSession, path: str, language: str = "cpp") -> DataFrame:

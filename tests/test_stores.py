@@ -186,3 +186,27 @@ def test_nearest_rows(spark):
     assert {(r.intent_id, r.name) for r in got if r.intent_id > 90} == {(98, "short")}
     plan = R.cosine_top_k(index, asked, 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("MapInArrow") == 2  # one step for each length of vector
+
+
+def test_catalog_texts_without_a_parser(spark):
+    """What is decoded without a parser is what XPath makes of it; only markup with tags and the like goes to the parser."""
+    from pyspark.sql import functions as F
+
+    from lodestone.sources import catalog_xml as C
+
+    texts = ["", "a", " a\tb\nc ", "&lt;b&gt;", "&amp;lt;", "&amp;amp;", "&quot;&apos;", "a & b", "&&amp;", "&x;", "&#65;", "&#x41;b", "a\r\nb", "é一\U0001f600", "<i>x</i>y", "y<i>x</i>", "a > b", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    element = C._element(F.col("t"))
+    want = rows.select(F.xpath_string(element, F.lit("/x")), F.xpath_string(element, F.lit("/x/node()[1][self::text()]"))).collect()
+    got = rows.select(C._text(F.col("t"), "/x"), C._text(F.col("t"), "/x/node()[1][self::text()]")).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
+
+
+def test_catalog_details_read_the_elements_once(spark):
+    from pyspark.sql import functions as F
+
+    from lodestone.sources import catalog_xml as C
+
+    rows = spark.range(3).select(F.lit('<Weakness ID="1" Name="n"></Weakness>').alias("xml"), F.col("id").alias("ord"))
+    plan = C.catalog_details(C.parse_catalog(rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1
