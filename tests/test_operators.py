@@ -229,3 +229,21 @@ def test_callers_fall_back(spark):
     got = M.neighbours(spark.createDataFrame(rows, "src string, dst string, file string, ord int, is_fallback boolean")).collect()
     by = {d: [r.src for r in got if r.dst == d] for d in "xyz"}
     assert by["x"] == ["a"] and by["y"] == ["c"] and len(by["z"]) == 10
+
+
+def test_header_forms_as_one_pattern(spark):
+    """The one pattern for all header forms names what the forms tried one by one do."""
+    rng, bits = random.Random(3), ["def", "func", "function", "const", "let", "async", "=>", "=", "(", ")", "*", " ", "  ", "\t", "foo", "b_1", "é", ":", "return", "if", "int", "(a)", "fn("]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 9))) for _ in range(3000)] + ["func (s *T) run()", "const f = async (a) => 1", "static int * go (void)", "def x", "defx(", "def fooé("]
+    first = lambda forms: F.coalesce(*(F.nullif(F.regexp_extract("t", p, 1), F.lit("")) for p in forms))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select("t", S.header_name(F.col("t")), S.defined_name(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in rows.select("t", first(K.HEADERS), first(K.HEADERS[:4])).collect()]
+    strict = F.when(~F.col("t").rlike(r"^\s*(return|else|if|for|while|switch|case|throw|new|await|yield|do|goto|delete|not|and|or|in|raise|assert|print)\b") & ~first(K.HEADERS[4:]).isin("if", "for", "while", "switch", "return", "catch", "sizeof"), first(K.HEADERS[4:]))
+    assert rows.select(S.header_name(F.col("t"), True)).collect() == rows.select(F.coalesce(first(K.HEADERS[:4]), strict)).collect()
+
+
+def test_usages_read_lines_once(spark):
+    rows = spark.range(5).selectExpr("id AS file", "id AS line_no", "'x = eval(a)' AS line")
+    plan = L.usages(rows, ["eval"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1 and L.by_file(rows, "file", 50_000_000)._jdf.queryExecution().toString().count(", 50") >= 1
