@@ -20,6 +20,9 @@ BUCKETS, PER_ROOT, PSEUDO, SHRINK = 1 << 14, 46, 1.0, 200.0
 #: Up to so many buckets the ratios are one literal, up to so many one array that tasks hold (256 MB at most);
 #: beyond, a joined table.
 LITERAL, HELD = 1 << 17, 1 << 25
+#: N-grams that a task counts for each bucket, where there are more tasks than cores; so at most one row for so many
+#: n-grams is shuffled, however many files the table has.
+FILL = 32
 #: Trusted ids that are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: A document is kept when its mean log-likelihood ratio per n-gram is at least this.
@@ -104,11 +107,18 @@ def base_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def bucket_count(df: DataFrame, text_col: str = "text") -> int:
     """Buckets for the n-grams of ``df``: PER_ROOT times the square root of their count, BUCKETS at least."""
-    words = F.size(words_of(F.col(text_col).cast("string"))).cast("long")
-    total = df.agg(F.sum(F.greatest(2 * words - 1, F.lit(0)))).first()[0] or 0
+    return _buckets_for(ngram_count(df, text_col))
+
+
+def _buckets_for(total: int) -> int:
     return max(BUCKETS, PER_ROOT * math.isqrt(total))
 
 
+def ngram_count(df: DataFrame, text_col: str = "text") -> int:
+    words = F.size(words_of(F.col(text_col).cast("string"))).cast("long")
+    return df.agg(F.sum(F.greatest(2 * words - 1, F.lit(0)))).first()[0] or 0
+
+
 @dataclass
 class Ratios:
     """Log ratios of ``buckets`` buckets as a table ``b, ratio``; a bucket without a row has ratio 0."""
@@ -132,14 +142,17 @@ def fit_ratios(
     buckets grow with the n-grams unless given. Up to LITERAL of them the ratios are a list; more
     stay a table. Without trusted documents every ratio is 0.
     """
-    buckets = buckets or bucket_count(df, text_col)
+    total = ngram_count(df, text_col)
+    buckets = buckets or _buckets_for(total)
     marks = trusted.select(F.col(id_col).cast("long").alias("__id")).where("__id is not null").distinct().withColumn("__trusted", F.lit(1))
     # both sides grow with the corpus: only few ids are broadcast, which spares a shuffle of the texts
     how = "broadcast" if marks.count() <= BROADCAST_IDS else "merge"
     rows = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     marked = rows.join(marks.hint(how), "__id", "left")
+    # a task hands on a row for each bucket it meets; so it takes FILL n-grams a bucket, unless cores would idle
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, total // (FILL * buckets))
     counted = (
-        marked.select(F.explode(ngram_buckets(words_of(F.col("__text")), buckets)).alias("b"), "__trusted")
+        marked.coalesce(tasks).select(F.explode(ngram_buckets(words_of(F.col("__text")), buckets)).alias("b"), "__trusted")
         .groupBy("b")
         .agg(F.count("*").alias("raw"), F.count("__trusted").alias("target"))
     )

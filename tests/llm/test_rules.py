@@ -111,3 +111,22 @@ def test_tables_give_the_ratios_of_the_literal(spark, texts, monkeypatch, held):
     assert len(got) == len(texts) and set(judged.columns) == set(want[0].asDict())
     for r in got:
         assert r.ratio == pytest.approx(want[r.doc_id].ratio, abs=1e-9) and r.kept == want[r.doc_id].kept
+
+
+def test_counts_do_not_grow_with_the_files(spark, texts):
+    """Bucket counts are shuffled a row for FILL n-grams or for each core's task and bucket at most, not for each part of the table."""
+    docs = frame(spark, [" ".join(f"w{i * k}" for i in range(400)) for k in range(1, 65)]).repartition(64).cache()
+    trusted = spark.createDataFrame([(i,) for i in range(12, 60)], "doc_id long")
+    assert docs.count() == 64 == docs.rdd.getNumPartitions()
+    gateway, jvm = spark.sparkContext._gateway, spark._jvm
+
+    def written():
+        store = spark.sparkContext._jsc.sc().statusStore()
+        stages = store.stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = written()
+    got = q.fit_ratios(docs, trusted, buckets=64)
+    most = max(n for stage, n in written().items() if stage not in before)
+    assert most <= max(spark.sparkContext.defaultParallelism * 64, 64 * 799 // q.FILL)
+    assert got == pytest.approx(q.fit_ratios(docs.coalesce(1), trusted, buckets=64))
