@@ -23,12 +23,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType
 
-from lodestone.llm.common import array_literal, let, partitions_for, persist_table
+from lodestone.llm.common import array_literal, let, partitions_for, persist_table, released, row_slices
 
 #: Words of more bytes are folded with a heap outside Spark: the array fold is quadratic in a word.
 LONG_WORD = 8192
 #: Chunks and words of a task remembered before both steps forget them, and words handed on in one row.
 REMEMBERED, REMEMBERED_WORDS, WORDS_A_ROW = 200_000, 300_000, 2000
+#: Bytes of texts, or of their chunks' numbers, that a step holds as Python objects and hands on at once.
+SLICE = 1 << 21
 #: Chunks, at most, whose words are folded for the whole table; the least they occur; their most characters.
 COMMON, LEAST_COMMON, LONGEST_COMMON = 500_000, 4, 48
 #: Bits of an id, a place in a word and a pair's rank in a piece of the fold's state, and what stands for no rank.
@@ -227,8 +229,8 @@ def _gatherer(pattern_: str, known: Callable[[], list[str]] = list):
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_FIELDS)], schema=_FIELDS)
 
         size = 0
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for part in (part for batch in batches for part in row_slices(batch, 1, SLICE)):
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 text = text or ""
                 parts = _cut.split(text) if _rough.search(text) else text.split(" ")
                 head, rest = parts[0], parts[1:]
@@ -259,7 +261,7 @@ def _gatherer(pattern_: str, known: Callable[[], list[str]] = list):
 def _assembler(batches: Iterator[pa.RecordBatch], known: list[bytes] = [], pieces: list[bytes] | None = None) -> Iterator[pa.RecordBatch]:  # noqa: B006
     words: list[bytes] = list(known)
     chunks: list[bytes] = []
-    for batch in batches:
+    for batch in (part for batch in batches for part in row_slices(batch, batch.schema.get_field_index("refs"), SLICE)):
         names, ids = [], []
         col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
         docs, refs, forget, forget_words = (col[n].to_pylist() for n in ("doc_id", "refs", "forget", "forget_words"))
@@ -364,13 +366,13 @@ def encode(
     words, ids = common_words(rows, ranks, pattern_, tables)
     known, known_ids, long_ranks = send(words), send(ids), send(ranks)
     pieces = send(_pieces(ranks)) if decoded else None
-    gathered = rows.mapInArrow(_gatherer(pattern_, lambda: known.value), _GATHERED)
+    gathered = rows.mapInArrow(released(_gatherer(pattern_, lambda: known.value)), _GATHERED)
     folded = F.transform("words", lambda w: F.when(F.length(w) <= LONG_WORD, fold_word(w, tables)))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _assembler(_completed(batches, long_ranks), known_ids.value, pieces and pieces.value)
 
-    return gathered.withColumn("ids", folded).mapInArrow(assemble, "doc_id long, ids binary" + (", decoded binary" if decoded else ""))
+    return gathered.withColumn("ids", folded).mapInArrow(released(assemble), "doc_id long, ids binary" + (", decoded binary" if decoded else ""))
 
 
 def _completed(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:

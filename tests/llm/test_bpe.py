@@ -84,3 +84,16 @@ def test_displaced_tables():
             at = shift[a] + b
             got = ranks[at] if 0 <= at < len(owner) and owner[at] == a else None
             assert got == cells.get((a, b))
+
+
+def test_steps_hand_on_bounded_batches(monkeypatch):
+    """However many rows a batch has, texts are taken and results handed on in small parts."""
+    pa = __import__("pyarrow")
+    monkeypatch.setattr(bpe, "SLICE", 4000, raising=False)
+    fields = [*bpe._FIELDS, pa.field("ids", pa.list_(pa.list_(pa.int32())))]
+    rows = [{"words": ["ab"], "forget": False, "forget_words": False, "chunks": np.array([0], "<i4").tobytes(), "lengths": np.array([1], "<i4").tobytes(), "ids": [[7]]}]
+    rows += [{"doc_id": i, "refs": np.zeros(500, "<i4").tobytes()} for i in range(100)]
+    batch = pa.Table.from_pylist(rows, pa.schema(fields)).combine_chunks().to_batches()
+    out = list(bpe._assembler(iter(batch)))
+    assert max(b.num_rows for b in out) <= 3
+    assert [(r["doc_id"], r["ids"]) for b in out for r in b.to_pylist()] == [(i, np.full(500, 7, "<u4").tobytes()) for i in range(100)]
