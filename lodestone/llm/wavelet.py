@@ -50,7 +50,7 @@ def write_matrix(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> b
         totals.append(int(ones.sum()))
         raw = plane.tobytes()
         frames += [pack(raw[i : i + BLOCK]) for i in starts.tolist()]
-        a = np.concatenate([a[~one], a[one]])
+        a = np.concatenate([a.compress(~one), a.compress(one)])  # several times as fast as by a mask
     ends = np.cumsum([len(f) for f in frames])
     body = b"".join([docs, *(np.asarray(x, "<u4").tobytes() for x in (*before, totals, ends)), *frames])
     return HEAD.pack(MAGIC, len(ids), len(doc_ids), bits, len(docs), zlib.crc32(body)) + body
@@ -168,8 +168,8 @@ class WaveletMatrix:
         for level in range(self.bits - 1, -1, -1):
             one = self._plane(level).view(bool)
             up = np.empty_like(a)
-            up[~one] = a[: self.zeros[level]]
-            up[one] = a[self.zeros[level] :] | a.dtype.type(1 << (self.bits - 1 - level))
+            up[np.flatnonzero(~one)] = a[: self.zeros[level]]
+            up[np.flatnonzero(one)] = a[self.zeros[level] :] | a.dtype.type(1 << (self.bits - 1 - level))
             a = up
         return a
 
