@@ -88,9 +88,9 @@ def pack_documents(
             names, docs, tokens = [], [], 0
 
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for name, ids in zip(batch.column(0).to_pylist(), encoder.encode_each(batch.column(1).to_pylist())):
                 names.append(name)
-                docs.append(encoder.encode(text) + end)
+                docs.append(ids + end)
                 tokens += len(docs[-1]) // 4
                 if tokens >= BLOCK_TOKENS:
                     yield from block()

@@ -1,13 +1,16 @@
 """Whole-text encoding with the tokenizers library, each distinct chunk once.
 
-Byte-level BPE never merges across a space that a non-space follows, so a text may be cut there
-and the ids of its chunks joined. A worker keeps a bounded store of the chunks it has met; the
-library itself encodes every new one. The results equal encoding the whole text at once.
+Byte-level BPE never merges across a space or a line end that a non-space follows, so a text may be
+cut there and the ids of its chunks joined. A worker keeps a bounded store of the chunks it has met;
+the library itself encodes every new one. The results equal encoding the whole text at once.
 """
 
 from __future__ import annotations
 
+import os
 import re
+from collections.abc import Iterable, Iterator
+from itertools import filterfalse
 from pathlib import Path
 
 import numpy as np
@@ -15,93 +18,169 @@ import numpy as np
 #: Chunks in a generation of a worker's store (it keeps two), and the longest that is kept. On 46 MB of text 600,000
 #: took 24.2 CPU seconds and a process of 292 MB, 200,000 took 23.6 and 195, 100,000 took 29.6.
 STORE, LONGEST = 200_000, 48
+#: Characters of texts that are looked up together: their new chunks are one call of the library.
+PART = 250_000
 #: ASCII marks; after letters they are a match of the pattern by themselves.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _rough = re.compile(r" (?=\s|$)")
 _cut = re.compile(r" (?=\S)")
+_wide = re.compile(r"[^\x00-\xff]")
+
+_shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The characters that stand for the 256 bytes in a byte-level vocabulary, and those of each Latin-1 character in UTF-8.
+BYTES = {b: chr(b) for b in _shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _shown)}
+LATIN = {c: "".join(BYTES[b] for b in chr(c).encode()) for c in range(256)}
+_byte_of = {c: b for b, c in BYTES.items()}
+
+
+def joins_words(piece: str) -> bool:
+    """Whether a piece of the vocabulary reaches over a space or a line end and holds more than white space."""
+    if not ({"Ġ", "Ċ"} & set(piece[1:]) or piece[:1] == "Ċ" and len(piece) > 1):
+        return False
+    raw = bytes(_byte_of[c] for c in piece if c in _byte_of)
+    return not raw.decode("utf-8", "replace").isspace()
+
+
+def cut(text: str) -> list[str]:
+    """Chunks of a text. All but the first stand after a space that is left out, or begin with a line end.
+
+    A chunk that is empty or begins with other white space shows that the text must be cut by ``_cut``.
+    """
+    if "\n\n" in text or "\n " in text or text.endswith("\n"):
+        return _cut.split(text) if _rough.search(text) else text.split(" ")
+    return text.replace("\n", " \n").split(" ")
+
+
+def spaced(chunk: str) -> str:
+    """A chunk as it stands in its text."""
+    return chunk if chunk[0] == "\n" else " " + chunk
+
+
+def odd(chunk: str) -> bool:
+    return not chunk or chunk[0].isspace() and (chunk[0] != "\n" or not chunk[1:2] or chunk[1].isspace())
 
 
 class ChunkEncoder:
-    """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers."""
+    """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers, ``encode_each(texts)`` those of each text."""
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; waking the library's threads costs more
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         vocab = self.tokenizer.get_vocab()
-        self.spaced = np.zeros(max(vocab.values()) + 1, bool)
+        self.begins = np.zeros(max(vocab.values()) + 1, bool)
         for piece, i in vocab.items():
-            self.spaced[i] = piece.startswith("Ġ")
+            self.begins[i] = piece.startswith("Ġ") or piece == "Ċ"
+        #: The model without the pattern: alike on letters between single spaces or line ends, if no piece joins them.
+        self.words = None if any(map(joins_words, vocab)) else Tokenizer(self.tokenizer.model)
         self.store: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        self.heads: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _kept(self, store: dict[str, bytes], text: str) -> bytes:
+        """The ids of a short text by itself, from a small store."""
+        ids = store.get(text)
+        if ids is None:
+            ids = self._ids(text)
+            if len(text) <= LONGEST:
+                if len(store) > STORE:
+                    store.clear()
+                store[text] = ids
+        return ids
 
     def _learn(self, missing: set[str]) -> None:
         """Store the ids of chunks that the store lacks."""
         store, older = self.store, self.older
-        if older:
-            known = [p for p in missing if p in older]
-            store.update((p, older[p]) for p in known)
-            missing = missing.difference(known)
-        new, compound = [], []
-        for p in missing:
+        known = older.keys() & missing
+        store.update(zip(known, map(older.__getitem__, known)))
+        missing = missing - known
+        words, compound, others = dict.fromkeys(filter(str.isalpha, missing)), [], []
+        for p in filterfalse(str.isalpha, missing):
             base = p.rstrip(MARKS)
-            if base != p and base.isalpha():  # letters, then marks: two matches
+            if not base[base[:1] == "\n" :].isalpha():
+                others.append(p)
+                continue
+            if base != p:  # letters, then marks: two matches
                 compound.append((p, base))
-                if base in store:
-                    continue
-                if base in older:
-                    store[base] = older[base]
-                    continue
-                if base in missing:
-                    continue
-                p = base
-            new.append(p)
-        self._encode_new(list(dict.fromkeys(new)))
+            if base in older:
+                store[base] = older[base]
+            elif base not in store:
+                words[base] = None
+        self._learn_words(list(words))
         for p, base in compound:
-            tail = p[len(base) :]
-            if tail not in self.marks:
-                if len(self.marks) > STORE:
-                    self.marks.clear()
-                self.marks[tail] = self._ids(tail).tobytes()
-            store[p] = store[base] + self.marks[tail]
-
-    def _encode_new(self, new: list[str]) -> None:
+            store[p] = store[base] + self._kept(self.marks, p[len(base) :])
+        self._encode_new(others, self.tokenizer, str)
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Chunks of letters, perhaps after a line end; the model needs no pattern for those of Latin-1."""
+        text = "".join(words)
+        if self.words is None:
+            self._encode_new(words, self.tokenizer, str)
+        elif text.isascii():
+            self._encode_new(words, self.words, lambda x: x.replace(" ", "Ġ").replace("\n", "Ċ"))
+        else:
+            self._encode_new(list(filter(_wide.search, words)), self.tokenizer, str)
+            self._encode_new(list(filterfalse(_wide.search, words)), self.words, lambda x: x.translate(LATIN))
+
+    def _encode_new(self, new: list[str], tokenizer, spelt) -> None:
         if not new:
             return
-        store = self.store
-        ids = self._ids(" " + " ".join(new))
-        starts = np.flatnonzero(self.spaced[ids])
+        text = spelt("".join(map(spaced, new)))
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        starts = np.flatnonzero(self.begins[ids])
         if len(starts) == len(new):
             raw, at = ids.tobytes(), (4 * starts).tolist()
-            at.append(len(raw))
-            for i, p in enumerate(new):
-                store[p] = raw[at[i] : at[i + 1]]
+            self.store.update(zip(new, map(raw.__getitem__, map(slice, at, [*at[1:], None]))))
         else:
-            for p in new:
-                store[p] = self._ids(" " + p).tobytes()
+            self.store.update((p, self._ids(spaced(p))) for p in new)
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        parts = _cut.split(text) if _rough.search(text) else text.split(" ")
-        head, rest = self._ids(parts[0]).tobytes(), parts[1:]
+    def _encode_part(self, texts: list[str], how=cut) -> Iterator[bytes]:
         if len(self.store) > STORE:
             self.store, self.older = {}, self.store
-        missing = set(rest).difference(self.store)
-        get = self.store.__getitem__
-        if missing:
-            long = {p: self._ids(" " + p).tobytes() for p in missing if len(p) > LONGEST}
-            if long:
-                missing = missing.difference(long)
-                get = lambda p: long[p] if p in long else self.store[p]
-            self._learn(missing)
-        return head + b"".join(map(get, rest))
+        heads, chunks, ends = [], [], []
+        for text in texts:
+            head, *rest = how(text)
+            heads.append(head)
+            chunks += rest
+            ends.append(len(chunks))
+        found = list(map(self.store.get, chunks))
+        places = [i for i, ids in enumerate(found) if ids is None]
+        missing = {chunks[i] for i in places}
+        rough = set(filter(odd, filterfalse(str.isalpha, missing)))
+        missing -= rough
+        long = {p: self._ids(spaced(p)) for p in missing if len(p) > LONGEST}
+        self._learn(missing.difference(long))
+        get = (lambda p: long.get(p) or self.store.get(p)) if long else self.store.get
+        for i in places:
+            found[i] = get(chunks[i])
+        at = 0
+        for text, head, end in zip(texts, heads, ends):
+            if rough and not rough.isdisjoint(chunks[at:end]):
+                yield from self._encode_part([text], _cut.split)
+            else:
+                yield self._kept(self.heads, head) + b"".join(found[at:end])
+            at = end
+
+    def encode_each(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text in turn; a null has none."""
+        part, size = [], 0
+        for text in texts:
+            part.append(text or "")
+            size += len(part[-1])
+            if size >= PART:
+                yield from self._encode_part(part)
+                part, size = [], 0
+        yield from self._encode_part(part)
+
+    def encode(self, text: str | None) -> bytes:
+        return next(self.encode_each([text]))
 
 
 _encoders: dict[int, ChunkEncoder] = {}

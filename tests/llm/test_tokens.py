@@ -4,9 +4,9 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
-from lodestone.llm import packing, wavelet
+from lodestone.llm import packing, tokens, wavelet
 from lodestone.llm.tokens import ChunkEncoder, tokenizer_file
 
 ODD = [
@@ -30,6 +30,49 @@ def test_chunks_equal_whole_texts(library):
             assert np.frombuffer(encoder.encode(x), "<u4").tolist() == library(x), repr(x)
 
 
+def test_line_ends_letters_and_small_stores(library, monkeypatch):
+    monkeypatch.setattr(tokens, "STORE", 40)
+    monkeypatch.setattr(tokens, "PART", 60)
+    encoder, rng = ChunkEncoder(tokenizer_file()), random.Random(5)
+    kinds = [" \n ab", "\n a.b", " \n\tab\r", "é \nñçœÿªµº×÷ x", "\xa0 \n\x85a\x1cЖ字 ", " \n\xa0Ж"]
+    texts = ["".join(rng.choice(kinds[i % 6]) for _ in range(rng.randrange(40))) for i in range(3000)]
+    texts += ["one.\nTwo, three.\nOne", "a\n\nb \nc", " \n\n\nb", "x" * 100 + "\n" + "y" * 100 + " z", *ODD]
+    got = list(encoder.encode_each(texts))
+    assert len(got) == len(texts)
+    for x, ids in zip(texts, got):
+        assert np.frombuffer(ids, "<u4").tolist() == library(x), repr(x)
+
+
+class Counted:
+    def __init__(self, tokenizer):
+        self.tokenizer, self.calls = tokenizer, 0
+
+    def encode_batch_fast(self, *args, **more):
+        self.calls += 1
+        return self.tokenizer.encode_batch_fast(*args, **more)
+
+
+def test_new_words_of_many_texts_share_calls(library):
+    """A call of the library a text, with its pattern, was most of the time of op3 and op10."""
+    encoder = ChunkEncoder(tokenizer_file())
+    encoder.tokenizer, encoder.words = Counted(encoder.tokenizer), Counted(encoder.words)
+    letters = "abcdeéß"
+    texts = ["In " + " ".join(letters[i % 7] + letters[i // 7 % 7] + letters[i // 49 % 7] + letters[j] for j in range(7)) + ".\nIn it" for i in range(343)]
+    for x, ids in zip(texts, encoder.encode_each(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == library(x)
+    assert encoder.tokenizer.calls + encoder.words.calls < 10
+
+
+def test_pieces_that_join_words():
+    """Where a piece reaches over a space, words keep the pattern."""
+    made = Tokenizer(models.BPE({"a": 0, "b": 1, "Ġ": 2, "Ċ": 3, "aĠ": 4, "aĠb": 5, "Ġb": 6}, [("a", "Ġ"), ("aĠ", "b"), ("Ġ", "b")]))
+    made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    encoder = ChunkEncoder(made.to_str())
+    assert encoder.words is None and ChunkEncoder(tokenizer_file()).words is not None
+    for x in ("a b a b", "b a b\na b", "ab ba\nab"):
+        assert np.frombuffer(encoder.encode(x), "<u4").tolist() == made.encode(x).ids
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_packing_core(seed):
     lengths = np.random.default_rng(seed).integers(1, 6000, 200)
