@@ -64,7 +64,7 @@ def odd(chunk: str) -> bool:
 class ChunkEncoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers, ``encode_each(texts)`` those of each text."""
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, store: int | None = None):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; waking the library's threads costs more
@@ -76,6 +76,7 @@ class ChunkEncoder:
             self.begins[i] = piece.startswith("Ġ") or piece == "Ċ"
         #: The model without the pattern: alike on letters between single spaces or line ends, if no piece joins them.
         self.words = None if any(map(joins_words, vocab)) else Tokenizer(self.tokenizer.model)
+        self.limit = store or STORE
         self.store: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
@@ -142,7 +143,7 @@ class ChunkEncoder:
             self.store.update((p, self._ids(spaced(p))) for p in new)
 
     def _encode_part(self, texts: list[str], how=cut) -> Iterator[bytes]:
-        if len(self.store) > STORE:
+        if len(self.store) > self.limit:
             self.store, self.older = {}, self.store
         heads, chunks, ends = [], [], []
         for text in texts:
@@ -183,14 +184,14 @@ class ChunkEncoder:
         return next(self.encode_each([text]))
 
 
-_encoders: dict[int, ChunkEncoder] = {}
+_encoders: dict[tuple[int, int | None], ChunkEncoder] = {}
 
 
-def encoder_for(tokenizer_json: str) -> ChunkEncoder:
-    """The worker's encoder for a tokenizer file's content."""
-    key = hash(tokenizer_json)
+def encoder_for(tokenizer_json: str, store: int | None = None) -> ChunkEncoder:
+    """The worker's encoder for a tokenizer file's content, with ``store`` chunks in a generation (default: STORE)."""
+    key = hash(tokenizer_json), store
     if key not in _encoders:
-        _encoders[key] = ChunkEncoder(tokenizer_json)
+        _encoders[key] = ChunkEncoder(tokenizer_json, store)
     return _encoders[key]
 
 

@@ -43,6 +43,14 @@ def test_line_ends_letters_and_small_stores(library, monkeypatch):
         assert np.frombuffer(ids, "<u4").tolist() == library(x), repr(x)
 
 
+def test_store_of_an_encoder_bounds_a_generation():
+    encoder = tokens.encoder_for(tokenizer_file(), 30)
+    assert encoder is tokens.encoder_for(tokenizer_file(), 30) and encoder is not tokens.encoder_for(tokenizer_file())
+    for i in range(40):
+        encoder.encode("a " + " ".join(f"w{i}x{j}" for j in range(10)))
+        assert len(encoder.store) <= 40 and len(encoder.older) <= 40
+
+
 class Counted:
     def __init__(self, tokenizer):
         self.tokenizer, self.calls = tokenizer, 0
