@@ -52,7 +52,7 @@ def write_matrix(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> b
         totals.append(int(ones.sum()))
         raw = plane.tobytes()
         frames += [pack(raw[i : i + BLOCK]) for i in starts.tolist()]
-        a = np.concatenate([a.take(np.flatnonzero(~one)), a.take(np.flatnonzero(one))])  # by places: faster than by a mask or compress
+        a = np.concatenate([a.take(np.flatnonzero(~one)), a.take(np.flatnonzero(one))])  # by places: faster than by a mask, as fast as compress
     ends = np.cumsum([len(f) for f in frames])
     body = b"".join([docs, *(np.asarray(x, "<u4").tobytes() for x in (*before, totals, ends)), *frames])
     return HEAD.pack(MAGIC, len(ids), len(doc_ids), bits, len(docs), zlib.crc32(body)) + body
