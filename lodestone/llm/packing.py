@@ -88,7 +88,7 @@ def pack_documents(
             names, docs, tokens = [], [], 0
 
         for batch in batches:
-            for name, ids in zip(batch.column(0).to_pylist(), encoder.encode_each(batch.column(1).to_pylist())):
+            for name, ids in zip(batch.column(0).to_pylist(), encoder.encode_each(batch.column(1))):
                 names.append(name)
                 docs.append(ids + end)
                 tokens += len(docs[-1]) // 4

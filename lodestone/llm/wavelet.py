@@ -22,8 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import partitions_for, persist_table
-from lodestone.llm.tokens import encoder_for, tokenizer_file
+from lodestone.llm.common import partitions_for, persist_table, released
+from lodestone.llm.tokens import ChunkEncoder, encoder_for, tokenizer_file
 
 MAGIC, HEAD = b"LWM2", struct.Struct("<4sIIIII")
 #: Bytes of a plane in one block.
@@ -176,6 +176,33 @@ class WaveletMatrix:
         return a
 
 
+def _write(batches: Iterator[pa.RecordBatch], encoder: ChunkEncoder, end_id: int, shard: int) -> Iterator[pa.RecordBatch]:
+    held, tokens, file = [], 0, 0
+
+    def one_file():
+        names, lengths, ids = map(np.concatenate, zip(*held))
+        return pa.RecordBatch.from_pydict(
+            {"shard": [shard], "file": [file], "n_docs": [len(names)], "n_tokens": [len(ids)], "content": pa.array([write_matrix(ids, names, lengths)], pa.binary())}
+        )
+
+    for batch in batches:
+        names, at = batch.column(0).fill_null(-(2**63)).to_numpy(), 0
+        for ids, ends in encoder.encode_column(batch.column(1)):
+            ids, ends = np.insert(ids, ends[1:], end_id), ends + np.arange(len(ends))
+            first, last = 0, len(ends) - 1
+            while first < last:
+                to = min(last, int(np.searchsorted(ends, ends[first] + FILE_TOKENS - tokens)))
+                held.append((names[at + first : at + to], np.diff(ends[first : to + 1]), ids[ends[first] : ends[to]]))
+                tokens += len(held[-1][2])
+                first = to
+                if tokens >= FILE_TOKENS:
+                    yield one_file()
+                    held, tokens, file = [], 0, file + 1
+            at += last
+    if held:
+        yield one_file()
+
+
 def write_files(df: DataFrame, tokenizer_json: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Files ``shard, file, n_docs, n_tokens, content`` with the ids of all rows by ascending id.
 
@@ -185,33 +212,13 @@ def write_files(df: DataFrame, tokenizer_json: str, end_id: int = END_ID, id_col
     written as rows of a table in the shared folder, which any executor can read.
     """
     shared = df.sparkSession.sparkContext.broadcast(tokenizer_json)
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = encoder_for(shared.value, STORE), TaskContext.get().partitionId()
-        names, docs, tokens, file = [], [], 0, 0
-
-        def one_file():
-            lengths = np.array([len(d) // 4 for d in docs], np.uint32)
-            content = write_matrix(np.frombuffer(b"".join(docs), "<u4"), np.array(names, np.int64), lengths)
-            return pa.RecordBatch.from_pydict(
-                {"shard": [shard], "file": [file], "n_docs": [len(docs)], "n_tokens": [tokens], "content": pa.array([content], pa.binary())}
-            )
-
-        for batch in batches:
-            for name, ids in zip(batch.column(0).to_pylist(), encoder.encode_each(batch.column(1).to_pylist())):
-                names.append(-(2**63) if name is None else name)
-                docs.append(ids + end)
-                tokens += len(docs[-1]) // 4
-                if tokens >= FILE_TOKENS:
-                    yield one_file()
-                    names, docs, tokens, file = [], [], 0, file + 1
-        if docs:
-            yield one_file()
+        return _write(batches, encoder_for(shared.value, STORE), end_id, TaskContext.get().partitionId())
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     dealt = rows.repartitionByRange(partitions_for(df), "doc_id").sortWithinPartitions("doc_id", "text")
-    return persist_table(dealt.mapInArrow(run, _FILES), "wavelet")
+    return persist_table(dealt.mapInArrow(released(run), _FILES), "wavelet")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +250,7 @@ def read_files(files: DataFrame, ids: Column | None = None, name: str = "ids") -
     ``ids`` may be an expression of the column ids, called ``name``; it is evaluated where a file is
     read, so that only its result is moved.
     """
-    docs = files.select("shard", "file", "content").mapInArrow(_read, _DOCS)
+    docs = files.select("shard", "file", "content").mapInArrow(released(_read), _DOCS)
     docs = docs.select("shard", "file", F.nullif("doc_id", F.lit(-(2**63))).alias("doc_id"), "at", "n_tokens", (F.col("ids") if ids is None else ids).alias(name))
     return docs.join(_places(files), ["shard", "file"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", name)
 

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -71,6 +72,42 @@ def test_new_words_of_many_texts_share_calls(library):
     assert encoder.tokenizer.calls + encoder.words.calls < 10
 
 
+class Noted:
+    def __init__(self, tokenizer, texts):
+        self.tokenizer, self.texts = tokenizer, texts
+
+    def encode_batch_fast(self, texts, **more):
+        self.texts += texts
+        return self.tokenizer.encode_batch_fast(texts, **more)
+
+
+def test_new_words_in_short_strings(library):
+    """The library's time on one long string of new words, and a word anew for each mark behind it, were most of the time of op10."""
+    encoder, given = ChunkEncoder(tokenizer_file()), []
+    encoder.tokenizer, encoder.words = Noted(encoder.tokenizer, given), Noted(encoder.words, given)
+    words = ["".join("abcdeéß"[i // 7**k % 7] for k in range(4)) for i in range(7**4)]
+    texts = ["In " + " ".join(w + mark for w in words) for mark in ("", ",", "...")]
+    for x, ids in zip(texts, encoder.encode_each(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == library(x)
+    assert max(map(len, given)) < 1000 and sum(map(len, given)) < 20_000
+
+
+def test_columns_equal_whole_texts(library, monkeypatch):
+    monkeypatch.setattr(tokens, "PART", 90)
+    monkeypatch.setattr(tokens, "LUMP", 3)
+    monkeypatch.setattr(tokens, "CALL", 2)
+    encoder, rng = ChunkEncoder(tokenizer_file(), 50), random.Random(8)
+    kinds = [" \nab,.'", " é×÷,ñ-!à ", " \n\t\r\x0b\x1c\x85\xa0a.", " \u3000\u2003\u1680\u2028\ufeffa,é", "e\u0301,\u0303 a.\u200b", " a1,2.é3'sll ", " Жя,你。😀!a", "'sdtmrevl \n"]
+    texts = ["".join(rng.choice(kinds[i % 8]) for _ in range(rng.randrange(30))) for i in range(4000)] + ODD + ["", None, ""]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(["left out", *texts], kind).slice(1)
+        got = [ids[a:b].tolist() for ids, ends in encoder.encode_column(column) for a, b in zip(ends, ends[1:])]
+        assert len(got) == len(texts)
+        for x, ids in zip(texts, got):
+            assert ids == library(x), repr(x)
+    assert list(encoder.encode_column(pa.array([], pa.string()))) == []
+
+
 def test_pieces_that_join_words():
     """Where a piece reaches over a space, words keep the pattern."""
     made = Tokenizer(models.BPE({"a": 0, "b": 1, "Ġ": 2, "Ċ": 3, "aĠ": 4, "aĠb": 5, "Ġb": 6}, [("a", "Ġ"), ("aĠ", "b"), ("Ġ", "b")]))
@@ -155,6 +192,27 @@ def test_wavelet_core():
         wavelet.WaveletMatrix(bytes(broken))
 
 
+def test_file_ends(library, monkeypatch):
+    """A file ends with the document that brings it to FILE_TOKENS, wherever parts and batches end."""
+    monkeypatch.setattr(wavelet, "FILE_TOKENS", 40)
+    monkeypatch.setattr(tokens, "PART", 70)
+    rng = random.Random(2)
+    texts = [None if i % 9 == 0 else "a b" * rng.randrange(12) + " x" * (300 * (i == 50)) for i in range(200)]
+    spans = ((0, 33), (33, 1), (34, 0), (34, 166))
+    batches = [pa.record_batch([pa.array(range(a, a + n), pa.int64()), pa.array(texts[a : a + n], pa.string())], ["doc_id", "text"]) for a, n in spans]
+    files = [r for b in wavelet._write(iter(batches), ChunkEncoder(tokenizer_file()), 0, 7) for r in b.to_pylist()]
+    want, held = [], []
+    for i, x in enumerate(texts):
+        held.append((i, library(x) + [0]))
+        if sum(len(ids) for _, ids in held) >= 40 or i == 199:
+            want.append(held)
+            held = []
+    assert [(r["shard"], r["file"], r["n_docs"], r["n_tokens"]) for r in files] == [(7, k, len(w), sum(len(ids) for _, ids in w)) for k, w in enumerate(want)]
+    for r, w in zip(files, want):
+        ids = np.array([t for _, one in w for t in one], np.uint32)
+        assert r["content"] == wavelet.write_matrix(ids, np.array([i for i, _ in w]), np.array([len(one) for _, one in w]))
+
+
 def test_wavelet_files(spark, library):
     rows = [(7 * i % 23, x, 1) for i, x in enumerate(ODD)] + [(None, "null id", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, start int")
